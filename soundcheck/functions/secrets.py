@@ -23,7 +23,7 @@ CREDENTIAL_PATTERNS = {
     "aws-access-key-id": _START + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _END,
     "private-key-pem": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",
     "bearer-token": _START + r"(?i:bearer)[ \t]+[A-Za-z0-9\-._~+/]{20,}=*",
-    "url-credentials": _START + r"""[a-zA-Z][a-zA-Z0-9+.-]*://[^/\s:@"'`]+:[^@/\s"'`\[\]]{3,}@""",
+    "url-credentials": _START + r"""[a-zA-Z][a-zA-Z0-9+.-]*://[^/ \t\n\f\r:@"'`]+:[^@/ \t\n\f\r"'`\[\]]{3,}@""",
 }
 
 
@@ -76,4 +76,4 @@ def scrub_patterns(c: Column | str) -> Column:
     """Rewrite bearer tokens and the password part of a URL, whatever their value."""
     c = F.regexp_replace(as_col(c), _START + r"(?i:bearer)[ \t\n\f\r]+[A-Za-z0-9._~+/=-]{4,}",
                          "Bearer [REDACTED]")
-    return F.regexp_replace(c, r"(://[^/:@\s]+:)[^@\s]+(@)", "$1[REDACTED]$2")
+    return F.regexp_replace(c, r"(://[^/:@ \t\n\f\r]+:)[^@ \t\n\f\r]+(@)", "$1[REDACTED]$2")
