@@ -144,12 +144,13 @@ def fleet_degraded(fleet_df: DataFrame) -> DataFrame:
         F.bool_or((F.col("status") != "ok") | (F.col("backup_count") == 0)), F.lit(True)).alias("degraded"))
 
 
-def asof_recovery_point(targets: DataFrame, backups: DataFrame, **plan) -> DataFrame:
+def asof_recovery_point(targets: DataFrame, backups: DataFrame, carry: Sequence[str] = (), **plan) -> DataFrame:
     """For each requested time the newest backup at or before it: label, time and gap in seconds; or null.
 
     ``targets``: unit, target_id, target_ts. Both sides are put in one order, so no range join is needed.
+    ``carry`` names further columns of the backup to return.
     """
-    hit = F.struct(F.col("label").alias("label"), F.col("ts").alias("ts"))
+    hit = F.struct(F.col("label").alias("label"), F.col("ts").alias("ts"), *carry)
     b = backups.select("unit", F.col("ts").alias("_at"), F.lit(0).alias("_side"), (-F.col("ord")).alias("_tie"),
                        F.lit(None).cast("string").alias("target_id"), hit.alias("_hit"))
     t = targets.select("unit", F.col("target_ts").alias("_at"), F.lit(1).alias("_side"),
@@ -159,7 +160,8 @@ def asof_recovery_point(targets: DataFrame, backups: DataFrame, **plan) -> DataF
     seen = over_groups(b.unionByName(t), ["unit"], order, [last_known("_point", F.col("_hit"))], **plan)
     return seen.filter("_side = 1").select(
         "unit", "target_id", F.col("_at").alias("target_ts"), F.col("_point.label").alias("label"),
-        F.col("_point.ts").alias("backup_ts"), (epoch("_at") - epoch(F.col("_point.ts"))).alias("gap_s"))
+        F.col("_point.ts").alias("backup_ts"), (epoch("_at") - epoch(F.col("_point.ts"))).alias("gap_s"),
+        *[F.col(f"_point.{c}").alias(c) for c in carry])
 
 
 def pitr_assert(df: DataFrame, ts_col: str, target) -> DataFrame:
@@ -178,12 +180,10 @@ def recovery_targets(backups: DataFrame, n: int) -> DataFrame:
         F.timestamp_seconds(F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * F.col("i") / max(n - 1, 1))).alias("target_ts"))
 
 
-def recovery_coverage(backups: DataFrame, n: int, max_gap_s: int | None = None, **plan) -> DataFrame:
-    """Per unit: sampled targets, how many a passing backup reaches (within ``max_gap_s``), and the share."""
+def recovery_coverage(backups: DataFrame, n: int, **plan) -> DataFrame:
+    """Per unit: sampled targets, how many fall on a backup that passes, and their share."""
     stamped = backups.withColumn("ts", F.col("ts").cast("timestamp"))
-    points = asof_recovery_point(recovery_targets(stamped, n), stamped.filter("verdict = 'pass'"), **plan)
-    hit = F.col("label").isNotNull()
-    if max_gap_s is not None:
-        hit = hit & (F.col("gap_s") <= max_gap_s)
-    return points.groupBy("unit").agg(F.count(F.lit(1)).alias("targets"), F.count_if(hit).alias("covered")).withColumn(
-        "coverage", F.col("covered") / F.col("targets"))
+    points = asof_recovery_point(recovery_targets(stamped, n), stamped, ["verdict"], **plan)
+    return points.groupBy("unit").agg(
+        F.count(F.lit(1)).alias("targets"), F.count_if(F.col("verdict") == "pass").alias("covered"),
+    ).withColumn("coverage", F.col("covered") / F.col("targets"))
