@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from soundcheck.functions.text import canonical_entry
 from soundcheck.plans.ordered import over_groups, row_number
@@ -163,7 +163,7 @@ def verify_signatures(ledger: DataFrame, keys: DataFrame) -> DataFrame:
                                              F.lit(False)).alias("signature_ok"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _verify_signature(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     from soundcheck.functions.ed25519 import b64, verifier
     verify = verifier()

@@ -19,10 +19,10 @@ RATE_WINDOW_S = 3600
 
 
 def overdue(monitors: DataFrame, ledger: DataFrame, as_of_epoch: int) -> DataFrame:
-    """Monitors with ``freshest`` and ``status``: ok, overdue, or never.
+    """Monitors with ``freshest``, ``overdue`` and the shown ``status``: ok, overdue, or never (no entry yet).
 
     Overdue when the silence since the newest entry (or, without one, since the monitor was created) is
-    longer than interval plus grace. A monitor without entries that is not yet due has the status never.
+    longer than interval plus grace.
     """
     newest = ledger.groupBy("tenant_id", "target").agg(F.max("created_at").alias("freshest"))
     met = monitors.join(newest, ["tenant_id", "target"], "left")
@@ -30,7 +30,7 @@ def overdue(monitors: DataFrame, ledger: DataFrame, as_of_epoch: int) -> DataFra
     late = silence > F.col("interval_s") + F.col("grace_s")
     return met.withColumns({
         "overdue": late,
-        "status": F.when(late, F.lit("overdue")).when(F.col("freshest").isNull(), F.lit("never")).otherwise(F.lit("ok"))})
+        "status": F.when(F.col("freshest").isNull(), F.lit("never")).when(late, F.lit("overdue")).otherwise(F.lit("ok"))})
 
 
 def transitions(evaluated: DataFrame, as_of_epoch: int) -> DataFrame:
@@ -118,7 +118,7 @@ def rate_limit(deliveries: DataFrame, n: int = RATE_LIMIT, window_s: int = RATE_
     seconds = deliveries.groupBy(*key, "at").agg(F.count(F.lit(1)).alias("n"))
     own = F.floor(F.col("at") / window_s)
     spread = seconds.withColumn("_own", own).withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    w = Window.partitionBy(*key, "_block").orderBy("at").rangeBetween(-window_s + 1, 0)
+    w = Window.partitionBy(*key, "_block").orderBy("at").rangeBetween(-window_s, 0)
     counted = spread.withColumn("in_window", F.sum("n").over(w)).filter("_own = _block").select(*key, "at", "in_window")
     return deliveries.join(counted, [*key, "at"]).withColumn("allowed", F.col("in_window") <= n)
 
@@ -163,7 +163,7 @@ def validate_hooks(hooks: DataFrame, col: str = "hook") -> DataFrame:
     """Add ``violation`` (null when fine). Commands have no rules. A URL must parse, carry no user:pass@, and
     give every ``*_ref`` parameter as ``env:NAME``."""
     c = F.col(col)
-    is_url = c.rlike(r"\A(?i:https?)://")
+    is_url = c.rlike(r"\Ahttps?://")
     authority = F.regexp_extract(c, r"\A[^:]+://([^/?#]*)", 1)
     query = F.regexp_extract(c, r"\A[^?#]*\?([^#]*)", 1)
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
@@ -184,6 +184,6 @@ def validate_hooks(hooks: DataFrame, col: str = "hook") -> DataFrame:
 
 def hook_env_names(hooks: DataFrame, col: str = "hook") -> DataFrame:
     """Environment names that URL hooks refer to; they belong to the known secrets. Column: name."""
-    query = F.regexp_extract(F.col(col), r"\A(?i:https?)://[^?#]*\?([^#]*)", 1)
+    query = F.regexp_extract(F.col(col), r"\Ahttps?://[^?#]*\?([^#]*)", 1)
     return hooks.select(F.explode(F.split(query, "&")).alias("p")).select(
         F.regexp_extract(F.try_url_decode("p"), r"(?s)\A[^=]*_ref=env:(.+)\z", 1).alias("name")).filter("name <> ''").distinct()
