@@ -13,6 +13,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def trim_space(c: Column | str) -> Column:
     """Trim Unicode white space on both ends (``trim`` removes blanks only)."""
     return F.regexp_replace(as_col(c), f"\\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\\z", "")

@@ -73,11 +73,22 @@ def _union(parts: list[DataFrame], spark, empty: str) -> DataFrame:
 
 # -- sql ---------------------------------------------------------------------------------------
 
-def _one_scalar(spark, query: str) -> str:
-    rows = spark.sql(query).limit(2).collect()
-    if len(rows) > 1:
-        raise ValueError("expected one row, one column")
-    return "" if not rows or rows[0][0] is None else str(rows[0][0])
+def _run_jointly(spark, queries: list[tuple[str, str]], got: dict[str, str], errors: dict[str, str]) -> None:
+    """Run (check_id, query) pairs as one row; if that fails, run the two halves, down to the bad one."""
+    if not queries:
+        return
+    joint = ", ".join(f"CAST((\n{q}\n) AS STRING) AS c{i}" for i, (_, q) in enumerate(queries))
+    try:
+        row = spark.sql(f"SELECT {joint}").first()
+        got.update({cid: row[i] or "" for i, (cid, _) in enumerate(queries)})
+    except Exception as error:  # noqa: BLE001 - any failure of a check is its result
+        if len(queries) == 1:
+            many = "SCALAR_SUBQUERY_TOO_MANY_ROWS" in str(error)
+            errors[queries[0][0]] = "expected one row, one column" if many else _short(error)
+            return
+        middle = len(queries) // 2
+        _run_jointly(spark, queries[:middle], got, errors)
+        _run_jointly(spark, queries[middle:], got, errors)
 
 
 def sql_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot | None = None, as_of=None) -> DataFrame:
@@ -85,7 +96,7 @@ def sql_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot | None
 
     The queries of a batch become scalar subqueries of one row, so Spark runs them in one job and
     merges equal scans. A query that does not analyse marks only its own row; if the joint row fails
-    at run time, the batch is repeated query by query, so that a bad check stays a failing row.
+    at run time, the batch is halved until the bad query is alone, so that it stays a failing row.
     """
     for name, table in (snapshot.tables if snapshot else {}).items():
         table.createOrReplaceTempView(quote_ident(name))
@@ -100,17 +111,7 @@ def sql_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot | None
                 good.append((c["check_id"], query))
             except Exception as error:  # noqa: BLE001 - any failure of a check is its result
                 errors[c["check_id"]] = _short(error)
-        if good:
-            joint = ", ".join(f"CAST((\n{q}\n) AS STRING) AS c{i}" for i, (_, q) in enumerate(good))
-            try:
-                row = spark.sql(f"SELECT {joint}").first()
-                got = {cid: row[i] or "" for i, (cid, _) in enumerate(good)}
-            except Exception:  # noqa: BLE001
-                for cid, query in good:
-                    try:
-                        got[cid] = _one_scalar(spark, f"SELECT CAST(v AS STRING) FROM (\n{query}\n) t(v)")
-                    except Exception as error:  # noqa: BLE001
-                        errors[cid] = _short(error)
+        _run_jointly(spark, good, got, errors)
         subjects = _with_subjects(spark, batch, got, errors).withColumn("got", trim_space("got"))
         parts.append(results(evaluate_expectations(subjects, as_of)))
     return _union(parts, spark, RESULTS)

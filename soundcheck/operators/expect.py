@@ -19,10 +19,10 @@ def _unreadable(value: Column, got: Column, wanted: str) -> Column:
     return F.when(value.isNull(), F.concat(F.lit(f"expected a {wanted}, got "), quoted(F.coalesce(got, F.lit("")))))
 
 
-def expect_bounds(got, lo, hi) -> Column:
-    """Inclusive bounds; the lower one is tested first."""
+def expect_bounds(got, lo, hi, number: Column | None = None) -> Column:
+    """Inclusive bounds; the lower one is tested first. ``number``: the reading of ``got``, if it is at hand."""
     got, lo, hi = as_col(got), as_col(lo), as_col(hi)
-    v = parse_num_text(got)
+    v = parse_num_text(got) if number is None else number
     shown = number_text(v)
     below, above = v < lo, v > hi
     detail = (F.when(below, F.concat(shown, F.lit(" < min "), number_text(lo)))
@@ -39,10 +39,10 @@ def expect_equals(got, equals) -> Column:
     return _outcome(ok, detail, F.lit(None).cast("string"))
 
 
-def expect_max_age(got, max_age_s, as_of=None) -> Column:
+def expect_max_age(got, max_age_s, as_of=None, time: Column | None = None) -> Column:
     """Age at ``as_of`` at most ``max_age_s``; a time in the future has a negative age and passes."""
     got, max_age_s = as_col(got), as_col(max_age_s)
-    ts = parse_ts_text(got)
+    ts = parse_ts_text(got) if time is None else time
     age = (F.unix_micros(instant(as_of)) - F.unix_micros(ts)) / F.lit(1_000_000)
     ok = F.unix_micros(instant(as_of)) - F.unix_micros(ts) <= max_age_s * 1_000_000
     detail = F.concat(F.lit("age "), duration_text(age), F.lit(" (max "), duration_text(max_age_s), F.lit(")"))
@@ -67,9 +67,9 @@ def evaluate_expectations(df: DataFrame, as_of=None, no_expectation: Column | st
     nothing = F.struct(F.lit(False).alias("ok"), F.lit(None).cast("string").alias("detail"), none.alias("error"))
     result = (
         F.when(F.col("expect_min").isNotNull() | F.col("expect_max").isNotNull(),
-               expect_bounds("got", "expect_min", "expect_max"))
+               expect_bounds("got", "expect_min", "expect_max", F.col("got_num")))
         .when(F.col("equals").isNotNull(), expect_equals("got", "equals"))
-        .when(F.col("max_age_s").isNotNull(), expect_max_age("got", "max_age_s", as_of))
+        .when(F.col("max_age_s").isNotNull(), expect_max_age("got", "max_age_s", as_of, F.col("got_ts")))
         .when(F.col("bool").isNotNull(), expect_bool("got", "bool"))
         .otherwise(nothing)
     )
@@ -77,11 +77,10 @@ def evaluate_expectations(df: DataFrame, as_of=None, no_expectation: Column | st
         unread = F.struct(F.lit(False).alias("ok"), F.lit(None).cast("string").alias("detail"),
                           F.col("error").alias("error"))
         result = F.when(F.col("error").isNotNull(), unread).otherwise(result)
+    # The readings are columns of their own, so that they are computed once.
     return (
-        df.withColumn("_r", result)
-        .withColumns({
-            "ok": F.col("_r.ok"), "detail": F.col("_r.detail"), "error": F.col("_r.error"),
-            "got_num": parse_num_text("got"), "got_ts": parse_ts_text("got"),
-        })
+        df.withColumns({"got_num": parse_num_text("got"), "got_ts": parse_ts_text("got")})
+        .withColumn("_r", result)
+        .withColumns({"ok": F.col("_r.ok"), "detail": F.col("_r.detail"), "error": F.col("_r.error")})
         .drop("_r")
     )

@@ -99,11 +99,12 @@ def judge_responses(checks: DataFrame, responses: DataFrame) -> DataFrame:
     The first failing expectation decides. ``responses``: url, status, body and any further columns.
     """
     met = responses.join(broadcast_if_small(checks), "url")
+    met = met.withColumn("_spec", F.when(F.coalesce(F.col("expect_json"), F.lit("")) != "", split_path_value("expect_json")))
+    met = met.withColumn("_found", F.when(F.col("_spec.path").isNotNull(), json_path("body", F.col("_spec.path"))))
     want = F.coalesce(F.col("expect_status"), F.lit(200))
     asks_text = F.coalesce(F.col("expect_body_contains"), F.lit("")) != ""
     asks_json = F.coalesce(F.col("expect_json"), F.lit("")) != ""
-    spec = F.when(asks_json, split_path_value("expect_json"))
-    found = F.when(asks_json & spec["error"].isNull(), json_path("body", spec["path"]))
+    spec, found = F.col("_spec"), F.col("_found")
     status_bad = F.col("status") != want
     text_bad = asks_text & ~F.contains(F.col("body"), F.col("expect_body_contains"))
     value_bad = found["value"] != spec["value"]
@@ -118,7 +119,7 @@ def judge_responses(checks: DataFrame, responses: DataFrame) -> DataFrame:
     error = F.when(~status_bad & ~text_bad & asks_json, spec["error"])
     return met.withColumns({
         "got": F.col("status").cast("string"), "error": error, "detail": F.when(error.isNull(), fail),
-        "ok": error.isNull() & fail.isNull()})
+        "ok": error.isNull() & fail.isNull()}).drop("_spec", "_found")
 
 
 def response_checks(checks: DataFrame, responses: DataFrame) -> DataFrame:
