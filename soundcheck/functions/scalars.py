@@ -99,25 +99,26 @@ def parse_interval_text(c: Column | str) -> Column:
     return F.when(value > 0, value * F.element_at(factors, F.right(c, F.lit(1))))
 
 
+# From the shortest Java form to the wanted one, step by step (pattern, replacement).
+_NUMBER_STEPS = (
+    (r"\A(-?)([0-9])\.([0-9]+)E-4\z", "$10.000$2$3"),       # 5.1E-4    -> 0.00051
+    (r"\A(-?0\.000[0-9]*?)0+\z", "$1"),
+    (r"\A(-?[0-9])([0-9]{6})\.([0-9]+)\z", "$1.$2$3E6"),     # 1234567.5 -> 1.2345675E6
+    (r"(\.[0-9]*?)0*E", "$1E"),
+    (r"\.E", "E"),
+    (r"\.0\z", ""),
+    (r"E(-?)([0-9])\z", "E$10$2"),
+    (r"E([0-9])", "e+$1"),
+    (r"E-", "e-"),
+)
+
+
 def number_text(c: Column | str) -> Column:
     """A double in its shortest form: plain from 1e-4 up to below 1e6, else with an exponent."""
-    c = as_col(c).cast("double")
-    text = F.abs(c).cast("string")  # shortest digits; exponent form outside 1e-3 … 1e7
-    mantissa = F.substring_index(text, "E", 1)
-    shown_exp = F.when(text.contains("E"), F.substring_index(text, "E", -1).try_cast("int"))
-    whole = F.substring_index(mantissa, ".", 1)
-    frac = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+\\z", "")
-    lead = F.length(F.regexp_extract(frac, "\\A(0*)", 1))
-    exp = F.coalesce(shown_exp, F.when(whole != "0", F.length(whole) - 1).otherwise(-lead - 1))
-    digits = F.regexp_replace(F.regexp_replace(F.concat(whole, frac), "\\A0+", ""), "0+\\z", "")
-    plain = F.when(text.contains("E"), F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)).otherwise(
-        F.when(frac == "", whole).otherwise(F.concat(whole, F.lit("."), frac)))
-    tail = digits.substr(F.lit(2), F.length(digits))
-    sci = F.concat(F.left(digits, F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(F.lit("")),
-                   F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-                   F.when(F.abs(exp) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exp).cast("string"))
-    body = F.when(c == 0, F.lit("0")).when((exp >= -4) & (exp < 6), plain).otherwise(sci)
-    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), body)
+    text = as_col(c).cast("double").cast("string")
+    for pattern, replacement in _NUMBER_STEPS:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def duration_text(seconds: Column) -> Column:

@@ -138,13 +138,16 @@ def verify_entries(ledger: DataFrame, keys: DataFrame | None = None) -> DataFram
     body_ok = F.sha2(text("report_raw").cast("binary"), 256) == F.col("report_sha256")
     has_tenant = F.coalesce(text("tenant_pubkey"), F.lit("")) != ""
     tenant_ok = F.col("tenant_sig_ok") if "tenant_sig_ok" in ledger.columns else F.lit(False)
-    step = lambda name, ok, detail: F.struct(
-        F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail"))
-    steps = F.array_compact(F.array(
-        step("chain hash", chain_ok, F.lit("entry_hash matches the signed fields")),
-        step("signature", sig_ok, sig_detail),
-        F.when(has_body, step("report hash", body_ok, F.lit("report body matches report_sha256"))),
-        F.when(has_tenant, step("tenant signature", tenant_ok, F.lit("verified by the ledger at submit time")))))
+    step = lambda taken, name, ok, detail: F.struct(
+        taken.alias("taken"), F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail"))
+    always = F.lit(True)
+    taken = F.filter(F.array(
+        step(always, "chain hash", chain_ok, F.lit("entry_hash matches the signed fields")),
+        step(always, "signature", sig_ok, sig_detail),
+        step(has_body, "report hash", body_ok, F.lit("report body matches report_sha256")),
+        step(has_tenant, "tenant signature", tenant_ok, F.lit("verified by the ledger at submit time"))),
+        lambda s: s["taken"])
+    steps = F.transform(taken, lambda s: F.struct(s["name"].alias("name"), s["ok"].alias("ok"), s["detail"].alias("detail")))
     valid = F.coalesce(chain_ok, F.lit(False)) & sig_ok & (~has_body | F.coalesce(body_ok, F.lit(False)))
     return signed.withColumns({"steps": steps, "valid": valid}).drop("_sig", "_key_id", "public_key")
 

@@ -75,7 +75,7 @@ def validate_reports(reports: DataFrame) -> DataFrame:
     bad_check = lambda c: c["name"].isNull() | c["ok"].isNull()
     bad_severity = lambda c: ~F.coalesce(c["severity"].isin("required", "advisory"), F.lit(True))
     checks = F.coalesce(F.col("checks"), F.array().cast(reports.schema["checks"].dataType))
-    rules = F.array(
+    rules = [
         missing("schema_version"), missing("tool_version"), missing("target"), missing("started_at"),
         missing("finished_at"), missing("duration_ms"), missing("load"), missing("verdict"),
         F.when(F.col("schema_version") != SCHEMA_VERSION, F.lit(f"schema_version must be {SCHEMA_VERSION}")),
@@ -87,8 +87,11 @@ def validate_reports(reports: DataFrame) -> DataFrame:
         F.when(F.col("load.duration_ms") < 0, F.lit("load.duration_ms must not be negative")),
         F.when(F.exists(checks, bad_check), F.lit("a check needs name and ok")),
         F.when(F.exists(checks, bad_severity), F.lit("severity must be required or advisory")),
-    )
-    return reports.select("run_id", "part", F.explode(F.array_compact(rules)).alias("violation"))
+    ]
+    found = F.filter(F.array(*[F.struct(F.lit(i + 1).alias("rule_no"), r.alias("violation")) for i, r in enumerate(rules)]),
+                     lambda r: r["violation"].isNotNull())
+    return reports.select("run_id", "part", F.explode(found).alias("_v")).select(
+        "run_id", "part", "_v.rule_no", "_v.violation")
 
 
 def render_summary(reports: DataFrame) -> DataFrame:
@@ -103,9 +106,9 @@ def render_summary(reports: DataFrame) -> DataFrame:
         F.when(F.col("load.ok"), F.format_string("  load      ok    (%dms)", F.col("load.duration_ms")))
         .otherwise(F.concat(F.lit("  load      FAIL  "), text(F.col("load.error")))),
         F.when(F.col("load.ok") & (text(F.col("load.warnings")) != ""),
-               F.concat(F.lit("  load      warn  "), F.col("load.warnings"))))
+               F.concat(F.lit("  load      warn  "), F.col("load.warnings"))).otherwise(F.lit("")))
     foot = F.array(F.concat(F.lit("  verdict   "), F.upper("verdict")))
-    lines = F.concat(F.array_compact(head), F.transform("checks", check_line), foot)
+    lines = F.concat(F.filter(head, lambda line: line != ""), F.transform("checks", check_line), foot)
     return reports.select("run_id", "part", F.posexplode(lines).alias("line_no", "line"))
 
 

@@ -39,7 +39,7 @@ def compare(spark, con, name: str, folder: str) -> list[str]:
     """Differences, none when both engines agree."""
     df = QUERIES[name](spark, folder)
     cols = sorted(df.columns)
-    mine = [tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect()]
+    mine = [tuple(r) for r in df.select(*["`" + c.replace("`", "``") + "`" for c in cols]).collect()]
     rel = con.sql(ORACLE[name])
     theirs_cols = sorted(rel.columns)
     if cols != theirs_cols:
