@@ -124,7 +124,7 @@ VIEWS: dict[str, str] = {
     # One alert per event and destination; keys repeat, and so do seconds.
     "deliveries": """
         SELECT concat('d_', event_id) AS id, concat('t_', user_id % 10) AS tenant_id, event_type AS destination,
-               <SHA(props)> AS idempotency_key, <EPOCH(ts)> AS at FROM events""",
+               <SHA(props)> AS idempotency_key, <EPOCH(ts)> AS at_s FROM events""",
 }
 
 _BASE = re.compile(r"\b(" + "|".join(TABLES) + r")\b")

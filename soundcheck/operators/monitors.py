@@ -43,11 +43,11 @@ def transitions(evaluated: DataFrame, as_of_epoch: int) -> DataFrame:
 
 
 def transitions_over_time(evaluations: DataFrame, **plan) -> DataFrame:
-    """Rows of a history of evaluations (monitor_id, at, overdue) where the state changes; it starts as ok."""
-    before = over_groups(evaluations, ["monitor_id"], [F.col("at").asc()], [lag("_before", F.col("overdue"))], **plan)
+    """Rows of a history of evaluations (monitor_id, at_s, overdue) where the state changes; it starts as ok."""
+    before = over_groups(evaluations, ["monitor_id"], [F.col("at_s").asc()], [lag("_before", F.col("overdue"))], **plan)
     changed = F.col("overdue") != F.coalesce("_before", F.lit(False))
     return before.filter(changed).select(
-        "monitor_id", "at", F.when(F.col("overdue"), F.lit("overdue")).otherwise(F.lit("recovered")).alias("event"))
+        "monitor_id", "at_s", F.when(F.col("overdue"), F.lit("overdue")).otherwise(F.lit("recovered")).alias("event"))
 
 
 def idempotency_key(monitor_id="monitor_id", state="alert_state", freshest="freshest") -> Column:
@@ -66,7 +66,7 @@ def alert_payloads(changed: DataFrame) -> DataFrame:
                                 "payload": F.to_json(body, {"ignoreNullFields": "false"})})
 
 
-def dedupe_deliveries(deliveries: DataFrame, order: str = "at") -> DataFrame:
+def dedupe_deliveries(deliveries: DataFrame, order: str = "at_s") -> DataFrame:
     """The first delivery per destination and key; copies are combined map-side."""
     rest = [c for c in deliveries.columns if c not in ("destination", "idempotency_key")]
     first = F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order]))
@@ -77,31 +77,31 @@ def dedupe_deliveries(deliveries: DataFrame, order: str = "at") -> DataFrame:
 def damp_flaps(deliveries: DataFrame, min_gap_s: int = MIN_GAP_S, id_col: str = "id") -> DataFrame:
     """Add ``sent``: false when closer than ``min_gap_s`` to the last delivery *sent* to the destination.
 
-    ``at`` is in whole seconds; of one second, the smallest id is sent. Whether a second is sent depends on
+    ``at_s`` is in whole seconds; of one second, the smallest id is sent. Whether a second is sent depends on
     those before it, but only until a pause of ``min_gap_s``: after that a delivery is sent in any case.
     So every second counts once, and each stretch between two pauses is folded on its own. A stretch has
     at most one row per second, however many deliveries there are.
     """
     if min_gap_s <= 0:
         return deliveries.withColumn("sent", F.lit(True))
-    seconds = deliveries.groupBy("destination", "at").agg(F.min(id_col).alias("_first"))
-    started = over_groups(seconds, ["destination"], [F.col("at").asc()], [lag("_prev", F.col("at"))])
-    opens = F.when(F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= min_gap_s), F.col("at"))
+    seconds = deliveries.groupBy("destination", "at_s").agg(F.min(id_col).alias("_first"))
+    started = over_groups(seconds, ["destination"], [F.col("at_s").asc()], [lag("_prev", F.col("at_s"))])
+    opens = F.when(F.col("_prev").isNull() | (F.col("at_s") - F.col("_prev") >= min_gap_s), F.col("at_s"))
     starts = started.withColumn("_opens", opens)
-    stretches = over_groups(starts, ["destination"], [F.col("at").asc()], [last_known("_stretch", F.col("_opens"))])
+    stretches = over_groups(starts, ["destination"], [F.col("at_s").asc()], [last_known("_stretch", F.col("_opens"))])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        at = pdf["at"].to_numpy()
+        pdf = pdf.sort_values("at_s")
+        at = pdf["at_s"].to_numpy()
         sent = np.zeros(len(at), dtype=bool)
         i = 0
         while i < len(at):
             sent[i] = True
             i = int(np.searchsorted(at, at[i] + min_gap_s, side="left"))
-        return pdf[sent][["destination", "at", "_first"]]
+        return pdf[sent][["destination", "at_s", "_first"]]
 
-    kept = stretches.select("destination", "_stretch", "at", "_first").groupBy("destination", "_stretch").applyInPandas(
-        fold, deliveries.select("destination", "at", F.col(id_col).alias("_first")).schema)
+    kept = stretches.select("destination", "_stretch", "at_s", "_first").groupBy("destination", "_stretch").applyInPandas(
+        fold, deliveries.select("destination", "at_s", F.col(id_col).alias("_first")).schema)
     hit = kept.select("destination", F.col("_first").alias(id_col), F.lit(True).alias("_sent"))
     return deliveries.join(hit, ["destination", id_col], "left").withColumn(
         "sent", F.coalesce("_sent", F.lit(False))).drop("_sent")
@@ -115,12 +115,12 @@ def rate_limit(deliveries: DataFrame, n: int = RATE_LIMIT, window_s: int = RATE_
     count is handed to its own block and to the next; a block group has at most 2 x ``window_s`` rows.
     """
     key = ["tenant_id", "destination"]
-    seconds = deliveries.groupBy(*key, "at").agg(F.count(F.lit(1)).alias("n"))
-    own = F.floor(F.col("at") / window_s)
+    seconds = deliveries.groupBy(*key, "at_s").agg(F.count(F.lit(1)).alias("n"))
+    own = F.floor(F.col("at_s") / window_s)
     spread = seconds.withColumn("_own", own).withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    w = Window.partitionBy(*key, "_block").orderBy("at").rangeBetween(-window_s, 0)
-    counted = spread.withColumn("in_window", F.sum("n").over(w)).filter("_own = _block").select(*key, "at", "in_window")
-    return deliveries.join(counted, [*key, "at"]).withColumn("allowed", F.col("in_window") <= n)
+    w = Window.partitionBy(*key, "_block").orderBy("at_s").rangeBetween(-window_s, 0)
+    counted = spread.withColumn("in_window", F.sum("n").over(w)).filter("_own = _block").select(*key, "at_s", "in_window")
+    return deliveries.join(counted, [*key, "at_s"]).withColumn("allowed", F.col("in_window") <= n)
 
 
 def shape_slack(changed: DataFrame, as_of_epoch: int) -> DataFrame:
