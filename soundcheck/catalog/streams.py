@@ -1 +1,117 @@
-"""Queries."""
+"""Streams over the given tables, run to the end, against the batch answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from soundcheck.catalog.base import AS_OF_EPOCH, query
+from soundcheck.catalog.evidence import LEDGER, ZERO, _tampered_chain
+from soundcheck.catalog.monitoring import NOW
+from soundcheck.catalog.redaction import SCAN
+from soundcheck.catalog.checks import NUM, SCALARS
+from soundcheck.operators import checks as B
+from soundcheck.operators.redact import redact_captures
+from soundcheck.session import shared_path
+from soundcheck.streaming.alerts import dedupe_alerts_stream
+from soundcheck.streaming.ledger import verify_ledger_stream
+from soundcheck.streaming.overdue import overdue_stream
+from soundcheck.streaming.run import read_files, run_available
+from soundcheck.streaming.stateless import check_stream, redact_stream, scan_stream, verdict_batches
+
+
+def stream_of(d, df, label, files=4):
+    """Write a derived table once and read it as a file stream."""
+    path = shared_path(d.spark, label)
+    df.repartition(files).write.parquet(path)
+    return read_files(d.spark, path, df.schema)
+
+
+def _heartbeat(d, at):
+    """A row of no monitor that carries time to ``at``."""
+    return d.spark.createDataFrame([("-", "-", at)], "tenant_id string, target string, created_at bigint")
+
+
+# All alerts and recoveries up to NOW, from the gaps between entries.
+@query("S1_overdue_stream", f"""
+    WITH a AS (SELECT tenant_id, target, created_at FROM attestations WHERE created_at <= {NOW}),
+    m AS (SELECT *, interval_s + grace_s AS after FROM monitors),
+    p AS (SELECT m.monitor_id, m.tenant_id, m.target, m.created_at AS at_s, m.after, m.alert_state = 'alerting' AS was, 0 AS k FROM m
+      UNION ALL SELECT DISTINCT m.monitor_id, m.tenant_id, m.target, a.created_at, m.after, false, 1 FROM a JOIN m USING (tenant_id, target)),
+    g AS (SELECT *, lead(at_s) OVER w AS nxt, row_number() OVER w AS r FROM p WINDOW w AS (PARTITION BY monitor_id ORDER BY k, at_s))
+    SELECT monitor_id, 'overdue' AS event, at_s + after + 1 AS at_s FROM g WHERE NOT was AND coalesce(nxt, {NOW}) - at_s > after
+    UNION ALL SELECT monitor_id, 'recovered', nxt FROM g WHERE nxt IS NOT NULL AND (was OR nxt - at_s > after)""", "attestations monitors")
+def _(d):
+    rows = d.attestations.filter(F.col("created_at") <= NOW).select("tenant_id", "target", "created_at")
+    # One file per stretch of time, in order, as an append-only table would grow; the heartbeat comes last.
+    path = shared_path(d.spark, "attestations")
+    rows.repartitionByRange(6, "created_at").sortWithinPartitions("created_at").write.parquet(f"{path}/a")
+    _heartbeat(d, NOW + 600).coalesce(1).write.parquet(f"{path}/b")
+    stream = read_files(d.spark, f"{path}/*", rows.schema)
+    return run_available(overdue_stream(stream, d.monitors), "overdue").filter(F.col("at_s") <= NOW).select("monitor_id", "event", "at_s")
+
+
+@query("S2_verify_ledger_stream", f"""
+    WITH {LEDGER}, m AS (SELECT tenant_id, seq, entry_hash, CASE WHEN tenant_id = 't_3' AND seq = 20 THEN '00' WHEN tenant_id = 't_5' AND seq = 1 THEN '11' ELSE prev_hash END AS prev_hash
+      FROM ledger WHERE NOT (tenant_id = 't_1' AND seq = 5)),
+    w AS (SELECT *, lag(seq) OVER o AS pseq, lag(entry_hash) OVER o AS phash FROM m WINDOW o AS (PARTITION BY tenant_id ORDER BY seq))
+    SELECT tenant_id, seq, CASE WHEN seq = 1 AND prev_hash <> {ZERO} THEN 'genesis prev_hash is not zero' WHEN seq > 1 AND coalesce(pseq, -1) <> seq - 1 THEN 'missing seq before'
+      WHEN seq > 1 AND prev_hash <> phash THEN 'prev_hash does not match' END AS reason FROM w""", "attestations")
+def _(d):
+    ledger = _tampered_chain(d).filter("NOT (tenant_id IN ('t_2', 't_4'))").unionByName(
+        _tampered_chain(d).filter("tenant_id IN ('t_2', 't_4')").dropDuplicates(["tenant_id", "seq"]))
+    ledger = ledger.withColumn("created_at", F.when((F.col("tenant_id") == "t_4") & (F.col("seq") == 30), F.col("created_at") + 10_000_000)
+                               .otherwise(F.col("created_at")))
+    beat = ledger.limit(1).withColumns({"tenant_id": F.lit("-"), "seq": F.lit(1).cast("bigint"), "prev_hash": F.lit("0" * 64),
+                                        "created_at": F.lit(AS_OF_EPOCH + 400 * 86400).cast("bigint")})
+    path = shared_path(d.spark, "entries")
+    ledger.repartition(4).write.parquet(f"{path}/a")
+    beat.coalesce(1).write.parquet(f"{path}/b")
+    stream = read_files(d.spark, f"{path}/*", ledger.schema)
+    return run_available(verify_ledger_stream(stream), "links").filter("tenant_id <> '-'")
+
+
+@query("S3_scan_stream", SCAN, "planted")
+def _(d):
+    return run_available(scan_stream(stream_of(d, d.planted, "planted"), "text"), "found")
+
+
+@query("S3_redact_stream")
+def _(d):
+    rows = d.documents.select("doc_id", F.col("text").alias("got"), (F.col("doc_id") % 5 == 0).alias("keep"))
+    stored = run_available(redact_stream(stream_of(d, rows, "captures"), "got", "keep", d.secrets), "redacted")
+    batch = redact_captures(rows, "got", "keep", d.secrets)
+    return stored.join(batch.withColumnRenamed("got", "batch"), "doc_id").select(
+        "doc_id", "got", (F.col("got") == F.col("batch")).alias("as_in_batch"))
+
+
+@query("S4_dedupe_alerts_stream", "SELECT DISTINCT destination, idempotency_key FROM deliveries", "deliveries")
+def _(d):
+    return run_available(dedupe_alerts_stream(stream_of(d, d.deliveries, "deliveries"), "60 days"), "alerts").select(
+        "destination", "idempotency_key")
+
+
+CAPTURED = f"SELECT *, CASE WHEN id % 2 = 0 THEN 'bounds' ELSE 'text' END AS check_id FROM (SELECT id, got FROM ({SCALARS}) s) t"
+
+
+@query("S5_check_stream", f"""
+    WITH r AS (SELECT *, {NUM} AS num FROM ({CAPTURED})) SELECT id, check_id, CASE check_id WHEN 'bounds' THEN coalesce(num >= 100 AND num <= 500, false) ELSE got = 'O' END AS ok,
+      check_id = 'bounds' AND num IS NULL AS failed FROM r""")
+def _(d):
+    checks = B.checks_table(d.spark, [dict(check_id="bounds", name="b", severity="required", expect_min=100, expect_max=500),
+                                      dict(check_id="text", name="t", severity="advisory", equals="O")])
+    out = run_available(check_stream(stream_of(d, d.sql(CAPTURED), "scalars"), checks), "results")
+    return out.select("id", "check_id", "ok", F.col("error").isNotNull().alias("failed"))
+
+
+@query("S5_verdict_batches", """
+    SELECT run_id, CASE WHEN ok AND NOT EXISTS (SELECT 1 FROM results r WHERE r.run_id = l.run_id AND NOT coalesce(r.ok, false) AND r.severity <> 'advisory')
+      THEN 'pass' ELSE 'fail' END AS verdict FROM loads l WHERE EXISTS (SELECT 1 FROM results r WHERE r.run_id = l.run_id)""", "loads results")
+def _(d):
+    path = shared_path(d.spark, "verdicts")
+    # A run's results arrive together: one file, one batch.
+    stream = stream_of(d, d.results, "results", files=1)
+    q = verdict_batches(stream, d.loads, lambda v, i: v.write.mode("append").parquet(path), shared_path(d.spark, "verdicts-checkpoint"))
+    if not q.awaitTermination(600):
+        q.stop()
+        raise TimeoutError("verdict stream")
+    return d.spark.read.parquet(path).select("run_id", "verdict")
