@@ -74,7 +74,8 @@ def captured(x):
     WITH {FOLD}, s AS (SELECT doc_id, {scrubbed('text')} AS t FROM documents, f) SELECT doc_id, {captured('t')} AS stored FROM s""", "secrets")
 def _(d):
     fn = R.scrubber(d.secrets).text
-    return d.documents.select("doc_id", S.redact_captured(fn(F.col("text"))).alias("stored"))
+    scrubbed = d.documents.select("doc_id", fn(F.col("text")).alias("scrubbed"))
+    return scrubbed.select("doc_id", S.redact_captured(F.col("scrubbed")).alias("stored"))
 
 
 @query("H6_redact_got", f"""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from soundcheck.functions.text import as_col, first_line, truncate_utf8
+from soundcheck.functions.text import as_col, first_line, let, truncate_utf8
 
 # Limits and markers.
 PREVIEW_BYTES = 120
@@ -47,9 +47,9 @@ def scrub(c: Column | str, secrets: Sequence[tuple[str | None, str]]) -> Column:
 
 def redact_captured(scrubbed: Column) -> Column:
     """Scrubbed output as a first-line preview and the SHA-256 of the whole scrubbed text."""
-    preview = truncate_utf8(first_line(scrubbed), PREVIEW_BYTES)
     mark = F.concat(F.lit("[sha256:"), F.sha2(scrubbed.cast("binary"), 256), F.lit("]"))
-    return F.when(preview == "", mark).otherwise(F.concat(preview, F.lit(" "), mark))
+    preview = let(first_line(scrubbed), lambda line: truncate_utf8(line, PREVIEW_BYTES))
+    return let(preview, lambda p: F.concat(p, F.when(p == "", F.lit("")).otherwise(F.lit(" ")), mark))
 
 
 def redact_got(scrubbed: Column, keep_literal: Column) -> Column:
@@ -58,10 +58,10 @@ def redact_got(scrubbed: Column, keep_literal: Column) -> Column:
     return F.when(F.coalesce(keep_literal, F.lit(False)) | short, scrubbed).otherwise(redact_captured(scrubbed))
 
 
-def redact_warnings(raw: Column, scrub_fn: Callable[[Column], Column]) -> Column:
+def redact_warnings(raw: Column, scrubbed: Column) -> Column:
     """Preview and fingerprint, unless blank or already ending in a fingerprint."""
     done = raw.isNull() | (raw == "") | raw.rlike(FINGERPRINT)
-    return F.when(done, raw).otherwise(redact_captured(scrub_fn(raw)))
+    return F.when(done, raw).otherwise(redact_captured(scrubbed))
 
 
 def credential_counts(c: Column | str) -> Column:

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from soundcheck.functions import secrets as S
+from soundcheck.functions.text import let
 from soundcheck.plans.ordered import over_groups, row_number
 from soundcheck.plans.sizing import fits
 
-FEW_SECRETS = 200
+FEW_SECRETS = 16  # beyond, one automaton pass is cheaper than a chain of scans
 SECRETS_PER_PASS = 50_000
 
 
@@ -150,25 +151,31 @@ def redact_captures(df: DataFrame, got: str, keep_literal: Column | str, secrets
     """The stored form of captured output: short one-line values scrubbed, the rest preview and fingerprint."""
     s = scrubber(secrets, **sizes)
     keep = F.col(keep_literal) if isinstance(keep_literal, str) else keep_literal
-    return df.withColumn(got, S.redact_got(s.text(F.col(got)), keep))
+    # The scrubbed text is a column of its own, so that it is computed once.
+    scrubbed = df.withColumns({"_scrubbed": s.text(F.col(got)), "_keep": keep})
+    return scrubbed.withColumn(got, S.redact_got(F.col("_scrubbed"), F.col("_keep"))).drop("_scrubbed", "_keep")
 
 
 def redact_reports(reports: DataFrame, secrets: DataFrame, **sizes) -> DataFrame:
     """Reports as they may be stored or sent. Redacting twice changes nothing."""
     s = scrubber(secrets, **sizes)
-    warnings, load_error = F.col("load.warnings"), F.col("load.error")
-    fields = ("got", "detail", "error")
-    done = reports.withColumns({f"_{f}": s.texts(F.col(f"checks.{f}")) for f in fields})
-    load = F.col("load").withField("warnings", S.redact_warnings(warnings, s.text)).withField("error", s.text(load_error))
+    # Scrubbed values are columns of their own, so that each is computed once.
+    done = reports.withColumns({
+        "_got": s.texts(F.col("checks.got")), "_detail": s.texts(F.col("checks.detail")), "_error": s.texts(F.col("checks.error")),
+        "_warnings": s.text(F.col("load.warnings")), "_load_error": s.text(F.col("load.error"))})
+    load = F.col("load").withField("warnings", S.redact_warnings(F.col("load.warnings"), F.col("_warnings"))).withField(
+        "error", F.col("_load_error"))
 
     def check(c, i):
         at = lambda f: F.get(F.col(f"_{f}"), i)
-        got = F.when(c["got"].isNull() | (c["got"] == ""), c["got"]).otherwise(S.redact_got(at("got"), c["keep_literal"]))
+        blank = c["got"].isNull() | (c["got"] == "")
         # A value that already ends in a fingerprint is the result of an earlier redaction.
-        got = F.when(at("got").rlike(S.FINGERPRINT) & ~at("got").rlike("[\n\r]"), at("got")).otherwise(got)
+        got = let(at("got"), lambda g: F.when(blank | (g.rlike(S.FINGERPRINT) & ~g.rlike("[\n\r]")), g)
+                  .otherwise(S.redact_got(g, c["keep_literal"])))
         return c.withField("got", got).withField("detail", at("detail")).withField("error", at("error"))
 
-    return done.withColumns({"load": load, "checks": F.transform("checks", check)}).drop(*[f"_{f}" for f in fields])
+    return done.withColumns({"load": load, "checks": F.transform("checks", check)}).drop(
+        "_got", "_detail", "_error", "_warnings", "_load_error")
 
 
 def raw_output(before: DataFrame, after: DataFrame) -> DataFrame:
