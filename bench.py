@@ -1,6 +1,7 @@
 """Headline queries, timed: prints one JSON line.
 
-BENCH_SF_DIR names the data folder, BENCH_CPUS the cores, BENCH_RUNS the timed runs (median is taken).
+BENCH_SF_DIR names the data folder, BENCH_CPUS the cores, BENCH_RUNS the timed runs (median is taken),
+BENCH_ONLY a comma-separated choice of queries.
 """
 
 from __future__ import annotations
@@ -46,7 +47,9 @@ def headline():
               "F6_fleet", "F9_asof_recovery_point", "V1_verdicts", "V4_build_reports", "C3_foreign_key", "C6_overlaps", "C9_snapshot_diff",
               "L9_evidence_by_target", "L8_accept_submissions", "M1_overdue", "M7_rate_limit", "B5_file_exists", "B6_file_count",
               "B8_responses", "E5_evaluate_expectations", "A9_effective_settings", "D18_cap_candidates"]
-    return {**named, **{n: QUERIES[n] for n in picked}}
+    chosen = {**named, **{n: QUERIES[n] for n in picked}}
+    only = os.environ.get("BENCH_ONLY")
+    return {n: f for n, f in chosen.items() if not only or n in only.split(",")}
 
 
 def main() -> None:

@@ -346,6 +346,6 @@ def validate_checks(checks: DataFrame, target_type: Column | str, capabilities:
         .withColumn("_capability", F.try_element_at(needed, kind))
         .join(caps, (F.col("_target") == F.col("_t")) & (F.col("_capability") == F.col("_have")), "left")
         .withColumn("_found", found)
-        .select("check_id", "ord", "name", F.posexplode("_found").alias("_i", "_v"))
+        .select("check_id", "ord", "name", F.posexplode_outer("_found").alias("_i", "_v")).filter("_v IS NOT NULL")
         .select("check_id", "ord", "name", "_v.rule_no", "_v.violation", (F.col("_i") == 0).alias("is_first"))
     )

@@ -154,7 +154,7 @@ def verify_entries(ledger: DataFrame, keys: DataFrame | None = None) -> DataFram
 
 def verify_steps(ledger: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """One row per (entry, step)."""
-    return verify_entries(ledger, keys).select("tenant_id", "seq", "id", F.explode("steps").alias("s")).select(
+    return verify_entries(ledger, keys).select("tenant_id", "seq", "id", F.explode_outer("steps").alias("s")).select(
         "tenant_id", "seq", "id", F.col("s.name").alias("step"), "s.ok", "s.detail")
 
 

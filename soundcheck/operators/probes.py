@@ -73,7 +73,7 @@ def glob_counts(patterns: DataFrame, files: DataFrame) -> DataFrame:
             F.array_join(F.slice(segments, 1, k), "/").alias("anchor"),
             ((F.size(segments) > k) & (F.lit(dialect == "find") | ~is_dir)).alias("fits"))
         for dialect, k in shapes]), lambda s: s["fits"])
-    placed = files.select("path", F.explode(spots).alias("s")).select("path", "s.depth", "s.k", "s.anchor")
+    placed = files.select("path", F.explode_outer(spots).alias("s")).filter("s IS NOT NULL").select("path", "s.depth", "s.k", "s.anchor")
     return (placed.join(broadcast_if_small(globs), ["depth", "k", "anchor"])
             .filter(F.expr("path RLIKE rx")).groupBy("check_id").agg(F.count(F.lit(1)).alias("n")))
 

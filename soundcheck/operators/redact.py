@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from soundcheck.functions import secrets as S
-from soundcheck.functions.text import let
 from soundcheck.plans.ordered import over_groups, row_number
 from soundcheck.plans.sizing import fits
 
@@ -121,6 +120,11 @@ def _replace_all(s: str | None, pairs, find) -> str | None:
     return s
 
 
+def _evaluated_apart(udf):
+    """Keep the optimizer from moving the call into another expression, where it could not run in a lambda."""
+    return udf.asNondeterministic()
+
+
 def _text_udf(step):
     @F.pandas_udf("string")
     def apply(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -128,7 +132,7 @@ def _text_udf(step):
         find = _finder(pairs)
         for series in it:
             yield series.map(lambda s: _replace_all(s, pairs, find))
-    return apply
+    return _evaluated_apart(apply)
 
 
 def _texts_udf(step):
@@ -138,7 +142,7 @@ def _texts_udf(step):
         find = _finder(pairs)
         for series in it:
             yield series.map(lambda xs: None if xs is None else [_replace_all(s, pairs, find) for s in xs])
-    return apply
+    return _evaluated_apart(apply)
 
 
 def scrub(df: DataFrame, columns: list[str], secrets: DataFrame, **sizes) -> DataFrame:
@@ -166,16 +170,20 @@ def redact_reports(reports: DataFrame, secrets: DataFrame, **sizes) -> DataFrame
     load = F.col("load").withField("warnings", S.redact_warnings(F.col("load.warnings"), F.col("_warnings"))).withField(
         "error", F.col("_load_error"))
 
-    def check(c, i):
-        at = lambda f: F.get(F.col(f"_{f}"), i)
+    # Zipped, since the result of a Python function must not be read inside a lambda by position.
+    together = F.arrays_zip(F.col("checks").alias("c"), F.col("_got").alias("g"), F.col("_detail").alias("d"),
+                            F.col("_error").alias("e"))
+
+    def check(z):
+        c, got = z["c"], z["g"]
         blank = c["got"].isNull() | (c["got"] == "")
         # A value that already ends in a fingerprint is the result of an earlier redaction.
-        got = let(at("got"), lambda g: F.when(blank | (g.rlike(S.FINGERPRINT) & ~g.rlike("[\n\r]")), g)
-                  .otherwise(S.redact_got(g, c["keep_literal"])))
-        return c.withField("got", got).withField("detail", at("detail")).withField("error", at("error"))
+        stored = F.when(blank | (got.rlike(S.FINGERPRINT) & ~got.rlike("[\n\r]")), got).otherwise(
+            S.redact_got(got, c["keep_literal"]))
+        return c.withField("got", stored).withField("detail", z["d"]).withField("error", z["e"])
 
-    return done.withColumns({"load": load, "checks": F.transform("checks", check)}).drop(
-        "_got", "_detail", "_error", "_warnings", "_load_error")
+    checks = F.when(F.col("checks").isNotNull(), F.transform(together, check))
+    return done.withColumns({"load": load, "checks": checks}).drop("_got", "_detail", "_error", "_warnings", "_load_error")
 
 
 def raw_output(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -192,7 +200,8 @@ def raw_output(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def scan_credentials(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
     """id, pattern, count of the credential shapes in a text; never the matched text. No shuffle."""
-    return df.select(id_col, F.explode(S.credential_counts(col)).alias("m")).select(
+    # The outer form, since Spark guards a plain explode with a filter that scans every text a second time.
+    return df.select(id_col, F.explode_outer(S.credential_counts(col)).alias("m")).filter("m IS NOT NULL").select(
         id_col, "m.pattern", F.col("m.count").alias("count"))
 
 

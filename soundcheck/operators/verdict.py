@@ -90,7 +90,7 @@ def validate_reports(reports: DataFrame) -> DataFrame:
     ]
     found = F.filter(F.array(*[F.struct(F.lit(i + 1).alias("rule_no"), r.alias("violation")) for i, r in enumerate(rules)]),
                      lambda r: r["violation"].isNotNull())
-    return reports.select("run_id", "part", F.explode(found).alias("_v")).select(
+    return reports.select("run_id", "part", F.explode_outer(found).alias("_v")).filter("_v IS NOT NULL").select(
         "run_id", "part", "_v.rule_no", "_v.violation")
 
 
@@ -109,7 +109,7 @@ def render_summary(reports: DataFrame) -> DataFrame:
                F.concat(F.lit("  load      warn  "), F.col("load.warnings"))).otherwise(F.lit("")))
     foot = F.array(F.concat(F.lit("  verdict   "), F.upper("verdict")))
     lines = F.concat(F.filter(head, lambda line: line != ""), F.transform("checks", check_line), foot)
-    return reports.select("run_id", "part", F.posexplode(lines).alias("line_no", "line"))
+    return reports.select("run_id", "part", F.posexplode_outer(lines).alias("line_no", "line"))
 
 
 def fleet_view(runs: DataFrame, by: Sequence[str] = ("target",), ts: str = "finished_at", id_col: str = "run_id",
