@@ -188,11 +188,11 @@ def _(d):
     return shown(P.file_exists_checks(_defs(d, FILE_CHECKS), d.files))
 
 
-GLOB_CHECKS = """
-    SELECT concat('g_', source, '_', n) AS check_id, n AS ord, concat(source, '_', n) AS name, 'required' AS severity,
-           concat(source, CASE n WHEN 0 THEN '/*' WHEN 1 THEN '/*/*.txt' WHEN 2 THEN '/en/doc_?[0-4].*' WHEN 3 THEN '/*' ELSE '/nothing/*' END) AS path,
-           CASE n WHEN 3 THEN 'find' END AS dialect, 3.0 AS expect_min, 40.0 AS expect_max
-    FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k
+GLOBS = ["'/*'", "'/*/*.txt'", "'/en/doc_?[0-4].*'", "'/*'", "'/nothing/*'"]
+GLOB_CHECKS = " UNION ALL ".join(f"""
+    SELECT concat('g_', source, '_{n}') AS check_id, {n} AS ord, concat(source, '_{n}') AS name, 'required' AS severity, concat(source, {g}) AS path,
+           {"'find'" if n == 3 else "NULL"} AS dialect, 3.0 AS expect_min, 40.0 AS expect_max
+    FROM (SELECT DISTINCT source FROM documents) s{n}""" for n, g in enumerate(GLOBS)) + """
     UNION ALL SELECT 'g_root', 9, 'root', 'required', '*', NULL, 1.0, NULL FROM (SELECT count(*) FROM documents) x
     UNION ALL SELECT 'g_hidden', 9, 'hidden', 'required', '.*.txt', NULL, 1.0, NULL FROM (SELECT count(*) FROM documents) x"""
 
