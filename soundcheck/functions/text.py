@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The Unicode white-space characters that trimming removes.
-WHITE_SPACE = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ELLIPSIS = "…"
 
 
@@ -20,7 +20,7 @@ def let(value: Column, fn) -> Column:
 
 def trim_space(c: Column | str) -> Column:
     """Trim Unicode white space on both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(as_col(c), f"\\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\\z", "")
+    return F.btrim(as_col(c), F.lit(WHITE_SPACE))
 
 
 def blank_to(c: Column | str, default: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from soundcheck.functions.text import trim_space
+from soundcheck.functions.text import let, trim_space
 
 LIBRARIES_KEY = "shared_preload_libraries"
 
@@ -14,11 +14,14 @@ def setting_line(line: Column) -> Column:
 
     A ``#`` inside single quotes is no comment; one layer of single quotes around the value is removed.
     """
-    code = trim_space(F.regexp_extract(line, r"(?s)\A((?:[^'#]++|'[^']*+(?:'|\z))*+)", 1))
-    at = F.instr(code, "=")
-    key = F.lower(trim_space(code.substr(F.lit(1), at - 1)))
-    value = F.regexp_replace(trim_space(code.substr(at + 1, F.length(code))), r"(?s)\A'(.*)'\z", "$1")
-    return F.when(at > 0, F.struct(key.alias("key"), value.alias("value")))
+    def split(code):
+        at = F.instr(code, "=")
+        key = F.lower(trim_space(code.substr(F.lit(1), at - 1)))
+        value = F.regexp_replace(trim_space(code.substr(at + 1, F.length(code))), r"(?s)\A'(.*)'\z", "$1")
+        return F.when(at > 0, F.struct(key.alias("key"), value.alias("value")))
+
+    code = F.regexp_extract(line, r"(?s)\A((?:[^'#]++|'[^']*+(?:'|\z))*+)", 1)
+    return let(trim_space(code), split)
 
 
 def effective_settings(lines: DataFrame) -> DataFrame:
