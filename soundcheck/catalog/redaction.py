@@ -58,20 +58,23 @@ def truncated(x, n=120):
         lambda k: strlen(left({x}, k::BIGINT)) <= {n}))), '…') END"""
 
 
-@query("H4_truncate_utf8", f"""SELECT doc_id, {truncated("x")} AS preview FROM (SELECT doc_id, left(text, 200) AS x FROM documents)""")
+@query("H4_truncate_utf8", f"SELECT doc_id, {truncated('text')} AS preview FROM documents")
 def _(d):
-    # 200 characters are always more than 120 bytes, or the whole text; the SQL side uses that to stay fast.
     return d.documents.select("doc_id", T.truncate_utf8("text").alias("preview"))
 
 
 def captured(x):
-    """Preview and fingerprint of a scrubbed text."""
-    line = f"left({LINE.replace('X', x)}, 200)"
-    return f"""concat(CASE WHEN {LINE.replace('X', x)} = '' THEN '' ELSE concat({truncated(line)}, ' ') END, '[sha256:', sha256({x}), ']')"""
+    """Preview and fingerprint of the scrubbed text x with the first line x_line."""
+    return f"concat(CASE WHEN {x}_line = '' THEN '' ELSE concat({truncated(x + '_line')}, ' ') END, '[sha256:', sha256({x}), ']')"
+
+
+def with_line(x):
+    return f"{x}, {LINE.replace('X', x)} AS {x}_line"
 
 
 @query("H5_redact_captured", f"""
-    WITH {FOLD}, s AS (SELECT doc_id, {scrubbed('text')} AS t FROM documents, f) SELECT doc_id, {captured('t')} AS stored FROM s""", "secrets")
+    WITH {FOLD}, s AS (SELECT doc_id, {scrubbed('text')} AS t FROM documents, f), l AS (SELECT doc_id, {with_line('t')} FROM s)
+    SELECT doc_id, {captured('t')} AS stored FROM l""", "secrets")
 def _(d):
     fn = R.scrubber(d.secrets).text
     scrubbed = d.documents.select("doc_id", fn(F.col("text")).alias("scrubbed"))
@@ -79,10 +82,9 @@ def _(d):
 
 
 @query("H6_redact_got", f"""
-    WITH {FOLD}, s AS (SELECT doc_id, {scrubbed('text')} AS t FROM documents, f)
-    SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR (strlen(t) <= 256 AND NOT regexp_matches(t, '[\\n\\r]')) THEN t ELSE {captured('t')} END AS got FROM s
-    UNION ALL SELECT -item_id, text FROM benchmark WHERE strlen(text) <= 256 AND NOT regexp_matches(text, '[\\n\\r]')
-    UNION ALL SELECT -item_id, {captured('text')} FROM benchmark WHERE strlen(text) > 256 OR regexp_matches(text, '[\\n\\r]')""", "secrets")
+    WITH {FOLD}, s AS (SELECT doc_id, {scrubbed('text')} AS t, doc_id % 5 = 0 AS keep FROM documents, f UNION ALL SELECT -item_id, text, false FROM benchmark),
+    l AS (SELECT doc_id, keep, {with_line('t')} FROM s)
+    SELECT doc_id, CASE WHEN keep OR (strlen(t) <= 256 AND NOT regexp_matches(t, '[\\n\\r]')) THEN t ELSE {captured('t')} END AS got FROM l""", "secrets")
 def _(d):
     rows = d.documents.select("doc_id", F.col("text").alias("got"), (F.col("doc_id") % 5 == 0).alias("keep")).unionByName(
         d.benchmark.select((-F.col("item_id")).alias("doc_id"), F.col("text").alias("got"), F.lit(False).alias("keep")))
@@ -106,8 +108,8 @@ def leaky(d):
 
 
 REDACTED = f"""
-    WITH {FOLD}, s AS (SELECT doc_id, text, {scrubbed('text')} AS t FROM documents, f),
-    g AS (SELECT *, CASE WHEN strlen(t) <= 256 AND NOT regexp_matches(t, '[\\n\\r]') THEN t ELSE {captured('t')} END AS got, {captured('t')} AS cap FROM s)"""
+    WITH {FOLD}, s AS (SELECT doc_id, text, {scrubbed('text')} AS t FROM documents, f), l AS (SELECT doc_id, text, {with_line('t')} FROM s),
+    g AS (SELECT *, CASE WHEN strlen(t) <= 256 AND NOT regexp_matches(t, '[\\n\\r]') THEN t ELSE {captured('t')} END AS got, {captured('t')} AS cap FROM l)"""
 
 
 @query("H7_redact_reports", f"{REDACTED} SELECT concat('r_', doc_id) AS run_id, cap AS warnings, t AS load_error, got, t AS literal, t AS detail, NULL AS nothing FROM g", "secrets")

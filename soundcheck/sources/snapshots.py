@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from soundcheck.schemas import LOAD
 
 FORMATS = ("parquet", "csv", "json", "orc")
 CORRUPT = "_corrupt_record"
+OPEN_TOGETHER = 8
 
 
 class OperationalError(RuntimeError):
@@ -58,24 +60,29 @@ def load_snapshot(spark: SparkSession, folder: str, name: str | None = None, vie
     formats are a warning.
     """
     started = time.monotonic()
-    tables, counts, errors, dropped = {}, [], [], 0
-    for table, (fmt, path) in find_tables(spark, folder).items():
+    found = find_tables(spark, folder)
+
+    def open_table(table: str) -> tuple[DataFrame, int, int] | str:
         try:
-            df = read_table(spark, fmt, path)
-            if CORRUPT in df.columns:
-                others = [F.count(F.col(f"`{c}`")) for c in df.columns if c != CORRUPT]
-                seen = df.agg(F.count_if(F.col(CORRUPT).isNotNull()), F.count(F.lit(1)), *others).first()
-                dropped += seen[0]
-                df, rows = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), seen[1] - seen[0]
-            else:
+            df = read_table(spark, *found[table])
+            if CORRUPT not in df.columns:
                 df.limit(1).collect()
-                rows = df.count()
-            tables[table] = df
-            counts.append((table, rows))
-            if views:
-                df.createOrReplaceTempView(f"`{table}`")
+                return df, df.count(), 0
+            others = [F.count(F.col(f"`{c}`")) for c in df.columns if c != CORRUPT]
+            seen = df.agg(F.count_if(F.col(CORRUPT).isNotNull()), F.count(F.lit(1)), *others).first()
+            return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), seen[1] - seen[0], seen[0]
         except Exception as error:  # noqa: BLE001 - an unreadable table is a failing load
-            errors.append(f"{table}: {str(error).strip().splitlines()[0][:200]}")
+            return f"{table}: {str(error).strip().splitlines()[0][:200]}"
+
+    with ThreadPoolExecutor(OPEN_TOGETHER) as pool:  # tables are counted side by side
+        opened = dict(zip(found, pool.map(open_table, found)))
+    errors = [o for o in opened.values() if isinstance(o, str)]
+    good = {t: o for t, o in opened.items() if not isinstance(o, str)}
+    tables, counts = {t: o[0] for t, o in good.items()}, [(t, o[1]) for t, o in good.items()]
+    dropped = sum(o[2] for o in good.values())
+    if views:
+        for table, df in tables.items():
+            df.createOrReplaceTempView(f"`{table}`")
     if not tables and not errors:
         raise OperationalError(f"no tables in {folder}")
     millis = int((time.monotonic() - started) * 1000)
