@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def headline():
@@ -43,7 +43,7 @@ def headline():
         return L.verify_chain(L.build_ledger(Data(spark, folder).attestations))
 
     named = {"fused_checks": fused_checks, "scaffold": scaffold, "ledger_build_verify": ledger_build_verify}
-    picked = ["H9_scan_credentials", "H2_scrub", "H6_redact_got", "H7_redact_reports", "F2_last_good", "F4_snapshot_verdicts",
+    picked = ["H9_scan_credentials", "H2_scrub", "H6_redact_got", "F2_last_good", "F4_snapshot_verdicts",
               "F6_fleet", "F9_asof_recovery_point", "V1_verdicts", "V4_build_reports", "C3_foreign_key", "C6_overlaps", "C9_snapshot_diff",
               "L9_evidence_by_target", "L8_accept_submissions", "M1_overdue", "M7_rate_limit", "B5_file_exists", "B6_file_count",
               "B8_responses", "E5_evaluate_expectations", "A9_effective_settings", "D18_cap_candidates"]

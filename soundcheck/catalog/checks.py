@@ -577,9 +577,9 @@ def _(d):
 
 
 STORED = """
-    SELECT l_orderkey, count(*) + CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END AS lines, sum(<INT(l_quantity)>) AS quantity
+    SELECT l_orderkey, count(*) + CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END AS lines, CAST(sum(<INT(l_quantity)>) AS BIGINT) AS quantity
     FROM lineitem GROUP BY l_orderkey"""
-FRESH = "SELECT l_orderkey, count(*) AS lines, sum(<INT(l_quantity)>) AS quantity FROM lineitem WHERE l_orderkey % 70 <> 3 GROUP BY l_orderkey"
+FRESH = "SELECT l_orderkey, count(*) AS lines, CAST(sum(<INT(l_quantity)>) AS BIGINT) AS quantity FROM lineitem WHERE l_orderkey % 70 <> 3 GROUP BY l_orderkey"
 
 
 @query("C8_derived_table", f"""
@@ -606,7 +606,7 @@ def _(d):
 
 @query("C9_keyless_diff", f"""
     WITH a AS (SELECT o_custkey, o_orderstatus FROM orders), b AS (SELECT o_custkey, o_orderstatus FROM ({COPY}))
-    SELECT sum(na) AS only_a, sum(nb) AS only_b FROM (SELECT greatest(sum(x), 0) AS na, greatest(-sum(x), 0) AS nb FROM
+    SELECT CAST(sum(na) AS BIGINT) AS only_a, CAST(sum(nb) AS BIGINT) AS only_b FROM (SELECT greatest(sum(x), 0) AS na, greatest(-sum(x), 0) AS nb FROM
       (SELECT *, 1 AS x FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY o_custkey, o_orderstatus)""")
 def _(d):
     narrow = lambda df: df.select("o_custkey", "o_orderstatus")

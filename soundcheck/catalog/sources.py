@@ -135,7 +135,7 @@ VERDICT = """
 
 
 @query("A8_write_read_reports", f"""
-    WITH {VERDICT} SELECT target, verdict, count(*) AS reports, sum(checks) AS checks, 1 AS schema_version
+    WITH {VERDICT} SELECT target, verdict, count(*) AS reports, CAST(sum(checks) AS BIGINT) AS checks, 1 AS schema_version
     FROM v JOIN loads USING (run_id) GROUP BY 1, 2""", "loads results")
 def _(d):
     path = shared_path(d.spark, "reports")

@@ -35,6 +35,15 @@ def family(v):
         type(v), type(v).__name__)
 
 
+CLASSES = {"tinyint": "int", "smallint": "int", "int": "int", "integer": "int", "bigint": "int", "double": "float", "float": "float",
+           "string": "text", "varchar": "text", "boolean": "bool", "timestamp": "time", "timestamp_ntz": "time",
+           "timestamp with time zone": "time"}
+
+
+def type_class(name: str) -> str:
+    return CLASSES.get(name.lower(), name.lower())
+
+
 def compare(spark, con, name: str, folder: str) -> list[str]:
     """Differences, none when both engines agree."""
     df = QUERIES[name](spark, folder)
@@ -48,7 +57,11 @@ def compare(spark, con, name: str, folder: str) -> list[str]:
     problems = []
     if not mine:
         problems.append("no rows")
+    kinds = dict(zip(rel.columns, map(str, rel.types)))
     for i, c in enumerate(cols):
+        x, y = type_class(df.schema[c].dataType.simpleString()), type_class(kinds[c])
+        if x != y and any(r[i] is not None for r in mine):
+            problems.append(f"type of {c}: {x} != {y}")
         a = {family(r[i]) for r in mine if r[i] is not None}
         b = {family(r[i]) for r in theirs if r[i] is not None}
         if a != b:
