@@ -63,7 +63,7 @@ def last_good_search(spark: SparkSession, ranked: DataFrame, check_fn: Callable[
     tested, found = [], False
     walk = ranked.orderBy("rn") if max_try <= 0 else ranked.orderBy("rn").limit(max_try)
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        for group in batches(walk.select("rn", "label"), parallel):
+        for group in batches(walk.select("rn", "label"), parallel, ordered=True):
             for row, reason in zip(group, pool.map(lambda r: check_fn(r["label"]), group)):
                 if found:
                     break

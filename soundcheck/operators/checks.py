@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 from soundcheck.functions.text import blank_to, quote_ident, trim_space
 from soundcheck.operators.expect import evaluate_expectations
 from soundcheck.operators.registry import Snapshot, check_kinds, register_check_kind
-from soundcheck.plans.sizing import batches, broadcast_if_small
+from soundcheck.plans.sizing import batches, broadcast_if_small, hold
 from soundcheck.schemas import CHECK_FIELDS, CHECKS, RESULT_FIELDS, RESULTS
 
 FUSED = 200  # checks fused into one aggregation or one row of subqueries
@@ -264,31 +264,26 @@ def run_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_of
     Every kind runs as one plan. If a plan fails at run time, its checks are repeated one by one, and
     only those that fail again become error rows.
     """
-    checks = default_checks(checks).select(*CHECK_FIELDS)
-    present = {r["kind"] for r in checks.select("kind").distinct().toLocalIterator()}
+    checks = hold(default_checks(checks).select(*CHECK_FIELDS))  # definitions may come from a costly discovery
+    present = {r["kind"] for r in checks.select("kind").distinct().collect()}
     parts = [unknown_kinds(checks)]
     for kind, fn in check_kinds().items():
         if kind not in present:
             continue
         mine = checks.filter(F.col("kind") == kind)
         try:
-            parts.append(_held(spark, fn(spark, mine, snapshot, as_of)))
+            parts.append(hold(fn(spark, mine, snapshot, as_of)))
         except Exception:  # noqa: BLE001
             for batch in batches(mine, 1):
                 one = spark.createDataFrame(batch, CHECKS)
                 try:
-                    parts.append(_held(spark, fn(spark, one, snapshot, as_of)))
+                    parts.append(hold(fn(spark, one, snapshot, as_of)))
                 except Exception as error:  # noqa: BLE001
                     parts.append(results(one.withColumns({
                         "ok": F.lit(False), "got": F.lit(""), "error": F.lit(_short(error))})))
     return _union(parts, spark, RESULTS).orderBy("ord")
 
 
-def _held(spark, df: DataFrame) -> DataFrame:
-    """Run now and hold the result: one row per check definition, never data rows."""
-    return spark.createDataFrame(df.collect(), df.schema)
-
-
 # -- validation ----------------------------------------------------------------------------------
 
 # Which capability a kind needs, and the built-in target types that have it.

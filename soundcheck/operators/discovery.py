@@ -16,6 +16,7 @@ from soundcheck.functions.text import (blank_to, check_name, is_temp_name, quote
                                        skeleton_file_name)
 from soundcheck.operators.checks import run_checks
 from soundcheck.operators.registry import Snapshot
+from soundcheck.plans.sizing import broadcast_if_small, hold
 from soundcheck.schemas import CHECK_FIELDS, CHECKS
 
 # Obvious time columns, excluded schemas, thresholds and caps.
@@ -289,7 +290,7 @@ def cap_candidates(candidates: DataFrame, n: int = SUBJECT_CAP) -> DataFrame:
 def verify_candidates(spark: SparkSession, candidates: DataFrame, snapshot: Snapshot, as_of=None) -> DataFrame:
     """Run every candidate and keep those that execute and pass."""
     passed = run_checks(spark, candidates.select(*CHECK_FIELDS), snapshot, as_of).filter("ok").select("check_id")
-    return candidates.join(F.broadcast(passed), "check_id", "left_semi")  # one row per definition
+    return candidates.join(broadcast_if_small(passed), "check_id", "left_semi")
 
 
 def _numbered(candidates: DataFrame) -> DataFrame:
@@ -306,15 +307,14 @@ def scaffold(spark: SparkSession, snapshot: Snapshot, flavor: str = "postgres",
     floors and freshness by the ``prefer_updated`` rule.
     """
     rule = "single" if flavor == "postgres" else "prefer_updated"
-    made = profile_tables(spark, snapshot, rule, as_of, allow_ntz)
-    profile = spark.createDataFrame(made.collect(), made.schema)  # one row per table
+    profile = hold(profile_tables(spark, snapshot, rule, as_of, allow_ntz))  # one row per table
     if flavor == "postgres":
         proposed = [structural_checks(profile), nonempty_checks(profile), freshness_checks(profile, grouped=False)]
     else:
         proposed = [structural_checks(profile, "mysql"), row_floor_checks(profile), freshness_checks(profile)]
     if snapshot.files is not None:
         proposed.append(discover_files(snapshot.files).withColumn("ord", F.coalesce("ord", F.lit(1_000_000))))
-    candidates = _numbered(reduce(DataFrame.unionByName, proposed))
+    candidates = hold(_numbered(reduce(DataFrame.unionByName, proposed)))
     capped = cap_candidates(candidates, cap)
     subject = Snapshot({**snapshot.tables, TABLES_VIEW: profile}, snapshot.files, snapshot.responses,
                        snapshot.captures, snapshot.name)

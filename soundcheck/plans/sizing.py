@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F
 
+from soundcheck.session import materialise
+
 BROADCAST_ROWS = 100_000
 
 
@@ -19,10 +21,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def batches(df: DataFrame, size: int) -> Iterator[list[Row]]:
-    """Stream a table of *definitions* to the driver, ``size`` rows at a time."""
+def hold(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a table that is used several times once: on the driver while it is small, else written."""
+    spark = df.sparkSession
+    rows = df.limit(max_rows + 1).repartition(1).collect()
+    if len(rows) <= max_rows:
+        return spark.createDataFrame(rows, df.schema)
+    return materialise(df, "held")
+
+
+def batches(df: DataFrame, size: int, ordered: bool = False) -> Iterator[list[Row]]:
+    """Stream a table of *definitions* to the driver, ``size`` rows at a time.
+
+    One partition means one job; ``ordered`` keeps the partitions of a sorted table instead, and reads
+    them only as far as asked.
+    """
     batch: list[Row] = []
-    for row in df.toLocalIterator():
+    for row in (df if ordered else df.repartition(1)).toLocalIterator():
         batch.append(row)
         if len(batch) == size:
             yield batch
