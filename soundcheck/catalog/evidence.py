@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from soundcheck.catalog.base import query
-from soundcheck.functions import ed25519
+from soundcheck.functions.ed25519 import public_key, sign as sign_message
 from soundcheck.functions.text import canonical_entry
 from soundcheck.operators import access as A
 from soundcheck.operators import ledger as L
@@ -93,7 +93,7 @@ SEEDS = {f"key_{i}": bytes([i + 1]) * 32 for i in range(3)}
 
 
 def trusted_keys(spark, names=("key_0", "key_1")):
-    rows = [(k, base64.b64encode(ed25519.public_key(SEEDS[k])).decode()) for k in names]
+    rows = [(k, base64.b64encode(public_key(SEEDS[k])).decode()) for k in names]
     return spark.createDataFrame(rows, "key_id string, public_key string")
 
 
@@ -102,8 +102,8 @@ def _signed(d):
 
     @F.pandas_udf(T.StringType())
     def sign(keys: pd.Series, digests: pd.Series) -> pd.Series:
-        public = {k: ed25519.public_key(s) for k, s in seeds.items()}
-        return pd.Series([base64.b64encode(ed25519.sign(seeds[k], bytes.fromhex(h), public[k])).decode()
+        known = {k: public_key(s) for k, s in seeds.items()}
+        return pd.Series([base64.b64encode(sign_message(seeds[k], bytes.fromhex(h), known[k])).decode()
                           for k, h in zip(keys, digests)])
 
     key = F.col("c_custkey")

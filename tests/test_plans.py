@@ -28,3 +28,17 @@ def test_no_cross_joins_and_no_row_python(spark):
 
 def test_bounded_walk_prunes_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["F2_last_good_bounded"](spark, SMALL))
+
+
+def test_functions_travel_without_the_package():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from soundcheck.operators.ledger import _fold
+    from soundcheck.sources.files import _list
+
+    code = "import pickle, sys; fs = pickle.loads(sys.stdin.buffer.read()); assert 'soundcheck' not in sys.modules; print(len(fs))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps([_fold, _list]), capture_output=True, cwd="/")
+    assert done.stdout.strip() == b"2", done.stderr
