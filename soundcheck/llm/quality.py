@@ -86,16 +86,16 @@ def beta_prior(n: int, failed: int, hosts: int, squares: float) -> tuple[float,
     return mean, 1 / min(max(rho, 1e-6), 1 - 1e-6) - 1
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source",
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep: list[str] | None = None,
           max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per input row: ``row`` (struct of all its columns), the measures, base_failed, host_rejected, kept.
+    """One row per input row: ``row`` (struct of the columns in ``keep``, by default all), the measures, base_failed, host_rejected, kept.
 
     A null text is an empty one: no words, so it fails the base rules. An empty table gives no rows.
     Rows without a host are judged on their own text alone. Repeated rows count as often as they
     occur. The columns of ``docs`` stay inside ``row``, so their names never clash.
     """
     measured = materialise(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host_col).cast("string").alias("host"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(host_col).cast("string").alias("host"),
         measures(F.col(text_col)).alias("m")).select("row", "host", "m.*"), "quality")
     judged = measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                                  | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))

@@ -59,8 +59,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM based LEFT JOIN verdicts USING (source)""")
 def quality_rules(spark, folder):
     from soundcheck.llm.quality import judge
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    judged = judge(docs.select("doc_id", "source", "text"))
+    judged = judge(table(spark, folder, "documents"), keep=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "host_rejected", "kept")
 
