@@ -94,13 +94,14 @@ def predictor(model: dict[str, bytes]):
     return predict
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """One row per input row: ``row`` (struct of all its columns), lang_pred, score, accepted.
+def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None,
+             min_score: float = MIN_SCORE) -> DataFrame:
+    """One row per input row: ``row`` (struct of the columns in ``keep``, by default all), lang_pred, score, accepted.
 
     Null, empty and letterless texts are ``und`` with score 0 and never accepted; so is every text
     when the model is empty. Ties go to the language that is first by name and are too narrow to
     accept. Texts of any length are encoded whole. An empty table gives no rows.
     """
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
                         predictor(model)(F.col(text_col)).alias("found"))
     return found.select("row", "found.*").withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("score") >= min_score))

@@ -28,7 +28,7 @@ def language_id(spark, folder):
     from soundcheck.llm.language import held_out, identify, learn
     docs = table(spark, folder, "documents")
     model = learn(docs.where(~held_out()))
-    return identify(docs, model).select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+    return identify(docs, model, keep=["doc_id"]).select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
 MEASURED_SQL = r"""
@@ -78,3 +78,38 @@ FROM parts""")
 def chat_formatting(spark, folder):
     from soundcheck.llm.chat import format_chats
     return format_chats(table(spark, folder, "conversations"))
+
+
+@query("op2_byte_bpe")
+def byte_bpe(spark, folder):
+    import public_tokenizers as vocabularies
+    from soundcheck.llm.byte_bpe import decode_ids, encode_texts
+    path, pattern = vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
+    encoded = encode_texts(table(spark, folder, "documents"), path, pattern, keep=["doc_id"])
+    return encoded.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(decode_ids(F.col("ids"), path, pattern), 256).alias("decoded_sha256"))
+
+
+@query("op6_best_fit_packing")
+def best_fit_packing(spark, folder):
+    import public_tokenizers as vocabularies
+    from soundcheck.llm.packing import pack
+    return pack(table(spark, folder, "documents"), vocabularies.path("byte_bpe_50k.json"))
+
+
+@query("op7_token_counts")
+def token_counts(spark, folder):
+    import public_tokenizers as vocabularies
+    from soundcheck.llm.token_counts import count_tokens
+    counted = count_tokens(table(spark, folder, "documents"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN,
+                           keep=["doc_id"])
+    return counted.select("row.doc_id", "n_pretokens", "n_tokens")
+
+
+@query("op10_token_id_files")
+def token_id_files(spark, folder):
+    import public_tokenizers as vocabularies
+    from soundcheck.llm.id_files import read_ids, write_ids
+    return read_ids(write_ids(table(spark, folder, "documents"), vocabularies.path("word_bpe_49k.json")))
