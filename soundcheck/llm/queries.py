@@ -113,3 +113,21 @@ def token_id_files(spark, folder):
     import public_tokenizers as vocabularies
     from soundcheck.llm.id_files import read_ids, write_ids
     return read_ids(write_ids(table(spark, folder, "documents"), vocabularies.path("word_bpe_49k.json")))
+
+
+@query("op9_minhash_near_dedup", r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws]
+                ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]) END) AS shingle FROM words),
+counts AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b USING (shingle)
+           WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN counts a ON a.doc_id = x JOIN counts b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS origin FROM documents UNION SELECT y, origin FROM reach JOIN links ON node = x)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(origin) AS component_id, doc_id = min(origin) AS kept
+FROM documents LEFT JOIN counts USING (doc_id) JOIN reach ON node = doc_id GROUP BY doc_id""")
+def minhash_near_dedup(spark, folder):
+    from soundcheck.llm.near_text import near_duplicates
+    return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
