@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from soundcheck.session import materialise
 
@@ -57,9 +57,14 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
-@F.pandas_udf(MEASURES)
-def measures(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in texts], columns=[c.split()[0] for c in MEASURES.split(", ")], dtype="int64")
+def measures(text: Column) -> Column:
+    names = [c.split()[0] for c in MEASURES.split(", ")]
+
+    @F.pandas_udf(MEASURES)
+    def each(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t) for t in texts], columns=names, dtype="int64")
+
+    return each(text)
 
 
 def host_rates(hosts: DataFrame) -> DataFrame:
