@@ -131,3 +131,18 @@ FROM documents LEFT JOIN counts USING (doc_id) JOIN reach ON node = doc_id GROUP
 def minhash_near_dedup(spark, folder):
     from soundcheck.llm.near_text import near_duplicates
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
+@query("op1_hnsw_near_dedup", """
+WITH RECURSIVE usable AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS node, vec_id AS origin FROM embeddings UNION SELECT y, origin FROM reach JOIN links ON node = x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(origin) AS component_id, vec_id = min(origin) AS kept
+FROM embeddings JOIN reach ON node = vec_id LEFT JOIN counts ON x = vec_id GROUP BY vec_id""")
+def hnsw_near_dedup(spark, folder):
+    from soundcheck.llm.near_vectors import near_vectors
+    return near_vectors(table(spark, folder, "embeddings"))
