@@ -146,3 +146,9 @@ FROM embeddings JOIN reach ON node = vec_id LEFT JOIN counts ON x = vec_id GROUP
 def hnsw_near_dedup(spark, folder):
     from soundcheck.llm.near_vectors import near_vectors
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op3_katz_scores")
+def katz_scores(spark, folder):
+    from soundcheck.llm.katz import learned_from, score_texts
+    return score_texts(table(spark, folder, "documents"), learned_from())
