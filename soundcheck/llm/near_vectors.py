@@ -185,19 +185,25 @@ class Graph:
         return np.concatenate(found)
 
 
-def units(vectors: np.ndarray) -> np.ndarray:
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """In double precision, by a power of two each, so that squares neither overflow nor vanish and nothing is rounded."""
     wide = vectors.astype(np.float64)
-    wide /= np.abs(wide).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return np.ldexp(wide, -np.frexp(np.abs(wide).max(axis=1, keepdims=True))[1])
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    wide = scaled(vectors)
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
 def linked(graph: Graph, shard: np.ndarray, queries: np.ndarray, least: float):
     """Yields (first query, list of linked shard nodes for each query), with an audited beam."""
     asked = units(queries)
-    wide, norms = shard.astype(np.float64), np.linalg.norm(shard.astype(np.float64), axis=1)
+    wide, exact = scaled(shard), scaled(queries)
+    norms = np.linalg.norm(wide, axis=1)
 
     def confirm(i: int, nodes: np.ndarray) -> np.ndarray:
-        q = queries[i].astype(np.float64)
+        q = exact[i]
         return nodes[wide[nodes] @ q >= least * (norms[nodes] * np.linalg.norm(q))]
 
     def exhaustive(rows: np.ndarray) -> list[np.ndarray]:
