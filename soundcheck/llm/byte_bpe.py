@@ -89,8 +89,19 @@ def encoder(path: str, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe, known = ByteBpe(path, pattern), {}
 
+        def ids(part: str) -> bytes:
+            return array("i", bpe.encode(part)).tobytes()
+
+        def one(part: str) -> bytes:
+            word = part.rstrip(".,")  # a word and the marks after it are matches of their own
+            if word == part or part[0] != " " or not word[1:].isalpha():
+                return ids(part)
+            if word not in known:
+                known[word] = ids(word)
+            return known[word] + ids(part[len(word):])
+
         def fresh(parts: list[str]) -> list[bytes]:
-            return [array("i", bpe.encode(p)).tobytes() for p in parts]
+            return [one(p) for p in parts]
 
         for texts in batches:
             blobs = []
