@@ -41,7 +41,7 @@ def _(d):
 @query("H2_scrub_many", f"WITH {FOLD} SELECT doc_id, {scrubbed('text')} AS text FROM documents, f", "secrets")
 def _(d):
     # The way of long secret lists: several passes with a broadcast automaton each.
-    return R.scrub(d.documents.select("doc_id", "text"), ["text"], d.secrets, few=2, per_pass=4)
+    return R.scrub(d.documents.select("doc_id", "text"), ["text"], d.secrets, per_pass=4)
 
 
 LINE = trim("string_split(X, chr(10))[1]")

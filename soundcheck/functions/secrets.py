@@ -37,14 +37,6 @@ def longest_first(secrets: Sequence[tuple[str | None, str]]) -> list[tuple[str |
     return sorted(usable, key=lambda nv: -len(nv[1].encode()))
 
 
-def scrub(c: Column | str, secrets: Sequence[tuple[str | None, str]]) -> Column:
-    """Replace every exact occurrence of each known value (few values: a chain of ``replace``)."""
-    c = as_col(c)
-    for name, value in longest_first(secrets):
-        c = F.replace(c, F.lit(value), F.lit(marker(name)))
-    return c
-
-
 def redact_captured(scrubbed: Column) -> Column:
     """Scrubbed output as a first-line preview and the SHA-256 of the whole scrubbed text."""
     mark = F.concat(F.lit("[sha256:"), F.sha2(scrubbed.cast("binary"), 256), F.lit("]"))

@@ -79,16 +79,27 @@ def snapshot_results(snapshots: DataFrame, checks: DataFrame, by: Sequence[str]
                      ) -> DataFrame:
     """Evaluate aggregate checks for every snapshot in one pass.
 
-    ``sql`` of a check is an aggregate expression such as ``count_if(price < 0)``.
+    ``sql`` of a check is an aggregate expression such as ``count_if(price < 0)``. One that does not
+    analyse is an error row for every snapshot. Without checks there are no rows.
     """
     by, out = list(by), None
     for batch in batches(checks.select(*CHECK_FIELDS), FUSED):
-        aggs = [F.expr(c["sql"]).cast("string").alias(f"a{i}") for i, c in enumerate(batch)]
+        wrong, aggs = [], []
+        for i, c in enumerate(batch):
+            try:
+                expression = F.expr(c["sql"] or "").cast("string").alias(f"a{i}")
+                snapshots.groupBy(*by).agg(expression)  # analyses only
+                wrong.append(None)
+            except Exception as error:  # noqa: BLE001 - any failure of a check is its result
+                expression = F.max(F.lit(None).cast("string")).alias(f"a{i}")
+                wrong.append(str(error).strip())
+            aggs.append(expression)
         fields = ("check_id", "ord", "name", "severity", "expect_min", "expect_max", "equals", "max_age_s", "bool")
         kinds = {"ord": "int", "expect_min": "double", "expect_max": "double", "max_age_s": "bigint", "bool": "boolean"}
         stacked = snapshots.groupBy(*by).agg(*aggs).select(*by, F.explode(F.array(*[
             F.struct(*[F.lit(c[f]).cast(kinds.get(f, "string")).alias(f) for f in fields],
-                     F.coalesce(F.col(f"a{i}"), F.lit("")).alias("got")) for i, c in enumerate(batch)])).alias("s"))
+                     F.coalesce(F.col(f"a{i}"), F.lit("")).alias("got"), F.lit(wrong[i]).cast("string").alias("error"))
+            for i, c in enumerate(batch)])).alias("s"))
         part = evaluate_expectations(stacked.select(*by, "s.*"), as_of)
         out = part if out is None else out.unionByName(part)
     return out
@@ -96,10 +107,13 @@ def snapshot_results(snapshots: DataFrame, checks: DataFrame, by: Sequence[str]
 
 def snapshot_verdicts(snapshots: DataFrame, checks: DataFrame, by: Sequence[str] = ("snapshot_id",), as_of=None,
                       ) -> DataFrame:
-    """One verdict per snapshot of a chain, all snapshots in one job."""
-    return snapshot_results(snapshots, checks, by, as_of).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("checks"), F.count_if(failing()).alias("failed_required"),
-    ).withColumn("verdict", F.when(F.col("failed_required") > 0, F.lit("fail")).otherwise(F.lit("pass")))
+    """One verdict per snapshot of a chain, all snapshots in one job. A snapshot without checks passes."""
+    found = snapshot_results(snapshots, checks, by, as_of)
+    if found is None:
+        judged = snapshots.select(*by).distinct().withColumns({"checks": F.lit(0).cast("bigint"), "failed_required": F.lit(0).cast("bigint")})
+    else:
+        judged = found.groupBy(*by).agg(F.count(F.lit(1)).alias("checks"), F.count_if(failing()).alias("failed_required"))
+    return judged.withColumn("verdict", F.when(F.col("failed_required") > 0, F.lit("fail")).otherwise(F.lit("pass")))
 
 
 def recovery_age(last_good_df: DataFrame, as_of=None) -> DataFrame:

@@ -7,7 +7,9 @@ Data rows never are. Per table and batch there is one scan, whatever the number
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -17,8 +19,10 @@ from soundcheck.functions.text import blank_to, quote_ident, trim_space
 from soundcheck.operators.expect import evaluate_expectations
 from soundcheck.operators.registry import Snapshot, check_kinds, register_check_kind
 from soundcheck.plans.sizing import batches, broadcast_if_small, hold
+from soundcheck.session import materialise
 from soundcheck.schemas import CHECK_FIELDS, CHECKS, RESULT_FIELDS, RESULTS
 
+RUN_TOGETHER = 8
 FUSED = 200  # checks fused into one aggregation or one row of subqueries
 
 
@@ -52,9 +56,8 @@ def results(df: DataFrame) -> DataFrame:
     return df.select(*RESULT_FIELDS)
 
 
-def _short(error: Exception) -> str:
-    text = (error.getMessage() if isinstance(error, PySparkException) and error.getMessage() else str(error))
-    return text.strip().split("\n")[0][:500]
+def _told(error: Exception) -> str:
+    return (error.getMessage() if isinstance(error, PySparkException) and error.getMessage() else str(error)).strip()
 
 
 def _with_subjects(spark, checks: Sequence[Row], got: dict[str, str], errors: dict[str, str]) -> DataFrame:
@@ -73,47 +76,103 @@ def _union(parts: list[DataFrame], spark, empty: str) -> DataFrame:
 
 # -- sql ---------------------------------------------------------------------------------------
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _relations(plan, aliased: bool = False):
+    """(name parts, first and last position in the text, has an alias) of every table that a parsed query names."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "UnresolvedRelation":
+        origin = plan.origin()
+        yield tuple(_items(plan.multipartIdentifier())), origin.startIndex().get(), origin.stopIndex().get(), aliased
+    for below in _items(plan.children()):
+        yield from _relations(below, kind == "SubqueryAlias")
+    for inner in _items(plan.innerChildren()):
+        yield from _relations(inner)
+
+
+def _cte_names(plan) -> set[str]:
+    own = {_items(plan.cteRelations())[i]._1().lower() for i in range(plan.cteRelations().size())} if (
+        plan.getClass().getSimpleName() == "UnresolvedWith") else set()
+    return own.union(*[_cte_names(p) for p in [*_items(plan.children()), *_items(plan.innerChildren())]])
+
+
+def _on_views(spark, query: str, views: dict[str, str]) -> str:
+    """``query`` over the views of a snapshot, whatever else the session has; anything but a query is refused.
+
+    Table names, with or without a schema, are those of the snapshot; ``views`` maps them to views.
+    """
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    parser.parsePlan(f"SELECT (\n{query}\n)")  # commands have no place in an expression
+    plan = parser.parsePlan(query)
+    local, known = _cte_names(plan), {t.lower(): t for t in views}
+    for parts, first, last, aliased in sorted(_relations(plan), key=lambda r: -r[1]):
+        name = ".".join(parts)
+        if len(parts) == 1 and name.lower() in local:
+            continue
+        if name.lower() not in known:
+            raise ValueError(f"the snapshot has no table {name!r}")
+        view = quote_ident(views[known[name.lower()]])
+        query = query[:first] + (view if aliased else f"{view} AS {quote_ident(parts[-1])}") + query[last + 1:]
+    return query
+
+
 def _run_jointly(spark, queries: list[tuple[str, str]], got: dict[str, str], errors: dict[str, str]) -> None:
-    """Run (check_id, query) pairs as one row; if that fails, run the two halves, down to the bad one."""
+    """Run (check_id, query) pairs as one row of subqueries; if that fails, each by itself, so that good results are kept."""
+
+    def run(some: list[tuple[str, str]]) -> None:
+        joint = ", ".join(f"CAST((\n{q}\n) AS STRING) AS c{i}" for i, (_, q) in enumerate(some))
+        row = spark.sql(f"SELECT {joint}").first()
+        got.update({cid: row[i] or "" for i, (cid, _) in enumerate(some)})
+
+    def alone(pair: tuple[str, str]) -> None:
+        try:
+            run([pair])
+        except Exception as error:  # noqa: BLE001 - any failure of a check is its result
+            many = "SCALAR_SUBQUERY_TOO_MANY_ROWS" in str(error)
+            errors[pair[0]] = "expected one row, one column" if many else _told(error)
+
     if not queries:
         return
-    joint = ", ".join(f"CAST((\n{q}\n) AS STRING) AS c{i}" for i, (_, q) in enumerate(queries))
     try:
-        row = spark.sql(f"SELECT {joint}").first()
-        got.update({cid: row[i] or "" for i, (cid, _) in enumerate(queries)})
-    except Exception as error:  # noqa: BLE001 - any failure of a check is its result
-        if len(queries) == 1:
-            many = "SCALAR_SUBQUERY_TOO_MANY_ROWS" in str(error)
-            errors[queries[0][0]] = "expected one row, one column" if many else _short(error)
-            return
-        middle = len(queries) // 2
-        _run_jointly(spark, queries[:middle], got, errors)
-        _run_jointly(spark, queries[middle:], got, errors)
+        run(queries)
+    except Exception:  # noqa: BLE001
+        with ThreadPoolExecutor(RUN_TOGETHER) as pool:
+            list(pool.map(alone, queries))
 
 
 def sql_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot | None = None, as_of=None) -> DataFrame:
     """Run each check's SQL and evaluate its one value, trimmed; SQL NULL reads as empty text.
 
-    The queries of a batch become scalar subqueries of one row, so Spark runs them in one job and
-    merges equal scans. A query that does not analyse marks only its own row; if the joint row fails
-    at run time, the batch is halved until the bad query is alone, so that it stays a failing row.
+    A check sees the tables of ``snapshot`` and nothing else: names are resolved against views made for
+    this call and dropped after it, so a table that the snapshot lacks is an error row even where the
+    session has a view of that name. Only queries run. The queries of a batch become scalar subqueries
+    of one row, so Spark runs them in one job and merges equal scans. A query that does not analyse
+    marks only its own row. Without a snapshot, names mean what they mean in the session.
     """
-    for name, table in (snapshot.tables if snapshot else {}).items():
-        table.createOrReplaceTempView(quote_ident(name))
+    views = {name: f"check_{uuid.uuid4().hex}" for name in (snapshot.tables if snapshot else {})}
+    for name, view in views.items():
+        snapshot.tables[name].createOrReplaceTempView(view)
     parts = []
-    for batch in batches(checks.select(*CHECK_FIELDS), FUSED):
-        got, errors, good = {}, {}, []
-        for c in batch:
-            query = (c["sql"] or "").strip().rstrip(";")
-            try:
-                if len(spark.sql(query).schema.fields) != 1:
-                    raise ValueError("expected one row, one column")
-                good.append((c["check_id"], query))
-            except Exception as error:  # noqa: BLE001 - any failure of a check is its result
-                errors[c["check_id"]] = _short(error)
-        _run_jointly(spark, good, got, errors)
-        subjects = _with_subjects(spark, batch, got, errors).withColumn("got", trim_space("got"))
-        parts.append(results(evaluate_expectations(subjects, as_of)))
+    try:
+        for batch in batches(checks.select(*CHECK_FIELDS), FUSED):
+            got, errors, good = {}, {}, []
+            for c in batch:
+                query = (c["sql"] or "").strip().rstrip(";")
+                try:
+                    query = _on_views(spark, query, views) if snapshot else query
+                    if len(spark.sql(query).schema.fields) != 1:
+                        raise ValueError("expected one row, one column")
+                    good.append((c["check_id"], query))
+                except Exception as error:  # noqa: BLE001 - any failure of a check is its result
+                    errors[c["check_id"]] = _told(error)
+            _run_jointly(spark, good, got, errors)
+            subjects = _with_subjects(spark, batch, got, errors).withColumn("got", trim_space("got"))
+            parts.append(results(evaluate_expectations(subjects, as_of)))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
     return _union(parts, spark, RESULTS)
 
 
@@ -154,7 +213,7 @@ def _by_table(batch, snapshot, problem) -> tuple[dict[str, list], dict[str, str]
             snapshot.tables[c["table_name"]].filter(filter_expr(c["filter"]))  # analyses only
             grouped.setdefault(c["table_name"], []).append(c)
         except Exception as error:  # noqa: BLE001
-            errors[c["check_id"]] = _short(error)
+            errors[c["check_id"]] = _told(error)
     return grouped, errors
 
 
@@ -201,7 +260,7 @@ def _field_text(df: DataFrame, path: str) -> Column | None:
     except Exception:  # noqa: BLE001
         head, _, rest = path.partition(".")
         if head in df.columns and isinstance(df.schema[head].dataType, T.VariantType) and rest:
-            return F.try_variant_get(F.col(quote_ident(head)), F.lit("$." + rest), "string")
+            return F.try_variant_get(F.col(quote_ident(head)), F.lit("$." + rest), "string")  # null where absent
         return None
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -210,6 +269,14 @@ def _field_text(df: DataFrame, path: str) -> Column | None:
     return col.cast("string")
 
 
+def _present(df: DataFrame, path: str) -> Column:
+    """Whether the row has the field: always for a column, by its path inside a VARIANT, where JSON null is present."""
+    head, _, rest = path.partition(".")
+    if rest and head in df.columns and isinstance(df.schema[head].dataType, T.VariantType):
+        return F.try_variant_get(F.col(quote_ident(head)), F.lit("$." + rest), "variant").isNotNull()
+    return F.lit(True)
+
+
 def field_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_of=None) -> DataFrame:
     """A field of the first matching row by ``order_by``, as text, in one aggregation per table.
 
@@ -225,7 +292,7 @@ def field_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_
             aggs = []
             for c in cs:
                 text = _field_text(df, c["field"])
-                present = F.lit(text is not None)
+                present = _present(df, c["field"]) if text is not None else F.lit(False)
                 hit = F.struct((text if text is not None else F.lit(None).cast("string")).alias("t"),
                                present.alias("p"))
                 keep = filter_expr(c["filter"])
@@ -272,15 +339,15 @@ def run_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_of
             continue
         mine = checks.filter(F.col("kind") == kind)
         try:
-            parts.append(hold(fn(spark, mine, snapshot, as_of)))
+            parts.append(materialise(fn(spark, mine, snapshot, as_of), "results"))
         except Exception:  # noqa: BLE001
             for batch in batches(mine, 1):
                 one = spark.createDataFrame(batch, CHECKS)
                 try:
-                    parts.append(hold(fn(spark, one, snapshot, as_of)))
+                    parts.append(materialise(fn(spark, one, snapshot, as_of), "results"))
                 except Exception as error:  # noqa: BLE001
                     parts.append(results(one.withColumns({
-                        "ok": F.lit(False), "got": F.lit(""), "error": F.lit(_short(error))})))
+                        "ok": F.lit(False), "got": F.lit(""), "error": F.lit(_told(error))})))
     return _union(parts, spark, RESULTS).orderBy("ord")
 
 

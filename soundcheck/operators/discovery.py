@@ -26,8 +26,6 @@ SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "_timescaledb_internal", "
 PRELOAD_COMPONENTS = ("timescaledb",)
 FRESHNESS_MARGIN = 5
 FRESHNESS_FLOOR_S = 86400
-NONEMPTY_CAP = 50
-SUBJECT_CAP = 50
 MAX_ANCHORS = 5
 TABLES_VIEW = "snapshot_tables"
 
@@ -151,9 +149,10 @@ def structural_checks(profile: DataFrame, flavor: str = "postgres") -> DataFrame
                        kind=F.lit("sql"), severity=F.lit("required"), ord=F.col("i") - 1000)
 
 
-def nonempty_checks(profile: DataFrame, cap: int = NONEMPTY_CAP) -> DataFrame:
-    """At most ``cap`` non-empty tables, in catalog order; each check reads a single row."""
-    first = profile.filter("rows > 0").orderBy("ord").limit(cap)
+def nonempty_checks(profile: DataFrame, cap: int | None = None) -> DataFrame:
+    """Non-empty tables, at most ``cap`` if given, in catalog order; each check reads a single row."""
+    first = profile.filter("rows > 0")
+    first = first if cap is None else first.orderBy("ord").limit(cap)
     return _candidates(
         first, name=_name_of("nonempty"), expect_min=F.lit(1.0), kind=F.lit("sql"), severity=F.lit("advisory"),
         sql=F.concat(F.lit("SELECT count(*) FROM (SELECT 1 FROM "), _table_sql(), F.lit(" LIMIT 1) x")),
@@ -270,11 +269,16 @@ def skeletons(units: DataFrame, kind: str = "sql") -> DataFrame:
 
 # -- cap, verify, scaffold -------------------------------------------------------------------------
 
-def cap_candidates(candidates: DataFrame, n: int = SUBJECT_CAP) -> DataFrame:
+def cap_candidates(candidates: DataFrame, n: int | None = None) -> DataFrame:
     """Keep, per group, the ``n`` heaviest subjects with all their candidates; ungrouped ones always stay.
 
-    Ties go to the subject that appeared first. ``truncated`` tells whether anything was dropped.
+    Ties go to the subject that appeared first; a null subject is one of its own. ``truncated`` tells
+    whether anything was dropped. Without ``n`` nothing is.
     """
+    if n is None:
+        return candidates.withColumn("truncated", F.lit(False))
+    columns = candidates.columns
+    candidates = candidates.withColumns({"_subject": F.col("subject"), "subject": F.to_json(F.struct("subject"))})
     grouped = F.coalesce(F.col("cap_group"), F.lit("")) != ""
     subjects = candidates.filter(grouped).groupBy("cap_group", "subject").agg(
         F.max("weight").alias("w"), F.min("ord").alias("first"))
@@ -284,7 +288,7 @@ def cap_candidates(candidates: DataFrame, n: int = SUBJECT_CAP) -> DataFrame:
         F.coalesce(F.max(F.col("n") > n), F.lit(False)).alias("truncated"))
     survivors = candidates.filter(~grouped).unionByName(
         candidates.filter(grouped).join(kept, ["cap_group", "subject"], "left_semi").select(*candidates.columns))
-    return survivors.withColumn("truncated", F.lit(bool(sizes.first()["truncated"])))
+    return survivors.withColumn("subject", F.col("_subject")).select(*columns, F.lit(bool(sizes.first()["truncated"])).alias("truncated"))
 
 
 def verify_candidates(spark: SparkSession, candidates: DataFrame, snapshot: Snapshot, as_of=None) -> DataFrame:
@@ -299,7 +303,7 @@ def _numbered(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("check_id", key)
 
 
-def scaffold(spark: SparkSession, snapshot: Snapshot, flavor: str = "postgres", cap: int = SUBJECT_CAP, as_of=None,
+def scaffold(spark: SparkSession, snapshot: Snapshot, flavor: str = "postgres", cap: int | None = None, as_of=None,
              allow_ntz: bool = True) -> DataFrame:
     """Profile, propose, cap and verify: the checks that hold on this snapshot, with a ``truncated`` note.
 

@@ -185,7 +185,7 @@ def _verify_signature(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> I
 
 def verify_chain(ledger: DataFrame) -> DataFrame:
     """Per tenant: entries, ok, and the first break (seq, reason): duplicate or missing seq, a prev_hash that
-    is not the previous entry_hash, or time running back.
+    is not the previous entry_hash, a missing hash or time, or time running back.
 
     Entries meet their predecessor by (tenant, seq), so a tenant with most of the ledger spreads over all
     tasks. Copies of one seq are collapsed before, so they cannot multiply.
@@ -198,14 +198,16 @@ def verify_chain(ledger: DataFrame) -> DataFrame:
     linked = slots.join(before, ["tenant_id", "seq"], "left")
     first = F.col("seq") == 1
     reason = (
-        F.when(F.col("copies") > 1, F.lit("duplicate seq"))
-        .when(first & (F.col("prev_hash") != GENESIS), F.lit("genesis prev_hash is not zero"))
+        F.when(F.col("seq").isNull(), F.lit("entry without a seq"))
+        .when(F.col("copies") > 1, F.lit("duplicate seq"))
+        .when(F.col("entry_hash").isNull() | F.col("created_at").isNull(), F.lit("entry without a hash or time"))
+        .when(first & ~F.col("prev_hash").eqNullSafe(F.lit(GENESIS)), F.lit("genesis prev_hash is not zero"))
         .when(~first & F.col("_found").isNull(), F.lit("missing seq before"))
         .when(~first & ~F.col("prev_hash").eqNullSafe(F.col("_hash")), F.lit("prev_hash does not match"))
         .when(~first & (F.col("created_at") < F.col("_created")), F.lit("created_at runs back"))
     )
     broken = linked.withColumn("reason", reason)
-    at = F.when(F.col("reason").isNotNull(), F.col("seq"))
+    at = F.when(F.col("reason").isNotNull(), F.coalesce("seq", F.lit(0)))  # an entry without a place breaks the chain at its start
     return broken.groupBy("tenant_id").agg(
         F.sum("copies").alias("entries"), F.min(at).alias("first_break_seq"),
         F.min_by("reason", at).alias("reason")).withColumn("ok", F.col("first_break_seq").isNull())

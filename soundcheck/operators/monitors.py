@@ -36,7 +36,8 @@ def overdue(monitors: DataFrame, ledger: DataFrame, as_of_epoch: int) -> DataFra
 def transitions(evaluated: DataFrame, as_of_epoch: int) -> DataFrame:
     """Monitors whose alert state changes now, with the new state; silent while nothing changes."""
     new = F.when(F.col("overdue"), F.lit("alerting")).otherwise(F.lit("ok"))
-    changed = evaluated.withColumn("new_state", new).filter(F.col("alert_state") != F.col("new_state"))
+    known = F.coalesce(F.nullif("alert_state", F.lit("")), F.lit("ok"))  # a monitor that was never judged counts as ok
+    changed = evaluated.withColumn("new_state", new).filter(known != F.col("new_state"))
     return changed.withColumns({
         "event": F.when(F.col("overdue"), F.lit("overdue")).otherwise(F.lit("recovered")),
         "alert_state": F.col("new_state"), "last_alert_at": F.lit(as_of_epoch).cast("bigint")}).drop("new_state")
@@ -44,7 +45,7 @@ def transitions(evaluated: DataFrame, as_of_epoch: int) -> DataFrame:
 
 def transitions_over_time(evaluations: DataFrame, **plan) -> DataFrame:
     """Rows of a history of evaluations (monitor_id, at_s, overdue) where the state changes; it starts as ok."""
-    before = over_groups(evaluations, ["monitor_id"], [F.col("at_s").asc()], [lag("_before", F.col("overdue"))], **plan)
+    before = over_groups(evaluations, ["monitor_id"], [F.col("at_s").asc(), F.col("overdue").asc()], [lag("_before", F.col("overdue"))], **plan)
     changed = F.col("overdue") != F.coalesce("_before", F.lit(False))
     return before.filter(changed).select(
         "monitor_id", "at_s", F.when(F.col("overdue"), F.lit("overdue")).otherwise(F.lit("recovered")).alias("event"))
@@ -109,7 +110,7 @@ def damp_flaps(deliveries: DataFrame, min_gap_s: int = MIN_GAP_S, id_col: str =
 
 def rate_limit(deliveries: DataFrame, n: int = RATE_LIMIT, window_s: int = RATE_WINDOW_S) -> DataFrame:
     """Add ``in_window`` (deliveries of the tenant to the destination in the last ``window_s`` seconds, this
-    second included) and ``allowed``.
+    second included) and ``allowed``. A delivery without tenant, destination or time is in no window and allowed.
 
     Deliveries are counted per second first. A window reaches back into the block before at most, so each
     count is handed to its own block and to the next; a block group has at most 2 x ``window_s`` rows.
@@ -120,7 +121,7 @@ def rate_limit(deliveries: DataFrame, n: int = RATE_LIMIT, window_s: int = RATE_
     spread = seconds.withColumn("_own", own).withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
     w = Window.partitionBy(*key, "_block").orderBy("at_s").rangeBetween(-window_s, 0)
     counted = spread.withColumn("in_window", F.sum("n").over(w)).filter("_own = _block").select(*key, "at_s", "in_window")
-    return deliveries.join(counted, [*key, "at_s"]).withColumn("allowed", F.col("in_window") <= n)
+    return deliveries.join(counted, [*key, "at_s"], "left").withColumn("allowed", F.coalesce(F.col("in_window") <= n, F.lit(True)))
 
 
 def shape_slack(changed: DataFrame, as_of_epoch: int) -> DataFrame:

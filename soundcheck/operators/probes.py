@@ -100,13 +100,14 @@ def judge_responses(checks: DataFrame, responses: DataFrame) -> DataFrame:
     """
     met = responses.join(broadcast_if_small(checks), "url")
     met = met.withColumn("_spec", F.when(F.coalesce(F.col("expect_json"), F.lit("")) != "", split_path_value("expect_json")))
-    met = met.withColumn("_found", F.when(F.col("_spec.path").isNotNull(), json_path("body", F.col("_spec.path"))))
+    met = met.withColumn("_found", F.when(F.col("_spec.path").isNotNull(), json_path(F.coalesce("body", F.lit("")), F.col("_spec.path"))))
     want = F.coalesce(F.col("expect_status"), F.lit(200))
     asks_text = F.coalesce(F.col("expect_body_contains"), F.lit("")) != ""
     asks_json = F.coalesce(F.col("expect_json"), F.lit("")) != ""
     spec, found = F.col("_spec"), F.col("_found")
-    status_bad = F.col("status") != want
-    text_bad = asks_text & ~F.contains(F.col("body"), F.col("expect_body_contains"))
+    no_status = F.col("status").isNull()
+    status_bad = F.coalesce(F.col("status") != want, F.lit(False))
+    text_bad = asks_text & ~F.contains(F.coalesce("body", F.lit("")), F.col("expect_body_contains"))
     value_bad = found["value"] != spec["value"]
     fail = (
         F.when(status_bad, F.concat(F.lit("status "), F.col("status").cast("string"), F.lit(", want "),
@@ -116,9 +117,9 @@ def judge_responses(checks: DataFrame, responses: DataFrame) -> DataFrame:
         .when(asks_json & value_bad, F.concat(spec["path"], F.lit(" = "), quoted(found["value"]), F.lit(", want "),
                                               quoted(spec["value"])))
     )
-    error = F.when(~status_bad & ~text_bad & asks_json, spec["error"])
+    error = F.when(no_status, F.lit("the captured response has no status")).when(~status_bad & ~text_bad & asks_json, spec["error"])
     return met.withColumns({
-        "got": F.col("status").cast("string"), "error": error, "detail": F.when(error.isNull(), fail),
+        "got": F.coalesce(F.col("status").cast("string"), F.lit("")), "error": error, "detail": F.when(error.isNull(), fail),
         "ok": error.isNull() & fail.isNull()}).drop("_spec", "_found")
 
 

@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from soundcheck.functions import secrets as S
 from soundcheck.plans.ordered import over_groups, row_number
-from soundcheck.plans.sizing import fits
+from soundcheck.session import materialise
 
-FEW_SECRETS = 16  # beyond, one automaton pass is cheaper than a chain of scans
 SECRETS_PER_PASS = 50_000
 
 
@@ -33,29 +33,17 @@ class Scrubber:
     local: Callable[[], Callable[[str], str]]  # the same replacement as a Python function, made on a worker
 
 
-def scrubber(secrets: DataFrame, few: int = FEW_SECRETS, per_pass: int = SECRETS_PER_PASS) -> Scrubber:
+def scrubber(secrets: DataFrame, per_pass: int = SECRETS_PER_PASS) -> Scrubber:
     """A scrubber for ``secrets`` (ord, name, value).
 
-    Up to ``few`` values become a chain of ``replace`` expressions. More are applied in passes of at most
-    ``per_pass`` values, longest first over all passes, each with an automaton broadcast to the workers.
+    Values are replaced one after the other, longest first and equal lengths in their order, however many
+    there are: in passes of at most ``per_pass`` values over all, each with an automaton that workers build
+    from a broadcast list. No value stands in a plan, so none shows in explain output or event logs.
     """
     usable = secrets.filter(F.octet_length("value") >= S.MIN_SECRET_BYTES)
-    if fits(usable, few):
-        pairs = [(r["name"], r["value"]) for r in usable.orderBy("ord").collect()]
-        fold = lambda c: S.scrub(c, pairs)
-        ordered = S.longest_first(pairs)
-
-        def local_few():
-            def apply(text):
-                for name, value in ordered:
-                    text = text.replace(value, S.marker(name))
-                return text
-            return apply
-
-        return Scrubber(fold, lambda c: F.transform(c, fold), local_few)
     ranked = over_groups(usable, [], [F.octet_length("value").desc(), F.col("ord").asc(), F.col("name").asc()],
                          [row_number("rn")])
-    passes = int(ranked.agg(F.max("rn")).first()[0] - 1) // per_pass + 1
+    passes = -(-int(ranked.agg(F.max("rn")).first()[0] or 0) // per_pass)
     steps = []
     for i in range(passes):
         part = ranked.filter((F.col("rn") > i * per_pass) & (F.col("rn") <= (i + 1) * per_pass)).orderBy("rn")
@@ -72,7 +60,7 @@ def scrubber(secrets: DataFrame, few: int = FEW_SECRETS, per_pass: int = SECRETS
             c = _texts_udf(step)(c)
         return c
 
-    def local_many():
+    def local():
         known = [(step.value, _finder(step.value)) for step in steps]
 
         def apply(s):
@@ -81,24 +69,28 @@ def scrubber(secrets: DataFrame, few: int = FEW_SECRETS, per_pass: int = SECRETS
             return s
         return apply
 
-    return Scrubber(text, texts, local_many)
+    return Scrubber(text, texts, local)
 
 
 def _finder(pairs):
     """A function from text to the positions (in ``pairs``) of the values that occur in it."""
+    places: dict[str, list[int]] = {}
+    for i, (_, value) in enumerate(pairs):
+        places.setdefault(value, []).append(i)
     try:
         import ahocorasick
     except ImportError:
         import re
-        by_value = {v: i for i, (_, v) in reversed(list(enumerate(pairs)))}
         # Look-ahead, so that overlapping values are all seen.
-        rx = [re.compile(f"(?=({'|'.join(re.escape(v) for v in vs)}))") for vs in _by_length(by_value)]
-        return lambda s: (by_value[m.group(1)] for r in rx for m in r.finditer(s))
+        rx = [re.compile(f"(?=({'|'.join(re.escape(v) for v in vs)}))") for vs in _by_length(places)]
+        return lambda s: (i for r in rx for m in r.finditer(s) for i in places[m.group(1)])
     automaton = ahocorasick.Automaton()
-    for i, (_, value) in reversed(list(enumerate(pairs))):
-        automaton.add_word(value, i)
+    for value, found in places.items():
+        automaton.add_word(value, found)
+    if not places:
+        return lambda s: iter(())
     automaton.make_automaton()
-    return lambda s: (i for _, i in automaton.iter(s))
+    return lambda s: (i for _, found in automaton.iter(s) for i in found)
 
 
 def _by_length(values):
@@ -177,9 +169,7 @@ def redact_reports(reports: DataFrame, secrets: DataFrame, **sizes) -> DataFrame
     def check(z):
         c, got = z["c"], z["g"]
         blank = c["got"].isNull() | (c["got"] == "")
-        # A value that already ends in a fingerprint is the result of an earlier redaction.
-        stored = F.when(blank | (got.rlike(S.FINGERPRINT) & ~got.rlike("[\n\r]")), got).otherwise(
-            S.redact_got(got, c["keep_literal"]))
+        stored = F.when(blank, got).otherwise(S.redact_got(got, c["keep_literal"]))  # a stored preview is short, so it stays
         return c.withField("got", stored).withField("detail", z["d"]).withField("error", z["e"])
 
     checks = F.when(F.col("checks").isNotNull(), F.transform(together, check))
@@ -205,42 +195,35 @@ def scan_credentials(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
         id_col, "m.pattern", F.col("m.count").alias("count"))
 
 
+def decided(df: DataFrame, col: str, mode: str = "refuse") -> DataFrame:
+    """Rows with a ``decision``: accept, or ``mode`` where a credential shape occurs; ``off`` does not scan."""
+    if mode not in ("refuse", "warn", "off"):
+        raise ValueError(f"mode {mode!r} unsupported (refuse|warn|off)")
+    if mode == "off":
+        return df.withColumn("decision", F.lit("accept"))
+    hit = F.size(S.credential_counts(col)) > 0
+    return df.withColumn("decision", F.when(F.coalesce(hit, F.lit(False)), F.lit(mode)).otherwise(F.lit("accept")))
+
+
 def credential_gate(df: DataFrame, col: str, mode: str = "refuse") -> tuple[DataFrame, DataFrame]:
     """(passed, quarantined) rows, each with a ``decision``: accept, warn or refuse.
 
     ``refuse`` quarantines a row with any credential shape, ``warn`` lets it pass marked, ``off`` does
-    not scan.
+    not scan. Texts are scanned once, into a written table divided by decision.
     """
-    if mode not in ("refuse", "warn", "off"):
-        raise ValueError(f"mode {mode!r} unsupported (refuse|warn|off)")
-    if mode == "off":
-        return df.withColumn("decision", F.lit("accept")), df.limit(0).withColumn("decision", F.lit("refuse"))
-    hit = F.size(S.credential_counts(col)) > 0
-    judged = df.withColumn("decision", F.when(F.coalesce(hit, F.lit(False)), F.lit(mode)).otherwise(F.lit("accept")))
+    judged = decided(df, col, mode)
+    if mode == "refuse":
+        judged = materialise(judged.withColumn("_decision", F.col("decision")), "gate", ["_decision"]).drop("_decision")
     return judged.filter("decision <> 'refuse'"), judged.filter("decision = 'refuse'")
 
 
 def gate_summary(df: DataFrame, col: str, mode: str = "refuse") -> DataFrame:
     """decision and number of rows."""
-    passed, quarantined = credential_gate(df, col, mode)
-    return passed.unionByName(quarantined).groupBy("decision").agg(F.count(F.lit(1)).alias("rows"))
+    return decided(df, col, mode).groupBy("decision").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # -- nested payloads -----------------------------------------------------------------------------
 
-def _rewrite(c: Column, kind: T.DataType, fn: Callable[[Column], Column]) -> Column:
-    if isinstance(kind, T.StringType):
-        return fn(c)
-    if isinstance(kind, T.ArrayType):
-        return F.transform(c, lambda x: _rewrite(x, kind.elementType, fn)) if _has_text(kind) else c
-    if isinstance(kind, T.MapType):
-        return F.transform_values(c, lambda k, v: _rewrite(v, kind.valueType, fn)) if _has_text(kind.valueType) else c
-    if isinstance(kind, T.StructType) and _has_text(kind):
-        made = F.struct(*[_rewrite(c[f.name], f.dataType, fn).alias(f.name) for f in kind.fields])
-        return F.when(c.isNotNull(), made)
-    return c
-
-
 def _has_text(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return _has_text(kind.elementType)
@@ -251,65 +234,59 @@ def _has_text(kind: T.DataType) -> bool:
     return isinstance(kind, T.StringType)
 
 
-def scrub_payload(df: DataFrame, secrets: DataFrame, json_columns: tuple[str, ...] = (), few: int = FEW_SECRETS,
-                  ) -> DataFrame:
+def scrub_payload(df: DataFrame, secrets: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFrame:
     """Scrub every string at any depth of every column, keys untouched; known values, then shapes.
 
-    Typed columns are rewritten by schema. Free JSON text (``json_columns``) is decoded, walked and
-    encoded in Arrow batches. The markers are unnamed: a boundary must not tell which secret matched.
+    Columns that hold text are walked by their schema, free JSON text (``json_columns``) is decoded, walked
+    and encoded, both in Arrow batches. The markers are unnamed: a boundary must not tell which secret matched.
     """
-    usable = secrets.filter(F.octet_length("value") >= S.MIN_SECRET_BYTES)
-    s = scrubber(usable.withColumn("name", F.lit(None).cast("string")), few)
-    by_lambda = fits(usable, few)  # column expressions may run inside a lambda, Python may not
-    made = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if f.name in json_columns:
-            c = _json_udf(s.local)(c)
-        elif by_lambda:
-            c = _rewrite(c, f.dataType, lambda x: S.scrub_patterns(s.text(x)))
-        elif _has_text(f.dataType):
-            c = _by_strings(c, f.dataType, s)
-        made.append(c.alias(f.name))
-    return df.select(*made)
-
-
-def _by_strings(c: Column, kind: T.DataType, s: Scrubber) -> Column:
-    """Rewrite a nested column level by level; Python cannot run inside a lambda, so arrays of text are
-    handed over whole."""
+    s = scrubber(secrets.withColumn("name", F.lit(None).cast("string")))
+    return df.select(*[
+        (_json_udf(s.local)(F.col(f.name)) if f.name in json_columns else _typed_udf(s.local, f.dataType)(F.col(f.name))
+         if _has_text(f.dataType) else F.col(f.name)).alias(f.name) for f in df.schema.fields])
+
+
+def _by_type(kind: T.DataType, text):
+    """A function that applies ``text`` to every string of a value of type ``kind``; map keys stay."""
     if isinstance(kind, T.StringType):
-        return S.scrub_patterns(s.text(c))
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        return F.transform(s.texts(c), S.scrub_patterns)
-    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-        return F.map_from_arrays(F.map_keys(c), F.transform(s.texts(F.map_values(c)), S.scrub_patterns))
-    if isinstance(kind, T.StructType):
-        made = F.struct(*[(_by_strings(c[f.name], f.dataType, s) if _has_text(f.dataType) else c[f.name]).alias(f.name)
-                          for f in kind.fields])
-        return F.when(c.isNotNull(), made)
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        fields = kind.elementType.fields
-        parts = [(_by_strings(c[f.name], T.ArrayType(f.dataType), s) if _has_text(f.dataType) else c[f.name]).alias(f.name)
-                 for f in fields]
-        zipped = F.arrays_zip(*parts)
-        return F.when(c.isNotNull(), F.transform(zipped, lambda z: F.struct(*[z[f.name].alias(f.name) for f in fields])))
-    raise ValueError(f"no way to scrub {kind.simpleString()} with this many secrets; explode it first")
+        inner = text
+    elif isinstance(kind, T.ArrayType):
+        element = _by_type(kind.elementType, text)
+        inner = lambda v: [element(x) for x in v]
+    elif isinstance(kind, T.MapType):
+        value = _by_type(kind.valueType, text)
+        inner = lambda v: [(k, value(x)) for k, x in v]
+    elif isinstance(kind, T.StructType):
+        fields = {f.name: _by_type(f.dataType, text) for f in kind.fields}
+        inner = lambda v: {k: fields[k](x) for k, x in v.items()}
+    else:
+        return lambda v: v
+    return lambda v: None if v is None else inner(v)
+
+
+def _typed_udf(local, kind: T.DataType):
+    @F.arrow_udf(kind)
+    def apply(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        walk = _by_type(kind, _scrub_text(local()))
+        for values in it:
+            yield pa.array([walk(v) for v in values.to_pylist()], values.type)
+    return _evaluated_apart(apply)
+
+
+def _scrub_text(known):
+    """Known values, then the two shapes, in one text."""
+    import re
+    bearer = re.compile(r"(?i)(?<![0-9A-Za-z_])bearer[ \t\n\f\r]+[A-Za-z0-9._~+/=-]{4,}", re.ASCII)
+    password = re.compile(r"(://[^/:@ \t\n\f\r]+:)[^@ \t\n\f\r]+(@)")
+    return lambda s: password.sub(rf"\1{S.BARE_MARKER}\2", bearer.sub(f"Bearer {S.BARE_MARKER}", known(s)))
 
 
 def _json_udf(local):
     import json
-    import re
 
     @F.pandas_udf("string")
     def apply(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bearer = re.compile(r"(?i)(?<![0-9A-Za-z_])bearer[ \t\n\f\r]+[A-Za-z0-9._~+/=-]{4,}", re.ASCII)
-        password = re.compile(r"(://[^/:@ \t\n\f\r]+:)[^@ \t\n\f\r]+(@)")
-
-        known = local()
-
-        def text(s):
-            s = known(s)
-            return password.sub(rf"\1{S.BARE_MARKER}\2", bearer.sub(f"Bearer {S.BARE_MARKER}", s))
+        text = _scrub_text(local())
 
         def walk(v):
             if isinstance(v, str):

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from soundcheck.schemas import SCHEMA_VERSION
 
-CHECKS_PER_PART = 10_000
-
-
 def failing(ok: Column | str = "ok", severity: Column | str = "severity") -> Column:
     """A result that fails the verdict: not ok and not advisory (blank severity counts as required)."""
     ok = F.col(ok) if isinstance(ok, str) else ok
@@ -49,24 +46,24 @@ def exit_codes(df: DataFrame, verdict: str = "verdict", operational_error: str =
                          .when(F.col(verdict) == "pass", F.lit(0)).otherwise(F.lit(1)))
 
 
-def build_reports(results: DataFrame, load: DataFrame, checks_per_part: int = CHECKS_PER_PART) -> DataFrame:
-    """Nested reports. ``load``: run_id, target, tool_version, started_at, finished_at and the load fields.
+def build_reports(results: DataFrame, load: DataFrame) -> DataFrame:
+    """Nested reports, one per run. ``load``: run_id, target, tool_version, started_at, finished_at and the load fields.
 
-    ``ord`` is unique within a run, so a part holds at most ``checks_per_part`` checks: a run with more
-    checks than that becomes several parts, each with the verdict of the whole run.
+    A report lists all checks of its run, so its size follows the number of definitions, not of data rows.
+    ``part`` is always 0.
     """
     check = F.struct("ord", "name", "ok", "severity", "got", "detail", "error", "keep_literal")
-    parts = (results.withColumn("part", F.floor(F.col("ord") / checks_per_part).cast("int"))
-             .groupBy("run_id", "part").agg(F.sort_array(F.collect_list(check)).alias("checks")))
-    verdict = verdicts(results, load).select("run_id", "verdict")
+    checked = results.groupBy("run_id").agg(F.sort_array(F.collect_list(check)).alias("checks"), F.count_if(failing()).alias("_failed"))
+    bad = ~F.coalesce(F.col("ok"), F.lit(False)) | (F.coalesce("_failed", F.lit(0)) > 0)
+    verdict = F.when(bad, F.lit("fail")).otherwise(F.lit("pass")).alias("verdict")
     millis = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000
     return (
-        load.join(verdict, "run_id").join(parts, "run_id", "left")
+        load.join(checked, "run_id", "left")
         .select(
-            F.lit(SCHEMA_VERSION).alias("schema_version"), "run_id", F.coalesce("part", F.lit(0)).alias("part"),
+            F.lit(SCHEMA_VERSION).alias("schema_version"), "run_id", F.lit(0).alias("part"),
             "tool_version", "target", "started_at", "finished_at", F.floor(millis).alias("duration_ms"),
             F.struct("ok", "method", "database", F.col("load_ms").alias("duration_ms"), "warnings", "error").alias("load"),
-            F.coalesce("checks", F.array().cast(parts.schema["checks"].dataType)).alias("checks"), "verdict"))
+            F.coalesce("checks", F.array().cast(checked.schema["checks"].dataType)).alias("checks"), verdict))
 
 
 def validate_reports(reports: DataFrame) -> DataFrame:

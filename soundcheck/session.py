@@ -39,9 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf_dir.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="soundcheck-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="soundcheck-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -45,7 +45,10 @@ def find_tables(spark: SparkSession, folder: str) -> dict[str, tuple[str, str]]:
 
 def read_table(spark: SparkSession, fmt: str, path: str) -> DataFrame:
     if fmt == "csv":
-        return spark.read.options(header=True, inferSchema=True, columnNameOfCorruptRecord=CORRUPT).csv(path)
+        kinds = spark.read.options(header=True, inferSchema=True).csv(path).schema
+        if CORRUPT not in kinds.names:  # only a declared column gets the damaged records
+            kinds = kinds.add(CORRUPT, "string")
+        return spark.read.schema(kinds).options(header=True, columnNameOfCorruptRecord=CORRUPT).csv(path)
     if fmt == "json":
         return spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return spark.read.format(fmt).load(path)
@@ -72,7 +75,7 @@ def load_snapshot(spark: SparkSession, folder: str, name: str | None = None, vie
             seen = df.agg(F.count_if(F.col(CORRUPT).isNotNull()), F.count(F.lit(1)), *others).first()
             return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), seen[1] - seen[0], seen[0]
         except Exception as error:  # noqa: BLE001 - an unreadable table is a failing load
-            return f"{table}: {str(error).strip().splitlines()[0][:200]}"
+            return f"{table}: {str(error).strip()}"
 
     with ThreadPoolExecutor(OPEN_TOGETHER) as pool:  # tables are counted side by side
         opened = dict(zip(found, pool.map(open_table, found)))

@@ -126,12 +126,6 @@ def test_credential_shapes(spark):
     assert ask(spark, clean, names) == [[]] * len(clean)
 
 
-def test_scrub_longest_first(spark):
-    known = [("PGPASS", "hunter2-named"), (None, "hunter2-named-and-longer"), ("SHORT", "abc")]
-    assert ask(spark, ["a hunter2-named b hunter2-named-and-longer c abc"], lambda c: secrets.scrub(c, known)) == [
-        "a [REDACTED:PGPASS] b [REDACTED] c abc"]
-
-
 def test_failure_reasons(spark):
     out = "2024 P00 ERROR: [56]: gone\nFatal: no repo\n"
     assert ask(spark, [out], lambda c: messages.failure_reason(c, "pgbackrest")) == ["ERROR: [56]: gone"]

@@ -69,7 +69,7 @@ def test_verdict_rule(spark):
     assert got == {"a": "pass", "b": "fail", "c": "fail", "d": "fail", "e": "pass", "f": "fail"}
 
 
-def _reports(spark, n, per_part):
+def _reports(spark, n):
     results = spark.range(n).select(
         F.lit("r").alias("run_id"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"),
         (F.col("id") != 7).alias("ok"), F.lit("required").alias("severity"), F.lit("1").alias("got"), F.lit("d").alias("detail"),
@@ -78,19 +78,24 @@ def _reports(spark, n, per_part):
                                  "run_id string, target string, tool_version string, ok boolean, method string, database string, load_ms bigint, "
                                  "warnings string, error string")
     now = F.timestamp_seconds(F.lit(1_700_000_000))
-    return V.build_reports(results, load.withColumns({"started_at": now, "finished_at": now}), per_part)
+    return V.build_reports(results, load.withColumns({"started_at": now, "finished_at": now}))
 
 
-def test_long_runs_become_parts(spark):
-    parts = sorted((r["part"], len(r["checks"]), r["verdict"], r["checks"][0]["name"]) for r in _reports(spark, 25, 10).collect())
-    assert parts == [(0, 10, "fail", "c0"), (1, 10, "fail", "c10"), (2, 5, "fail", "c20")]
-    assert V.validate_reports(_reports(spark, 25, 10)).count() == 0
+def test_a_run_is_one_report_whatever_its_ords(spark):
+    rows = _reports(spark, 25).collect()
+    assert len(rows) == 1 and rows[0]["verdict"] == "fail" and [c["name"] for c in rows[0]["checks"]] == [f"c{i}" for i in range(25)]
+    far = [("r", -1000, "a", True), ("r", 100_000, "b", False), ("r", 1_000_000, "c", True)]
+    results = spark.createDataFrame(far, "run_id string, ord int, name string, ok boolean").selectExpr(
+        "*", "'required' AS severity", "'1' AS got", "'' AS detail", "CAST(NULL AS string) AS error", "false AS keep_literal")
+    load = _reports(spark, 1).select("run_id", "target", "tool_version", "started_at", "finished_at", "load.*").withColumnRenamed("duration_ms", "load_ms")
+    report = V.build_reports(results, load).collect()
+    assert [(len(r["checks"]), r["part"], r["verdict"]) for r in report] == [(3, 0, "fail")]
 
 
 def test_reports_are_written_redacted_and_read_strictly(spark):
     path = tempfile.mkdtemp(prefix="run-") + "/reports"
     known = spark.createDataFrame([(0, "TOKEN", "s3cret-value")], "ord int, name string, value string")
-    leaky = _reports(spark, 3, 10).withColumn("load", F.col("load").withField("warnings", F.lit("used s3cret-value\nmore")))
+    leaky = _reports(spark, 3).withColumn("load", F.col("load").withField("warnings", F.lit("used s3cret-value\nmore")))
     reports.write_reports(leaky, path, known)
     raw = "".join(r["value"] for r in spark.read.text(path).collect())
     assert "s3cret-value" not in raw and "[REDACTED:TOKEN]" in raw
@@ -114,37 +119,59 @@ def test_redaction_properties(spark, texts):
         for name, value in S.longest_first(SECRETS):
             t = t.replace(value, S.marker(name))
         return t
-    few = [r["t"] for r in R.scrub(df, ["t"], known).orderBy("i").collect()]
-    many = [r["t"] for r in R.scrub(df, ["t"], known, few=1, per_pass=2).orderBy("i").collect()]
-    assert few == many == [fold(t) for t in texts]
+    one = [r["t"] for r in R.scrub(df, ["t"], known).orderBy("i").collect()]
+    many = [r["t"] for r in R.scrub(df, ["t"], known, per_pass=2).orderBy("i").collect()]
+    assert one == many == [fold(t) for t in texts]
 
 
-@pytest.mark.parametrize("few", [16, 0])
-def test_redacting_twice_changes_nothing(spark, few):
+def test_scrub_longest_first(spark):
+    known = spark.createDataFrame([(0, "PGPASS", "hunter2-named"), (1, None, "hunter2-named-and-longer"), (2, "SHORT", "abc")],
+                                  "ord int, name string, value string")
+    df = spark.createDataFrame([("a hunter2-named b hunter2-named-and-longer c abc",)], "t string")
+    assert R.scrub(df, ["t"], known).first()["t"] == "a [REDACTED:PGPASS] b [REDACTED] c abc"
+
+
+def test_equal_values_are_replaced_in_sequence_whatever_the_number(spark):
+    known = spark.createDataFrame([(0, "TOKEN", "TOKEN"), (1, "B", "TOKEN")] + [(i, f"n{i}", f"value-{i}") for i in range(2, 40)],
+                                  "ord int, name string, value string")
+    df = spark.createDataFrame([("x TOKEN y",)], "t string")
+    for some in (known, known.where("ord < 2")):
+        assert R.scrub(df, ["t"], some).first()["t"] == "x [REDACTED:[REDACTED:B]] y"
+    plan = R.scrub(df, ["t"], known)._jdf.queryExecution().toString()
+    assert "value-3" not in plan
+    assert R.scrub(df, ["t"], known.limit(0)).first()["t"] == "x TOKEN y"
+
+
+def test_a_long_value_that_ends_in_a_fingerprint_is_not_kept(spark):
+    known = spark.createDataFrame([(0, "TOKEN", "s3cret-value")], "ord int, name string, value string")
+    text = F.concat(F.repeat(F.lit("x"), 5000), F.lit("[sha256:" + "0" * 64 + "]"))
+    r = _reports(spark, 1).withColumn("checks", F.transform("checks", lambda c: c.withField("got", text)))
+    assert all(len(c["got"]) < 256 for c in R.redact_reports(r, known).first()["checks"])
+
+
+def test_redacting_twice_changes_nothing(spark):
     known = spark.createDataFrame([(0, "TOKEN", "s3cret-value"), (1, "LONG", "s3cret-value-2")], "ord int, name string, value string")
     text = F.lit("first s3cret-value line\n" + "more s3cret-value-2 " * 30)
-    r = _reports(spark, 4, 10).withColumns({
+    r = _reports(spark, 4).withColumns({
         "load": F.col("load").withField("warnings", text).withField("error", text),
         "checks": F.transform("checks", lambda c: c.withField("got", text).withField("error", text).withField("keep_literal", c["ord"] == 2))})
-    once = R.redact_reports(r, known, few=few)
-    a, b = once.collect(), R.redact_reports(once, known, few=few).collect()
+    once = R.redact_reports(r, known)
+    a, b = once.collect(), R.redact_reports(once, known).collect()
     assert a == b and "s3cret" not in str(a)
     assert a[0]["checks"][0]["got"].startswith("first [REDACTED:TOKEN] line [sha256:") and a[0]["checks"][2]["got"].count("\n") == 1
     assert {x["name"] for x in R.raw_output(r, once).collect()} == {"load warnings", "c0", "c1", "c2", "c3"}
     assert R.raw_output(once, once).count() == 0
 
 
-@pytest.mark.parametrize("few", [16, 0])
-def test_payloads_at_any_depth(spark, few):
+def test_payloads_at_any_depth(spark):
     known = spark.createDataFrame([(0, "T", 's3"cret')], "ord int, name string, value string")
-    df = spark.createDataFrame([(1, 's3"cret', [["k", ['s3"cret', "ok"]]], {"s3": 's3"cret'}, '{"a":["s3\\"cret",1],"s3":{"b":"Bearer abcd1234"}}')],
-                               "i int, t string, n array<struct<k:string,v:array<string>>>, m map<string,string>, j string")
-    if few:
-        row = R.scrub_payload(df, known, ("j",), few).first()
+    many = known.union(spark.range(30).selectExpr("int(id + 1)", "concat('n', id)", "concat('unused-', id)"))
+    df = spark.createDataFrame([(1, 's3"cret', [["k", ['s3"cret', "ok"]]], {"s3": ['s3"cret']}, '{"a":["s3\\"cret",1],"s3":{"b":"Bearer abcd1234"}}')],
+                               "i int, t string, n array<struct<k:string,v:array<string>>>, m map<string,array<string>>, j string")
+    for some in (known, many):
+        row = R.scrub_payload(df, some, ("j",)).first()
         assert row["n"][0]["v"] == ["[REDACTED]", "ok"]
-    else:
-        row = R.scrub_payload(df.drop("n"), known, ("j",), few).first()
-    assert row["t"] == "[REDACTED]" and row["m"] == {"s3": "[REDACTED]"}
+    assert row["t"] == "[REDACTED]" and row["m"] == {"s3": ["[REDACTED]"]}
     assert row["j"] == '{"a":["[REDACTED]",1],"s3":{"b":"Bearer [REDACTED]"}}'
 
 
