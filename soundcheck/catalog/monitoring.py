@@ -46,16 +46,16 @@ def _(d):
 
 
 @query("M3_alert_payloads", f"""
-    WITH {OVERDUE} SELECT monitor_id, to_json({{schema_version: 1, monitor_id: monitor_id, target: target, state: state, interval_seconds: interval_s,
+    WITH {OVERDUE} SELECT monitor_id, to_json({{schema_version: 1, monitor_id: monitor_id, target: target, state: event, interval_seconds: interval_s,
       grace_seconds: grace_s, freshest_attestation_at: freshest, notice: '{M.PAYLOAD_NOTICE}'}})::VARCHAR AS payload FROM ch""", "attestations monitors")
 def _(d):
     return M.alert_payloads(changed(d)).select("monitor_id", "payload")
 
 
 @query("M4_idempotency_key", f"""
-    WITH {OVERDUE} SELECT monitor_id, sha256(concat(monitor_id, <NL>, alert_state, <NL>, freshest)) AS k FROM ev""", "attestations monitors")
+    WITH {OVERDUE} SELECT monitor_id, sha256(concat(monitor_id, <NL>, event, <NL>, freshest)) AS k FROM ch""", "attestations monitors")
 def _(d):
-    return evaluated(d).select("monitor_id", M.idempotency_key().alias("k"))
+    return changed(d).select("monitor_id", M.idempotency_key().alias("k"))
 
 
 @query("M5_dedupe_deliveries", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from soundcheck.catalog.base import AS_OF_EPOCH, query
 from soundcheck.catalog.evidence import LEDGER, ZERO, _tampered_chain
 from soundcheck.catalog.monitoring import NOW
-from soundcheck.catalog.redaction import SCAN
+from soundcheck.catalog.redaction import FOLD, SCAN, captured, scrubbed, with_line
 from soundcheck.catalog.checks import NUM, SCALARS
 from soundcheck.operators import checks as B
 from soundcheck.operators.redact import redact_captures
@@ -16,14 +16,14 @@ from soundcheck.streaming.alerts import dedupe_alerts_stream
 from soundcheck.streaming.ledger import verify_ledger_stream
 from soundcheck.streaming.overdue import overdue_stream
 from soundcheck.streaming.run import read_files, run_available
-from soundcheck.streaming.stateless import check_stream, redact_stream, scan_stream, verdict_batches
+from soundcheck.streaming.stateless import check_stream, newest_verdicts, redact_stream, scan_stream, verdict_batches
 
 
-def stream_of(d, df, label, files=4):
+def stream_of(d, df, label, files=4, files_per_batch=None):
     """Write a derived table once and read it as a file stream."""
     path = shared_path(d.spark, label)
     df.repartition(files).write.parquet(path)
-    return read_files(d.spark, path, df.schema)
+    return read_files(d.spark, path, df.schema, files_per_batch)
 
 
 def _heartbeat(d, at):
@@ -75,7 +75,10 @@ def _(d):
     return run_available(scan_stream(stream_of(d, d.planted, "planted"), "text"), "found")
 
 
-@query("S3_redact_stream")
+@query("S3_redact_stream", f"""
+    WITH {FOLD}, s AS (SELECT doc_id, {scrubbed('text')} AS t, doc_id % 5 = 0 AS keep FROM documents, f), l AS (SELECT doc_id, keep, {with_line('t')} FROM s)
+    SELECT doc_id, CASE WHEN keep OR (strlen(t) <= 256 AND NOT regexp_matches(t, '[\\n\\r]')) THEN t ELSE {captured('t')} END AS got, true AS as_in_batch
+    FROM l""", "secrets")
 def _(d):
     rows = d.documents.select("doc_id", F.col("text").alias("got"), (F.col("doc_id") % 5 == 0).alias("keep"))
     stored = run_available(redact_stream(stream_of(d, rows, "captures"), "got", "keep", d.secrets), "redacted")
@@ -108,10 +111,11 @@ def _(d):
       THEN 'pass' ELSE 'fail' END AS verdict FROM loads l WHERE EXISTS (SELECT 1 FROM results r WHERE r.run_id = l.run_id)""", "loads results")
 def _(d):
     path = shared_path(d.spark, "verdicts")
-    # A run's results arrive together: one file, one batch.
-    stream = stream_of(d, d.results, "results", files=1)
-    q = verdict_batches(stream, d.loads, lambda v, i: v.write.mode("append").parquet(path), shared_path(d.spark, "verdicts-checkpoint"))
+    # The results of a run are spread over files, and every file is a batch of its own.
+    stream = stream_of(d, d.results, "results", files_per_batch=1)
+    q = verdict_batches(stream, d.loads, lambda v, i: v.write.mode("overwrite").parquet(f"{path}/b{i}"),
+                        shared_path(d.spark, "verdicts-checkpoint"), shared_path(d.spark, "verdicts-results"))
     if not q.awaitTermination(600):
         q.stop()
         raise TimeoutError("verdict stream")
-    return d.spark.read.parquet(path).select("run_id", "verdict")
+    return newest_verdicts(d.spark.read.parquet(f"{path}/b*"))

@@ -26,13 +26,12 @@ def accept_submissions(subs: DataFrame, accounts: DataFrame, default_cap: int =
         "cap": F.coalesce("cap_override", F.lit(default_cap)),
         "_gate": F.when(F.col("tenant_id").isNull() | F.coalesce("revoked", F.lit(False)), F.lit(401))
         .when(F.coalesce("suspended", F.lit(False)), F.lit(403)).otherwise(F.lit(200))})
-    # Only submissions that count against the cap are ranked.
-    open_ = judged.filter("_gate = 200")
-    ranked = over_groups(open_, ["tenant_id", "month"], [F.col("ts").asc(), F.col("id").asc()], [row_number("_n")],
+    # Only submissions that count against a cap are ranked.
+    counted = (F.col("_gate") == 200) & ~F.coalesce("paid", F.lit(False))
+    ranked = over_groups(judged.filter(counted), ["tenant_id", "month"], [F.col("ts").asc(), F.col("id").asc()], [row_number("_n")],
                          **plan)
-    over = ~F.coalesce("paid", F.lit(False)) & (F.col("_n") > F.col("cap"))
-    capped = ranked.withColumn("status", F.when(over, F.lit(429)).otherwise(F.lit(200))).drop("_n")
-    closed = judged.filter("_gate <> 200").withColumn("status", F.col("_gate"))
+    capped = ranked.withColumn("status", F.when(F.col("_n") > F.col("cap"), F.lit(429)).otherwise(F.lit(200))).drop("_n")
+    closed = judged.filter(~counted).withColumn("status", F.col("_gate"))
     cols = ["id", "key_id", "tenant_id", "month", "cap", "paid", "status"]
     return capped.select(*cols).unionByName(closed.select(*cols))
 

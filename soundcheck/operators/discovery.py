@@ -282,7 +282,7 @@ def cap_candidates(candidates: DataFrame, n: int | None = None) -> DataFrame:
     grouped = F.coalesce(F.col("cap_group"), F.lit("")) != ""
     subjects = candidates.filter(grouped).groupBy("cap_group", "subject").agg(
         F.max("weight").alias("w"), F.min("ord").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("cap_group").orderBy(F.desc("w"), "first"))
+    rank = F.row_number().over(Window.partitionBy("cap_group").orderBy(F.desc("w"), "first", "subject"))
     kept = subjects.withColumn("r", rank).filter(F.col("r") <= n).select("cap_group", "subject")
     sizes = subjects.groupBy("cap_group").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.max(F.col("n") > n), F.lit(False)).alias("truncated"))

@@ -98,20 +98,28 @@ def build_ledger(reports: DataFrame, order: tuple[str, ...] = ("created_at", "id
 
 
 def ledger_tails(ledger: DataFrame) -> DataFrame:
-    """tenant_id, seq and entry_hash of every tenant's last entry."""
-    return ledger.groupBy("tenant_id").agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("entry_hash"))
+    """tenant_id, seq, entry_hash and created_at of every tenant's last entry."""
+    return ledger.groupBy("tenant_id").agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("entry_hash"),
+                                           F.max_by("created_at", "seq").alias("created_at"))
 
 
 def append_ledger(ledger: DataFrame, new: DataFrame, **plan) -> tuple[DataFrame, DataFrame]:
-    """(entries to append, refused reports). Known ids, and all but the first of equal new ids, are refused."""
+    """(entries to append, refused reports).
+
+    Known ids, all but the first of equal new ids, and reports older than the tenant's last entry, which would
+    make time run back, are refused.
+    """
     order = F.struct("created_at", "tenant_id", "report_sha256", "verdict", "target")
     first = new.groupBy("id").agg(F.min_by(F.struct(*[c for c in ENTRY if c != "id"]), order).alias("e"),
                                   F.count(F.lit(1)).alias("copies"))
     known = ledger.select("id").distinct().withColumn("_known", F.lit(True))
-    judged = first.join(known, "id", "left")
-    fresh = judged.filter("_known IS NULL").select("id", "e.*")
-    refused = judged.select("id", (F.col("copies") - F.when(F.col("_known").isNull(), 1).otherwise(0)).alias("refused"))
-    return (build_ledger(fresh, tails=ledger_tails(ledger), **plan), refused.filter("refused > 0"))
+    tails = ledger_tails(ledger)
+    newest = tails.select("tenant_id", F.col("created_at").alias("_newest"))
+    judged = first.join(known, "id", "left").withColumn("tenant_id", F.col("e.tenant_id")).join(newest, "tenant_id", "left").drop("tenant_id")
+    accepted = F.col("_known").isNull() & F.coalesce(F.col("e.created_at") >= F.col("_newest"), F.col("_newest").isNull())
+    fresh = judged.filter(accepted).select("id", "e.*")
+    refused = judged.select("id", (F.col("copies") - F.when(accepted, 1).otherwise(0)).alias("refused"))
+    return (build_ledger(fresh, tails=tails.drop("created_at"), **plan), refused.filter("refused > 0"))
 
 
 # -- verify ----------------------------------------------------------------------------------------

@@ -51,8 +51,8 @@ def transitions_over_time(evaluations: DataFrame, **plan) -> DataFrame:
         "monitor_id", "at_s", F.when(F.col("overdue"), F.lit("overdue")).otherwise(F.lit("recovered")).alias("event"))
 
 
-def idempotency_key(monitor_id="monitor_id", state="alert_state", freshest="freshest") -> Column:
-    """A stable key of (monitor, state, freshest entry)."""
+def idempotency_key(monitor_id="monitor_id", state="event", freshest="freshest") -> Column:
+    """A stable key of (monitor, transition, freshest entry)."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return F.sha2(F.concat_ws("\n", text(monitor_id), text(state), text(freshest)).cast("binary"), 256)
 
@@ -60,7 +60,7 @@ def idempotency_key(monitor_id="monitor_id", state="alert_state", freshest="fres
 def alert_payloads(changed: DataFrame) -> DataFrame:
     """Transitions with ``idempotency_key`` and a versioned JSON ``payload``."""
     body = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), "monitor_id", "target", F.col("alert_state").alias("state"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"), "monitor_id", "target", F.col("event").alias("state"),
         F.col("interval_s").alias("interval_seconds"), F.col("grace_s").alias("grace_seconds"),
         F.col("freshest").alias("freshest_attestation_at"), F.lit(PAYLOAD_NOTICE).alias("notice"))
     return changed.withColumns({"idempotency_key": idempotency_key(),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from soundcheck.operators.expect import evaluate_expectations
@@ -30,13 +30,23 @@ def check_stream(captures: DataFrame, checks: DataFrame, as_of=None) -> DataFram
 
 
 def verdict_batches(results: DataFrame, load: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
-                    ) -> StreamingQuery:
-    """Roll the results of each micro-batch up into verdicts and hand them to ``write(verdicts, batch_id)``.
+                    store: str) -> StreamingQuery:
+    """Judge runs as their results arrive and hand (run_id, verdict, ..., batch_id) to ``write(verdicts, batch_id)``.
 
-    ``load`` is a table of runs; a batch judges the runs it has results for.
+    ``load`` is a table of runs. The results of a run may be spread over any number of micro-batches: they are
+    kept in ``store``, one folder for each batch, and a batch judges its runs over all that is there. So a later
+    row for a run replaces an earlier one (``newest_verdicts``), and a batch that is replayed writes the same again.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        seen = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{store}/batch={i}" for i in range(batch_id + 1)])
         runs = batch.select("run_id").distinct()
-        write(verdicts(batch, load.join(runs, "run_id", "left_semi")), batch_id)
+        judged = verdicts(seen.join(runs, "run_id", "left_semi"), load.join(runs, "run_id", "left_semi"))
+        write(judged.withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id)
 
     return results.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_verdicts(judged: DataFrame) -> DataFrame:
+    """run_id and verdict: of each run, what the latest batch said."""
+    return judged.groupBy("run_id").agg(F.max_by("verdict", "batch_id").alias("verdict"))
