@@ -96,23 +96,46 @@ def load_snapshot(spark: SparkSession, folder: str, name: str | None = None, vie
 
 
 def load_snapshots(spark: SparkSession, root: str, unit_col: str = "snapshot_id") -> dict[str, DataFrame]:
-    """A folder of dated snapshots as one chain: every table of any snapshot with its label in ``unit_col``.
+    """The readable snapshots of a chain: every table of any of them with its label in ``unit_col`` (see ``load_chain``)."""
+    return load_chain(spark, root, unit_col)[0]
+
+
+def load_chain(spark: SparkSession, root: str, unit_col: str = "snapshot_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """A folder of dated snapshots as one chain: (tables with the label in ``unit_col``, loads).
 
     Either ``root/<label>/<table>.<format>``, where ``key=value`` folder names give the value, or
-    ``root/<table>/<unit_col>=<label>/``, which Spark reads as a partitioned table.
+    ``root/<table>/<unit_col>=<label>/``. A snapshot of which any table cannot be read is a failing member: its
+    row in ``loads`` (``unit_col``, ok, error) says why, and none of its rows are in the tables.
     """
-    parts: dict[str, list[DataFrame]] = {}
+    found: dict[str, list[tuple[str, str, str]]] = {}  # label -> (table, format, path)
     for name, path, is_dir in list_folder(spark, root):
         if not is_dir:
             continue
-        inside = list_folder(spark, path)
-        if any(n.startswith(f"{unit_col}=") for n, _, _ in inside):
-            parts.setdefault(name, []).append(read_table(spark, "parquet", path))
-            continue
-        label = name.partition("=")[2] or name
-        for table, (fmt, where) in find_tables(spark, path).items():
-            parts.setdefault(table, []).append(read_table(spark, fmt, where).withColumn(unit_col, F.lit(label)))
-    if not parts:
+        labelled = [(n.partition("=")[2], where) for n, where, _ in list_folder(spark, path) if n.startswith(f"{unit_col}=")]
+        for label, where in labelled:
+            found.setdefault(label, []).append((name, "parquet", where))
+        if not labelled:
+            label = name.partition("=")[2] or name
+            found.setdefault(label, []).extend((t, *at) for t, at in find_tables(spark, path).items())
+
+    def open_snapshot(label: str) -> dict[str, DataFrame] | str:
+        try:
+            opened = {table: read_table(spark, fmt, where).withColumn(unit_col, F.lit(label)) for table, fmt, where in found[label]}
+            for df in opened.values():
+                df.limit(1).collect()
+            return opened
+        except Exception as error:  # noqa: BLE001 - a snapshot that cannot be read is a failing one
+            return str(error).strip()
+
+    with ThreadPoolExecutor(OPEN_TOGETHER) as pool:
+        opened = dict(zip(found, pool.map(open_snapshot, found)))
+    if not any(found.values()):
         raise OperationalError(f"no snapshots in {root}")
+    parts: dict[str, list[DataFrame]] = {}
+    for tables in opened.values():
+        for table, df in ({} if isinstance(tables, str) else tables).items():
+            parts.setdefault(table, []).append(df)
+    loads = spark.createDataFrame([(label, not isinstance(o, str), o if isinstance(o, str) else None) for label, o in opened.items()],
+                                  f"{unit_col} string, ok boolean, error string")
     merge = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-    return {t: reduce(merge, dfs) for t, dfs in parts.items()}
+    return {t: reduce(merge, dfs) for t, dfs in parts.items()}, loads

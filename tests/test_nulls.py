@@ -8,7 +8,7 @@ from soundcheck.functions.jsonpath import json_path
 from soundcheck.operators import chains, checks, discovery, ledger, monitors, probes
 from soundcheck.operators.registry import Snapshot
 from soundcheck.session import materialise
-from soundcheck.sources.snapshots import load_snapshot
+from soundcheck.sources.snapshots import load_chain, load_snapshot
 
 
 def test_checks_see_their_snapshot_only_and_only_query(spark):
@@ -99,3 +99,13 @@ def test_damaged_csv_is_counted(spark):
     spark.createDataFrame([("a,b",), ("1,2",), ("3",), ("5,6,7",), ("8,9",)], "value string").coalesce(1).write.text(f"{folder}/t.csv")
     snapshot, load, rows = load_snapshot(spark, folder, views=False)
     assert rows.first()["rows"] == 2 and "2" in load.first()["warnings"]
+
+
+def test_a_broken_snapshot_is_a_failing_member(spark):
+    folder = tempfile.mkdtemp(prefix="run-")
+    for label in ("s1", "s3"):
+        spark.range(3).write.parquet(f"{folder}/{label}/t.parquet")
+    spark.createDataFrame([("not parquet",)], "value string").write.text(f"{folder}/s2/t.parquet")
+    tables, loads = load_chain(spark, folder)
+    assert {r["snapshot_id"]: r["ok"] for r in loads.collect()} == {"s1": True, "s2": False, "s3": True}
+    assert {r["snapshot_id"]: r["count"] for r in tables["t"].groupBy("snapshot_id").count().collect()} == {"s1": 3, "s3": 3}
