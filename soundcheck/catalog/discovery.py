@@ -9,7 +9,8 @@ from soundcheck.functions import text as T
 from soundcheck.operators import discovery as D
 from soundcheck.operators.registry import Snapshot
 
-NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "benchmark")
+NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "benchmark",
+         "pages", "embeddings", "conversations")
 
 
 def snapshot(d, files=False):
@@ -81,7 +82,7 @@ def shown(df):
 @query("D6_structural_checks", """
     SELECT 'server_reachable' AS name, '1' AS got, true AS ok FROM (SELECT count(*) FROM region)
     UNION ALL SELECT 'has_user_database', '2', true FROM (SELECT count(*) FROM region)
-    UNION ALL SELECT 'schema_present', '13', true FROM (SELECT count(*) FROM region)""")
+    UNION ALL SELECT 'schema_present', '16', true FROM (SELECT count(*) FROM region)""")
 def _(d):
     from soundcheck.operators.checks import run_checks
     from soundcheck.schemas import CHECK_FIELDS

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from soundcheck.functions.scalars import epoch, instant
-from soundcheck.functions.text import (blank_to, check_name, is_temp_name, quote_ident, sanitize,
+from soundcheck.functions.text import (blank_to, check_name, is_temp_name, quote_ident, quote_literal, sanitize,
                                        skeleton_file_name)
 from soundcheck.operators.checks import run_checks
 from soundcheck.operators.registry import Snapshot
@@ -27,7 +27,9 @@ PRELOAD_COMPONENTS = ("timescaledb",)
 FRESHNESS_MARGIN = 5
 FRESHNESS_FLOOR_S = 86400
 MAX_ANCHORS = 5
-TABLES_VIEW = "snapshot_tables"
+# Tables that tell checks about the snapshot itself.
+TABLES_VIEW, PARTITIONS_VIEW, COMPONENTS_VIEW = "snapshot_tables", "snapshot_partitions", "components"
+OWN_VIEWS = (TABLES_VIEW, PARTITIONS_VIEW, COMPONENTS_VIEW)
 
 CANDIDATE_FIELDS = [*CHECK_FIELDS, "cap_group", "subject", "weight"]
 CANDIDATES = CHECKS + ", cap_group string, subject string, weight bigint"
@@ -40,7 +42,7 @@ def split_name(table: str) -> tuple[str, str]:
 
 def user_tables(snapshot: Snapshot) -> list[str]:
     """Table names in (schema, name) order, system schemas left out."""
-    return sorted((t for t in snapshot.tables if split_name(t)[0] not in SYSTEM_SCHEMAS and t != TABLES_VIEW),
+    return sorted((t for t in snapshot.tables if split_name(t)[0] not in SYSTEM_SCHEMAS and t not in OWN_VIEWS),
                   key=split_name)
 
 
@@ -181,10 +183,18 @@ def freshness_checks(profile: DataFrame, grouped: bool = True) -> DataFrame:
         weight=F.col("rows") if grouped else F.lit(None))
 
 
-def partition_floor_checks(df: DataFrame, table: str, time_col: str, grain: str = "day", as_of=None,
-                           partitioned: bool = True) -> DataFrame:
-    """Checks for a table partitioned by time: still partitioned, at least the observed number of
-    chunks (left out when there are none), and fresh."""
+def with_own_views(snapshot: Snapshot, profile: DataFrame) -> Snapshot:
+    """The snapshot with the tables that tell about itself: its profile, partitions and components."""
+    spark = profile.sparkSession
+    return Snapshot({**snapshot.tables, TABLES_VIEW: profile,
+                     PARTITIONS_VIEW: spark.createDataFrame(list(snapshot.partitions.items()), "table_name string, time_column string"),
+                     COMPONENTS_VIEW: spark.createDataFrame([(c,) for c in snapshot.components], "component string")},
+                    snapshot.files, snapshot.responses, snapshot.captures, snapshot.name, snapshot.partitions, snapshot.components)
+
+
+def partition_floor_checks(df: DataFrame, table: str, time_col: str, grain: str = "day", as_of=None) -> DataFrame:
+    """Checks for a table partitioned by time: still partitioned (by what the snapshot says of itself), at least
+    the observed number of chunks (left out when there are none), and fresh."""
     chunk = F.date_trunc(grain, F.col(quote_ident(time_col)))
     seen = df.groupBy(chunk.alias("chunk")).agg(F.max(epoch(quote_ident(time_col))).alias("newest")).agg(
         F.count("chunk").alias("chunks"), F.max("newest").alias("newest"))
@@ -198,7 +208,7 @@ def partition_floor_checks(df: DataFrame, table: str, time_col: str, grain: str
     return _candidates(
         rows, name=pick(named("is_partitioned"), named("chunks"), named("fresh")), kind=F.lit("sql"),
         severity=F.lit("advisory"), ord=F.col("i"),
-        sql=pick(F.lit(f"SELECT {str(partitioned).lower()}"), chunk_sql,
+        sql=pick(F.lit(f"SELECT count(*) > 0 FROM {PARTITIONS_VIEW} WHERE table_name = {quote_literal(table)}"), chunk_sql,
                  F.concat(F.lit(f"SELECT max({quote_ident(time_col)}) FROM "), source)),
         bool=pick(F.lit(True), F.lit(None), F.lit(None)),
         expect_min=pick(F.lit(None), F.col("chunks").cast("double"), F.lit(None)),
@@ -307,7 +317,7 @@ def scaffold(spark: SparkSession, snapshot: Snapshot, flavor: str = "postgres",
              allow_ntz: bool = True) -> DataFrame:
     """Profile, propose, cap and verify: the checks that hold on this snapshot, with a ``truncated`` note.
 
-    ``postgres``: presence, non-empty tables, freshness by the ``single`` rule. ``mysql``: presence, row
+    ``postgres``: presence, non-empty tables, freshness by the ``single`` rule, partitions and components. ``mysql``: presence, row
     floors and freshness by the ``prefer_updated`` rule.
     """
     rule = "single" if flavor == "postgres" else "prefer_updated"
@@ -316,13 +326,17 @@ def scaffold(spark: SparkSession, snapshot: Snapshot, flavor: str = "postgres",
         proposed = [structural_checks(profile), nonempty_checks(profile), freshness_checks(profile, grouped=False)]
     else:
         proposed = [structural_checks(profile, "mysql"), row_floor_checks(profile), freshness_checks(profile)]
+    if flavor == "postgres":
+        for i, (table, column) in enumerate(sorted(snapshot.partitions.items())):
+            floors = partition_floor_checks(snapshot.tables[table], table, column, as_of=as_of)
+            proposed.append(floors.withColumns({"ord": F.col("ord") + F.lit(200_000 + 10 * i), "subject": F.lit(f"{table} partitions")}))
+        named = lambda xs: spark.createDataFrame([(x,) for x in xs], "component string")
+        proposed.append(component_checks(named(snapshot.components), named(PRELOAD_COMPONENTS)).withColumn("ord", F.lit(300_000)))
     if snapshot.files is not None:
         proposed.append(discover_files(snapshot.files).withColumn("ord", F.coalesce("ord", F.lit(1_000_000))))
     candidates = hold(_numbered(reduce(DataFrame.unionByName, proposed)))
     capped = cap_candidates(candidates, cap)
-    subject = Snapshot({**snapshot.tables, TABLES_VIEW: profile}, snapshot.files, snapshot.responses,
-                       snapshot.captures, snapshot.name)
-    return verify_candidates(spark, capped, subject, as_of).orderBy("ord", "name")
+    return verify_candidates(spark, capped, with_own_views(snapshot, profile), as_of).orderBy("ord", "name")
 
 
 def environment_mismatch(required: DataFrame, provided: DataFrame) -> DataFrame:

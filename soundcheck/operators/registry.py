@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass
 class Snapshot:
-    """What checks run against: tables by name, and captured files, responses and command output."""
+    """What checks run against: tables by name, and captured files, responses and command output.
+
+    ``partitions`` names the time column by which a table is stored in parts, ``components`` what is installed.
+    """
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     files: DataFrame | None = None
     responses: DataFrame | None = None
     captures: DataFrame | None = None
     name: str = "snapshot"
+    partitions: dict[str, str] = field(default_factory=dict)
+    components: tuple[str, ...] = ()
 
 
 Evaluator = Callable[[SparkSession, DataFrame, Snapshot, object], DataFrame]

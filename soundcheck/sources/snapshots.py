@@ -6,7 +6,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from soundcheck.operators.registry import Snapshot
 from soundcheck.schemas import LOAD
@@ -54,6 +54,16 @@ def read_table(spark: SparkSession, fmt: str, path: str) -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
+def partition_column(spark: SparkSession, df: DataFrame, path: str) -> str | None:
+    """The time column by which a folder of ``column=value`` folders is stored in parts."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    try:
+        keys = {n.partition("=")[0] for n, _, is_dir in list_folder(spark, path) if is_dir and "=" in n}
+    except OperationalError:  # a single file
+        return None
+    return next((k for k in sorted(keys) if isinstance(kinds.get(k), (T.DateType, T.TimestampType, T.TimestampNTZType))), None)
+
+
 def load_snapshot(spark: SparkSession, folder: str, name: str | None = None, views: bool = True,
                   ) -> tuple[Snapshot, DataFrame, DataFrame]:
     """(snapshot, load result, rows per table).
@@ -91,7 +101,8 @@ def load_snapshot(spark: SparkSession, folder: str, name: str | None = None, vie
     millis = int((time.monotonic() - started) * 1000)
     warning = f"load ignored {dropped} error(s)" if dropped else None
     load = spark.createDataFrame([(not errors, "files", folder, millis, warning, "; ".join(errors) or None)], LOAD)
-    return (Snapshot(tables, name=name or folder.rstrip("/").rpartition("/")[2]), load,
+    parts = {t: c for t in tables if (c := partition_column(spark, tables[t], found[t][1]))}
+    return (Snapshot(tables, name=name or folder.rstrip("/").rpartition("/")[2], partitions=parts), load,
             spark.createDataFrame(counts, "table string, rows bigint"))
 
 

@@ -109,3 +109,18 @@ def test_a_broken_snapshot_is_a_failing_member(spark):
     tables, loads = load_chain(spark, folder)
     assert {r["snapshot_id"]: r["ok"] for r in loads.collect()} == {"s1": True, "s2": False, "s3": True}
     assert {r["snapshot_id"]: r["count"] for r in tables["t"].groupBy("snapshot_id").count().collect()} == {"s1": 3, "s3": 3}
+
+
+def test_scaffold_notices_partitions_and_components(spark):
+    folder = tempfile.mkdtemp(prefix="run-") + "/s"
+    days = spark.range(6).selectExpr("id", "date_add(DATE '2024-01-01', int(id % 3)) AS day")
+    days.write.partitionBy("day").parquet(f"{folder}/log")
+    snapshot, _, _ = load_snapshot(spark, folder, views=False)
+    assert snapshot.partitions == {"log": "day"}
+    snapshot.components = ("timescaledb",)
+    made = discovery.scaffold(spark, snapshot, as_of="2024-01-04 00:00:00")
+    rows = {r["name"]: r for r in made.collect()}
+    assert {"log_is_partitioned", "log_chunks", "timescaledb_loaded"} <= set(rows) and rows["log_chunks"]["expect_min"] == 3
+    flat = discovery.with_own_views(Snapshot({"log": days}), discovery.profile_tables(spark, Snapshot({"log": days})))
+    again = {r["name"]: r["ok"] for r in checks.run_checks(spark, made.select(*checks.CHECK_FIELDS), flat, "2024-01-04 00:00:00").collect()}
+    assert not again["log_is_partitioned"] and again["log_chunks"] and not again["timescaledb_loaded"]
