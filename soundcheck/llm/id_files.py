@@ -24,7 +24,8 @@ from soundcheck.llm.packing import file_encoder
 from soundcheck.llm.text import chunks, remember
 from soundcheck.session import materialise
 
-BLOCK_IDS = 4096
+BLOCK_IDS = 4096  # at most; a small segment has shorter blocks, so that many are coded side by side
+LEAST_BLOCK_IDS, BLOCKS = 1024, 512
 SEGMENT_IDS = 8_000_000  # a segment ends with the document that reaches this
 TEXTS_AT_ONCE = 128
 END_ID = 1
@@ -153,8 +154,9 @@ class Decoder(Coder):
         self.used[rows] += 1
 
 
-def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
+def encode_blocks(ids: np.ndarray, block_ids: int | None = None) -> bytes:
     """One segment: MAGIC, counts, then for each block its ids, bytes, checksum; then the coded bytes."""
+    block_ids = block_ids or max(LEAST_BLOCK_IDS, min(BLOCK_IDS, len(ids) // BLOCKS))
     n = -(-len(ids) // block_ids)
     if not n:
         return MAGIC + struct.pack("<III", 0, block_ids, 0)

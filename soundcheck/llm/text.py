@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Entries of a task's memory of encoded chunks; it is emptied beyond that, so memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Chunks that are given to an encoder at a time.
 AT_ONCE = 2_000
 
