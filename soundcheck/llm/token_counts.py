@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from soundcheck.llm.text import chunks, remember
 
-MAX_NODES = 250_000  # the trie is begun anew beyond that
+MAX_NODES = 600_000  # the trie is begun anew beyond that
 TEXTS_AT_ONCE = 128
 ZIPF_OFFSET = 2.7
 
