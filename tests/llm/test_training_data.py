@@ -259,6 +259,30 @@ def test_language_of_awkward_texts(docs):
     assert {r.lang_pred for r in language.identify(docs, {}).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("learned", [["en"], ["en", "fr"], ["de", "en", "es", "fr"]])
+def test_texts_without_one_language_are_rejected_at_any_length(spark, folder, learned):
+    documents = spark.read.parquet(f"{folder}/documents.parquet").where("text IS NOT NULL AND n_chars > 200")
+    model = language.learn(documents.where(~language.held_out()).where(F.col("lang").isin(learned)))
+    draw, own = random.Random(3), documents.where(language.held_out()).select("lang", "text").collect()
+    words = {k: [w for r in own if r.lang == k for w in r.text.split()] for k in ("de", "en", "es", "fr")}
+    letters = lambda n: " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(n))
+    hexes = lambda n: " ".join(f"{draw.getrandbits(32):08x}" for _ in range(n))
+
+    def mixed(n):
+        starts = {k: draw.randrange(len(words[k]) - n) for k in draw.sample(sorted(words), 2)}
+        return " ".join(w for k, i in starts.items() for w in words[k][i:i + n // 2])
+
+    texts = [(kind.__name__ if kind is mixed else "random", kind(n)) for kind in (letters, hexes, mixed) for n in (100, 500, 2000) for _ in range(40)]
+    texts += [("cyrillic", "\u0448\u0438\u0440\u043e\u043a\u0430\u044f \u0440\u0435\u043a\u0430 " * n) for n in (1, 40, 900)]
+    texts += [("own" if r.lang in learned else "foreign", r.text) for r in own]
+    rows = language.identify(spark.createDataFrame(texts, "kind string, text string").repartition(4), model, keep=["kind"])
+    share = {r.kind: r.a for r in rows.groupBy("row.kind").agg(F.avg(F.col("accepted").cast("int")).alias("a")).collect()}
+    assert share["own"] > 0.97 and share["cyrillic"] == 0 and share["random"] <= 0.01 and share["mixed"] <= 0.05
+    assert share.get("foreign", 0) <= 0.02
+    tie = language.identify(spark.createDataFrame([(texts[0][1],)], "text string"), {"a": b"x", "b": b"x"}, min_score=0.0).first()
+    assert tie.lang_pred == "a" and not tie.accepted
+
+
 # Language model
 
 def test_scores_equal_the_plain_model_for_any_chunks(spark, folder):
