@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundcheck.catalog.base import AS_OF_EPOCH, query
+from soundcheck.catalog.base import query
 from soundcheck.catalog.evidence import LEDGER, ZERO, _tampered_chain
 from soundcheck.catalog.monitoring import NOW
 from soundcheck.catalog.redaction import FOLD, SCAN, captured, scrubbed, with_line
@@ -13,7 +13,7 @@ from soundcheck.operators import checks as B
 from soundcheck.operators.redact import redact_captures
 from soundcheck.session import shared_path
 from soundcheck.streaming.alerts import dedupe_alerts_stream
-from soundcheck.streaming.ledger import verify_ledger_stream
+from soundcheck.streaming.ledger import newest_links, verify_ledger_stream
 from soundcheck.streaming.overdue import overdue_stream
 from soundcheck.streaming.run import read_files, run_available
 from soundcheck.streaming.stateless import check_stream, newest_verdicts, redact_stream, scan_stream, verdict_batches
@@ -61,13 +61,22 @@ def _(d):
         _tampered_chain(d).filter("tenant_id IN ('t_2', 't_4')").dropDuplicates(["tenant_id", "seq"]))
     ledger = ledger.withColumn("created_at", F.when((F.col("tenant_id") == "t_4") & (F.col("seq") == 30), F.col("created_at") + 10_000_000)
                                .otherwise(F.col("created_at")))
-    beat = ledger.limit(1).withColumns({"tenant_id": F.lit("-"), "seq": F.lit(1).cast("bigint"), "prev_hash": F.lit("0" * 64),
-                                        "created_at": F.lit(AS_OF_EPOCH + 400 * 86400).cast("bigint")})
-    path = shared_path(d.spark, "entries")
-    ledger.repartition(4).write.parquet(f"{path}/a")
-    beat.coalesce(1).write.parquet(f"{path}/b")
-    stream = read_files(d.spark, f"{path}/*", ledger.schema)
-    return run_available(verify_ledger_stream(stream), "links").filter("tenant_id <> '-'")
+    return newest_links(run_available(verify_ledger_stream(stream_of(d, ledger, "entries")), "links"))
+
+
+# The whole tampered chain of L6, every file a batch of its own.
+@query("S2_verify_tampered_stream", f"""
+    WITH {LEDGER}, k AS (SELECT * FROM ledger WHERE NOT (tenant_id = 't_1' AND seq = 5) UNION ALL SELECT * FROM ledger WHERE tenant_id = 't_2' AND seq = 9),
+    m AS (SELECT tenant_id, seq, count(*) AS copies, min(entry_hash) AS entry_hash,
+      min(CASE WHEN tenant_id = 't_3' AND seq = 20 THEN '00' WHEN tenant_id = 't_5' AND seq = 1 THEN '11' ELSE prev_hash END) AS prev_hash,
+      min(CASE WHEN tenant_id = 't_4' AND seq = 30 THEN created_at - 10000000 ELSE created_at END) AS created_at FROM k GROUP BY 1, 2),
+    w AS (SELECT *, lag(seq) OVER o AS pseq, lag(entry_hash) OVER o AS phash, lag(created_at) OVER o AS pat FROM m WINDOW o AS (PARTITION BY tenant_id ORDER BY seq))
+    SELECT tenant_id, seq, CASE WHEN copies > 1 THEN 'duplicate seq' WHEN seq = 1 AND prev_hash <> {ZERO} THEN 'genesis prev_hash is not zero'
+      WHEN seq > 1 AND coalesce(pseq, -1) <> seq - 1 THEN 'missing seq before' WHEN seq > 1 AND prev_hash <> phash THEN 'prev_hash does not match'
+      WHEN seq > 1 AND created_at < pat THEN 'created_at runs back' END AS reason FROM w""", "attestations")
+def _(d):
+    stream = stream_of(d, _tampered_chain(d), "tampered", files_per_batch=1)
+    return newest_links(run_available(verify_ledger_stream(stream, seqs_per_key=16), "tampered-links"))
 
 
 @query("S3_scan_stream", SCAN, "planted")

@@ -2,32 +2,99 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from soundcheck.operators.ledger import GENESIS
 from soundcheck.streaming.run import use_rocksdb
 
+SEQS_PER_KEY = 4096
+LINKS = "tenant_id string, seq bigint, reason string, revision int"
+WAITING, JUDGED, REPEATED = range(3)
+
+
+class Links(StatefulProcessor):
+    """Keyed by (tenant, block of seqs). State is the runs of seqs that are there, with their two ends."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("runs", "runs string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        runs = json.loads(self.state.get()[0]) if self.state.exists() else []
+        ends, starts = {r["hi"]: r for r in runs}, {r["lo"]: r for r in runs}
+        found = pd.concat(list(rows)).astype(object).where(lambda x: x.notna(), None).to_dict("records")
+        found.sort(key=lambda e: (e["seq"], e["entry_hash"] is not None, e["entry_hash"] or "", e["created_at"]))
+        out = []
+        for e in found:
+            seq = int(e["seq"])
+            if not e["placed"]:
+                out.append((key[0], None, "entry without a seq", JUDGED))
+                continue
+            if any(r["lo"] <= seq <= r["hi"] for r in ([ends[seq]] if seq in ends else ends.values())):
+                if not e["tail"]:
+                    out.append((key[0], seq, "duplicate seq", REPEATED))
+                continue
+            at = int(e["created_at"]) if e["timed"] else None
+            one = dict(lo=seq, hi=seq, prev=e["prev_hash"], first_at=at, complete=e["entry_hash"] is not None and at is not None,
+                       hash=e["entry_hash"], last_at=at)
+            before, after = ends.pop(seq - 1, None), starts.pop(seq + 1, None)
+            if not e["tail"]:
+                out.append((key[0], seq, *judge(one, before)))
+            if after:
+                out.append((key[0], seq + 1, *judge(after, one)))
+                one |= {k: after[k] for k in ("hi", "hash", "last_at")}
+            if before:
+                one |= {k: before[k] for k in ("lo", "prev", "first_at", "complete")}
+            ends[one["hi"]] = starts[one["lo"]] = one
+        self.state.update((json.dumps(list(ends.values())),))
+        if out:
+            yield pd.DataFrame(out, columns=["tenant_id", "seq", "reason", "revision"]).astype({"seq": "Int64", "revision": "int32"})
+
+    def close(self) -> None:
+        pass
 
-def verify_ledger_stream(entries: DataFrame, max_gap: str = "31 days", watermark: str = "10 minutes") -> DataFrame:
-    """tenant_id, seq, reason for every link; reason is null when it holds.
 
-    Every entry meets its predecessor in a stream-stream join on (tenant, seq), so one large tenant
-    spreads over all tasks. An entry waits for a late predecessor; when the watermark says that none
-    can come any more, it is reported as ``missing seq before``. ``max_gap`` bounds how long an entry
-    is kept for its successor, and so the state.
+def judge(run: dict, before: dict | None) -> tuple[str | None, int]:
+    """What is wrong with the first entry of ``run`` behind the last one of ``before``, and whether that may change."""
+    first = run["lo"] == 1
+    revision = JUDGED if first or before else WAITING
+    if not run["complete"]:
+        return "entry without a hash or time", revision
+    if first:
+        return (None if run["prev"] == GENESIS else "genesis prev_hash is not zero"), revision
+    if not before:
+        return "missing seq before", revision
+    if run["prev"] != before["hash"]:
+        return "prev_hash does not match", revision
+    return ("created_at runs back" if before["last_at"] is not None and run["first_at"] < before["last_at"] else None), revision
+
+
+def verify_ledger_stream(entries: DataFrame, seqs_per_key: int = SEQS_PER_KEY) -> DataFrame:
+    """tenant_id, seq, reason, revision for every link; reason is null when it holds. ``newest_links`` has one row per link.
+
+    There is no watermark and no age limit, so no entry is too late: one whose predecessor is not there yet
+    is ``missing seq before`` (revision 0), and is judged again (1) when that arrives, however long after.
+    Every further entry of a seq is a ``duplicate seq`` (2). State is one row for each block of
+    ``seqs_per_key`` seqs of a tenant, so a large tenant spreads over all tasks; it holds the ends of each
+    unbroken run, not the entries. The last entry of a block is sent to the next one too.
     """
     use_rocksdb(entries.sparkSession)
-    base = entries.withColumn("event_time", F.timestamp_seconds("created_at"))
-    current = base.select("tenant_id", "seq", "prev_hash", "created_at", F.col("event_time").alias("c_time")).withWatermark(
-        "c_time", watermark)
-    before = base.select(F.col("tenant_id").alias("b_tenant"), (F.col("seq") + 1).alias("b_seq"), F.col("entry_hash").alias("b_hash"),
-                         F.col("created_at").alias("b_created"), F.col("event_time").alias("b_time")).withWatermark("b_time", watermark)
-    near = F.expr(f"b_time >= c_time - INTERVAL {max_gap} AND b_time <= c_time + INTERVAL {max_gap}")
-    linked = current.join(before, (F.col("tenant_id") == F.col("b_tenant")) & (F.col("seq") == F.col("b_seq")) & near, "left_outer")
-    first = F.col("seq") == 1
-    reason = (
-        F.when(first & (F.col("prev_hash") != GENESIS), F.lit("genesis prev_hash is not zero"))
-        .when(~first & F.col("b_seq").isNull(), F.lit("missing seq before"))
-        .when(~first & ~F.col("prev_hash").eqNullSafe(F.col("b_hash")), F.lit("prev_hash does not match"))
-        .when(~first & (F.col("created_at") < F.col("b_created")), F.lit("created_at runs back")))
-    return linked.select("tenant_id", "seq", reason.alias("reason"))
+    nothing = F.lit(0).cast("bigint")
+    block = lambda seq: F.floor(seq / seqs_per_key).cast("bigint")
+    rows = entries.select("tenant_id", F.coalesce("seq", nothing).alias("seq"), F.col("seq").isNotNull().alias("placed"),
+                          "prev_hash", "entry_hash", F.coalesce("created_at", nothing).alias("created_at"),
+                          F.col("created_at").isNotNull().alias("timed"))
+    ends_block = F.col("placed") & (F.pmod(F.col("seq") + 1, F.lit(seqs_per_key)) == 0)
+    sent = rows.withColumn("tail", F.explode(F.when(ends_block, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return sent.withColumn("block", block(F.col("seq") + F.col("tail").cast("bigint"))).groupBy(
+        "tenant_id", "block").transformWithStateInPandas(
+        statefulProcessor=Links(), outputStructType=LINKS, outputMode="append", timeMode="none")
+
+
+def newest_links(links: DataFrame) -> DataFrame:
+    """tenant_id, seq and reason: of each link, what is known last."""
+    return links.groupBy("tenant_id", "seq").agg(F.max_by("reason", "revision").alias("reason"))
