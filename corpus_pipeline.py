@@ -26,14 +26,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates (five-word shingles, similarity 0.8); rows without an id stay."""
-    kept = near_text.near_duplicates(docs, size=5, percent=80).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_kept")
-    found = docs.join(kept, docs["doc_id"] == kept["_kept"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = found.where("_rows = 1").select(*columns)
-    repeated = found.where("_rows > 1").select(*columns).dropDuplicates(["doc_id", "text"])
-    return once.union(repeated).union(docs.where("doc_id IS NULL"))
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id.
+
+    Rows are told apart by id and text, so repeated ids are judged text by text. Among equal ids the smallest
+    hash of the text stays, and a null id only if the group has no other. Texts without a word are in no group:
+    of those that repeat an id and a text one stays, and all whose id is null.
+    """
+    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.unhex(F.sha2(F.col("text"), 256)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
+    near = near_text.near_duplicates(keyed, size=5, percent=80, id_col="_key", text_col="_text")
+    kept = near.where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_shingles"))
+    found = keyed.join(kept, F.col("_key") == F.col("_kept"))
+    single = (F.col("_rows") == 1) | ((F.col("_shingles") == 0) & F.col("_row.doc_id").isNull())
+    return found.where(single).select("_row.*").union(found.where(~single).dropDuplicates(["_key"]).select("_row.*"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

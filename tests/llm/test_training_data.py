@@ -466,3 +466,15 @@ def test_pipeline_of_awkward_rows(spark, docs):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 8, 11, 12] and None in ids and one.columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none_left(docs), "").count() == 0
+
+
+def test_pipeline_keeps_one_row_per_group_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+    words = [[f"{t}{i}" for i in range(60)] for t in "abcd"]
+    a, b, c, d = (" ".join(w) for w in words)
+    near = [" ".join([*words[0][:-1], f"other{i}"]) for i in range(3)]
+    rows = [(3, a), (5, near[0]), (5, near[0]), (5, b), (9, near[1]), (2, c), (2, c + " x"), (2, c), (None, d), (None, d), (None, near[2]), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    of_two = [kept.pop((2, t), 0) for t in (c, c + " x")]
+    assert sum(of_two) == 1 and kept == {(3, a): 1, (5, b): 1, (None, d): 1, (None, None): 2}
