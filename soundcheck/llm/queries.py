@@ -152,3 +152,63 @@ def hnsw_near_dedup(spark, folder):
 def katz_scores(spark, folder):
     from soundcheck.llm.katz import learned_from, score_texts
     return score_texts(table(spark, folder, "documents"), learned_from())
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark, folder):
+    from soundcheck.llm.periodic import collapse_runs
+
+    def planted(doc_id, words: list[bytes]) -> list[bytes]:
+        """The texts of the task: every tenth document, by a checksum of its id, repeats from some word on."""
+        import zlib
+        h, n = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1, len(words)
+        if h % 10 or not n:
+            return words
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+    found = collapse_runs(table(spark, folder, "documents"), keep=["doc_id"], key_col="doc_id", prepare=planted)
+    strongest = F.expr("""aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), (best, r) ->
+        CASE WHEN best IS NULL OR r.length * best.period > best.length * r.period THEN r ELSE best END)""")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return found.select("row.doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), strongest.alias("best"),
+                        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_words", "n_runs", "best.*", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256")
+
+
+@query("op11_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+sized AS (SELECT page_id, t, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha256(t) AS payload_digest FROM p),
+firsts AS (SELECT t, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM sized LEFT JOIN firsts USING (t)""")
+def warc(spark, folder):
+    from soundcheck.llm.warc import read_warc, resolve, write_warc
+    found = resolve(read_warc(spark, write_warc(table(spark, folder, "pages"))))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')"
+
+
+@query("op12_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SEARCH_TERMS} AS ts FROM documents),
+sizes AS (SELECT rid, doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM d WHERE len(ts) > 0),
+corpus AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes),
+q AS (SELECT DISTINCT qid, item_id, unnest(ts) AS t FROM (SELECT row_number() OVER () AS qid, item_id, {SEARCH_TERMS} AS ts FROM benchmark)),
+tfs AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM sizes) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
+ws AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tfs GROUP BY t), corpus),
+scored AS (SELECT qid, item_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS score
+           FROM tfs JOIN q USING (t) JOIN ws USING (t) JOIN sizes USING (rid), corpus GROUP BY qid, item_id, rid),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS place
+           FROM scored JOIN sizes USING (rid) WHERE score > 0)
+SELECT item_id, CAST(place AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE place <= 10""")
+def ranked_search(spark, folder):
+    from soundcheck.llm.ranked import rank
+    return rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
