@@ -86,9 +86,9 @@ def shown(df):
 def _(d):
     from soundcheck.operators.checks import run_checks
     from soundcheck.schemas import CHECK_FIELDS
-    profile = D.profile_tables(d.spark, snapshot(d), as_of=AS_OF)
-    checks = D._numbered(D.structural_checks(profile)).select(*CHECK_FIELDS)
-    return run_checks(d.spark, checks, Snapshot({D.TABLES_VIEW: profile}), AS_OF).select("name", "got", "ok")
+    own = snapshot(d)
+    checks = D._numbered(D.structural_checks(D.profile_tables(d.spark, own, as_of=AS_OF))).select(*CHECK_FIELDS)
+    return run_checks(d.spark, checks, own, AS_OF).select("name", "got", "ok")
 
 
 FULL = f"p AS ({ROWS}), q AS (SELECT *, CASE WHEN \"schema\" = '' THEN name ELSE concat(\"schema\", '.', name) END AS qualified, " \

@@ -38,7 +38,19 @@ def epoch(c: Column | str) -> Column:
 
 
 def micros(c: Column | str) -> Column:
-    return F.unix_micros(as_col(c).cast("timestamp"))
+    """Microseconds since 1970 of a timestamp, a timestamp without zone (read as UTC) or a date, in any session zone.
+
+    The type is a constant to the optimizer, so one of the readings is left.
+    """
+    c = as_col(c)
+    day = F.unix_date(c.cast("date")) * F.lit(86_400_000_000)
+    clock = F.hour(c) * F.lit(3_600_000_000) + F.minute(c) * F.lit(60_000_000).cast("bigint") + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return F.when(F.typeof(c) == "timestamp_ntz", day + clock).when(F.typeof(c) == "date", day).otherwise(F.unix_micros(c.cast("timestamp")))
+
+
+def utc(c: Column | str) -> Column:
+    """A timestamp as its wall clock in UTC, without zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(as_col(c)), F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
 def parse_num_text(c: Column | str) -> Column:

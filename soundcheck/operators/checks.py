@@ -7,22 +7,22 @@ Data rows never are. Per table and batch there is one scan, whatever the number
 from __future__ import annotations
 
 import json
-import uuid
+import re
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
+from soundcheck.functions.scalars import utc
 from soundcheck.functions.text import blank_to, quote_ident, trim_space
 from soundcheck.operators.expect import evaluate_expectations
 from soundcheck.operators.registry import Snapshot, check_kinds, register_check_kind
+from soundcheck.operators.views import SnapshotSession, subject
 from soundcheck.plans.sizing import batches, broadcast_if_small, hold
 from soundcheck.session import materialise
 from soundcheck.schemas import CHECK_FIELDS, CHECKS, RESULT_FIELDS, RESULTS
 
-RUN_TOGETHER = 8
 FUSED = 200  # checks fused into one aggregation or one row of subqueries
 
 
@@ -57,7 +57,10 @@ def results(df: DataFrame) -> DataFrame:
 
 
 def _told(error: Exception) -> str:
-    return (error.getMessage() if isinstance(error, PySparkException) and error.getMessage() else str(error)).strip()
+    """What went wrong, without the trace: the innermost condition that Spark names, if any."""
+    text = (error.getMessage() if isinstance(error, PySparkException) and error.getMessage() else str(error)).strip()
+    named = re.findall(r"(?m)^.*?(\[[A-Z][A-Z0-9_.]+\] .*)$", text) if "\tat " in text else []
+    return named[-1].strip() if named else text
 
 
 def _with_subjects(spark, checks: Sequence[Row], got: dict[str, str], errors: dict[str, str]) -> DataFrame:
@@ -76,103 +79,88 @@ def _union(parts: list[DataFrame], spark, empty: str) -> DataFrame:
 
 # -- sql ---------------------------------------------------------------------------------------
 
-def _items(seq) -> list:
-    return [seq.apply(i) for i in range(seq.size())]
+_PLACE = re.compile(r"== SQL \(line ([0-9]+), position [0-9]+\) ==")
 
 
-def _relations(plan, aliased: bool = False):
-    """(name parts, first and last position in the text, has an alias) of every table that a parsed query names."""
-    kind = plan.getClass().getSimpleName()
-    if kind == "UnresolvedRelation":
-        origin = plan.origin()
-        yield tuple(_items(plan.multipartIdentifier())), origin.startIndex().get(), origin.stopIndex().get(), aliased
-    for below in _items(plan.children()):
-        yield from _relations(below, kind == "SubqueryAlias")
-    for inner in _items(plan.innerChildren()):
-        yield from _relations(inner)
-
-
-def _cte_names(plan) -> set[str]:
-    own = {_items(plan.cteRelations())[i]._1().lower() for i in range(plan.cteRelations().size())} if (
-        plan.getClass().getSimpleName() == "UnresolvedWith") else set()
-    return own.union(*[_cte_names(p) for p in [*_items(plan.children()), *_items(plan.innerChildren())]])
+class _Joint:
+    """Queries as one row of subqueries. What fails at run time is told apart without running every query again.
 
+    Spark says at which line of the text an expression failed, so that query is run alone and the others
+    once more: two scans for a failing check. Where it does not say (a file that cannot be read), the halves
+    are run, and good halves are kept.
+    """
 
-def _on_views(spark, query: str, views: dict[str, str]) -> str:
-    """``query`` over the views of a snapshot, whatever else the session has; anything but a query is refused.
+    def __init__(self, session: SparkSession):
+        self.session, self.got, self.errors, self.runs = session, {}, {}, 0
 
-    Table names, with or without a schema, are those of the snapshot; ``views`` maps them to views.
-    """
-    parser = spark._jsparkSession.sessionState().sqlParser()
-    parser.parsePlan(f"SELECT (\n{query}\n)")  # commands have no place in an expression
-    plan = parser.parsePlan(query)
-    local, known = _cte_names(plan), {t.lower(): t for t in views}
-    for parts, first, last, aliased in sorted(_relations(plan), key=lambda r: -r[1]):
-        name = ".".join(parts)
-        if len(parts) == 1 and name.lower() in local:
-            continue
-        if name.lower() not in known:
-            raise ValueError(f"the snapshot has no table {name!r}")
-        view = quote_ident(views[known[name.lower()]])
-        query = query[:first] + (view if aliased else f"{view} AS {quote_ident(parts[-1])}") + query[last + 1:]
-    return query
-
-
-def _run_jointly(spark, queries: list[tuple[str, str]], got: dict[str, str], errors: dict[str, str]) -> None:
-    """Run (check_id, query) pairs as one row of subqueries; if that fails, each by itself, so that good results are kept."""
-
-    def run(some: list[tuple[str, str]]) -> None:
-        joint = ", ".join(f"CAST((\n{q}\n) AS STRING) AS c{i}" for i, (_, q) in enumerate(some))
-        row = spark.sql(f"SELECT {joint}").first()
-        got.update({cid: row[i] or "" for i, (cid, _) in enumerate(some)})
-
-    def alone(pair: tuple[str, str]) -> None:
+    def run(self, queries: list[tuple[str, str, str]]) -> None:
+        """(check_id, query, type of its value) each."""
+        if not queries:
+            return
+        shown = [f"CAST({_utc(f'(\n{q}\n)', kind)} AS STRING) AS c{i}" for i, (_, q, kind) in enumerate(queries)]
+        self.runs += 1
         try:
-            run([pair])
+            row = self.session.sql("SELECT " + ",\n".join(shown)).first()
         except Exception as error:  # noqa: BLE001 - any failure of a check is its result
+            self.settle(queries, shown, error)
+        else:
+            self.got.update({cid: row[i] or "" for i, (cid, _, _) in enumerate(queries)})
+
+    def settle(self, queries: list[tuple[str, str, str]], shown: list[str], error: Exception) -> None:
+        if len(queries) == 1:
             many = "SCALAR_SUBQUERY_TOO_MANY_ROWS" in str(error)
-            errors[pair[0]] = "expected one row, one column" if many else _told(error)
+            self.errors[queries[0][0]] = "expected one row, one column" if many else _told(error)
+            return
+        place, line = _PLACE.search(str(error)), 1
+        for i, text in enumerate(shown if place else ()):
+            line += text.count("\n") + 1
+            if int(place[1]) < line:
+                self.run([queries[i]])
+                self.run(queries[:i] + queries[i + 1:])
+                return
+        half = len(queries) // 2
+        self.run(queries[:half])
+        self.run(queries[half:])
 
-    if not queries:
-        return
-    try:
-        run(queries)
-    except Exception:  # noqa: BLE001
-        with ThreadPoolExecutor(RUN_TOGETHER) as pool:
-            list(pool.map(alone, queries))
+
+def _utc(value: str, kind: str) -> str:
+    """A time with zone as its UTC reading, so that its text does not depend on the session."""
+    return f"timestampadd(MICROSECOND, unix_micros({value}), TIMESTAMP_NTZ '1970-01-01')" if kind == "timestamp" else value
 
 
 def sql_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot | None = None, as_of=None) -> DataFrame:
     """Run each check's SQL and evaluate its one value, trimmed; SQL NULL reads as empty text.
 
-    A check sees the tables of ``snapshot`` and nothing else: names are resolved against views made for
-    this call and dropped after it, so a table that the snapshot lacks is an error row even where the
-    session has a view of that name. Only queries run. The queries of a batch become scalar subqueries
-    of one row, so Spark runs them in one job and merges equal scans. A query that does not analyse
-    marks only its own row. Without a snapshot, names mean what they mean in the session.
+    A check sees the tables of ``snapshot`` and those in which it describes itself, and nothing else: its
+    SQL runs unchanged in a session whose catalog holds them. A table that the snapshot lacks is an error
+    row, also where the caller's session or a database has one of that name. Only queries run. Times are
+    read and shown in UTC. The queries of a batch become scalar subqueries of one row, so Spark runs them
+    in one job and merges equal scans. A query that does not analyse marks only its own row. Without a
+    snapshot, names mean what they mean in the session.
     """
-    views = {name: f"check_{uuid.uuid4().hex}" for name in (snapshot.tables if snapshot else {})}
-    for name, view in views.items():
-        snapshot.tables[name].createOrReplaceTempView(view)
+    if snapshot is None:
+        return _evaluated(spark, checks, as_of, spark, lambda q: (q, spark.sql(subject(q)).schema[0].dataType.simpleString()), lambda q: set())
+    with SnapshotSession(spark, snapshot) as own:
+        return _evaluated(spark, checks, as_of, own.session, own.analyse, own.foreign)
+
+
+def _evaluated(spark, checks: DataFrame, as_of, session, analyse, foreign) -> DataFrame:
     parts = []
-    try:
-        for batch in batches(checks.select(*CHECK_FIELDS), FUSED):
-            got, errors, good = {}, {}, []
-            for c in batch:
-                query = (c["sql"] or "").strip().rstrip(";")
-                try:
-                    query = _on_views(spark, query, views) if snapshot else query
-                    if len(spark.sql(query).schema.fields) != 1:
-                        raise ValueError("expected one row, one column")
-                    good.append((c["check_id"], query))
-                except Exception as error:  # noqa: BLE001 - any failure of a check is its result
-                    errors[c["check_id"]] = _told(error)
-            _run_jointly(spark, good, got, errors)
-            subjects = _with_subjects(spark, batch, got, errors).withColumn("got", trim_space("got"))
-            parts.append(results(evaluate_expectations(subjects, as_of)))
-    finally:
-        for view in views.values():
-            spark.catalog.dropTempView(view)
+    for batch in batches(checks.select(*CHECK_FIELDS), FUSED):
+        joint, good = _Joint(session), []
+        for c in batch:
+            try:
+                good.append((c["check_id"], *analyse((c["sql"] or "").strip().rstrip(";"))))
+            except Exception as error:  # noqa: BLE001 - any failure of a check is its result
+                several = "RETURN_MORE_THAN_ONE_OUTPUT_COLUMN" in str(error)
+                joint.errors[c["check_id"]] = "expected one row, one column" if several else _told(error)
+        if good and foreign("SELECT " + ", ".join(f"(\n{q}\n)" for _, q, _ in good)):  # seldom, so only then one by one
+            outside = {cid: names for cid, q, _ in good if (names := foreign(subject(q)))}
+            joint.errors.update({cid: f"the snapshot has no table {sorted(names)[0]}" for cid, names in outside.items()})
+            good = [g for g in good if g[0] not in outside]
+        joint.run(good)
+        subjects = _with_subjects(spark, batch, joint.got, joint.errors).withColumn("got", trim_space("got"))
+        parts.append(results(evaluate_expectations(subjects, as_of)))
     return _union(parts, spark, RESULTS)
 
 
@@ -263,7 +251,9 @@ def _field_text(df: DataFrame, path: str) -> Column | None:
             return F.try_variant_get(F.col(quote_ident(head)), F.lit("$." + rest), "string")  # null where absent
         return None
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        wall = (col if isinstance(kind, T.TimestampNTZType) else utc(col)).cast("string")  # neither depends on the session
+        return F.when(col.isNotNull(), F.concat(F.translate(F.left(wall, F.lit(19)), " ", "T"), F.lit("."),
+                                                F.rpad(F.substring(wall, 21, 3), 3, "0"), F.lit("Z")))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.regexp_replace(col.cast("string"), r"\.0\z", "")
     return col.cast("string")
@@ -328,26 +318,27 @@ def unknown_kinds(checks: DataFrame) -> DataFrame:
 def run_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_of=None) -> DataFrame:
     """Evaluate all checks: one result per check, in definition order, severity carried.
 
-    Every kind runs as one plan. If a plan fails at run time, its checks are repeated one by one, and
-    only those that fail again become error rows.
+    Every kind runs as one plan. If a plan fails at run time, its checks are halved until the failing ones
+    are alone; halves that succeed are kept, so one failing check costs about twice log2 of its number in plans.
     """
     checks = hold(default_checks(checks).select(*CHECK_FIELDS))  # definitions may come from a costly discovery
     present = {r["kind"] for r in checks.select("kind").distinct().collect()}
     parts = [unknown_kinds(checks)]
-    for kind, fn in check_kinds().items():
-        if kind not in present:
-            continue
-        mine = checks.filter(F.col("kind") == kind)
+
+    def run(fn, mine: DataFrame, halve: bool) -> None:
         try:
             parts.append(materialise(fn(spark, mine, snapshot, as_of), "results"))
-        except Exception:  # noqa: BLE001
-            for batch in batches(mine, 1):
-                one = spark.createDataFrame(batch, CHECKS)
-                try:
-                    parts.append(materialise(fn(spark, one, snapshot, as_of), "results"))
-                except Exception as error:  # noqa: BLE001
-                    parts.append(results(one.withColumns({
-                        "ok": F.lit(False), "got": F.lit(""), "error": F.lit(_told(error))})))
+        except Exception as error:  # noqa: BLE001 - any failure of a check is its result
+            for batch in batches(mine, FUSED) if halve else ():
+                for half in (batch[:len(batch) // 2], batch[len(batch) // 2:]):
+                    if half:
+                        run(fn, spark.createDataFrame(half, CHECKS), len(half) > 1)
+            if not halve:
+                parts.append(results(mine.withColumns({"ok": F.lit(False), "got": F.lit(""), "error": F.lit(_told(error))})))
+
+    for kind, fn in check_kinds().items():
+        if kind in present:
+            run(fn, checks.filter(F.col("kind") == kind), True)
     return _union(parts, spark, RESULTS).orderBy("ord")
 
 

@@ -16,36 +16,21 @@ from soundcheck.functions.text import (blank_to, check_name, is_temp_name, quote
                                        skeleton_file_name)
 from soundcheck.operators.checks import run_checks
 from soundcheck.operators.registry import Snapshot
+from soundcheck.operators.views import COMPONENTS_VIEW, PARTITIONS_VIEW, TABLES_VIEW, split_name, user_tables
 from soundcheck.plans.sizing import broadcast_if_small, hold
 from soundcheck.schemas import CHECK_FIELDS, CHECKS
 
-# Obvious time columns, excluded schemas, thresholds and caps.
+# Obvious time columns, components, thresholds and caps.
 TIME_COLUMN_NAMES = ("created_at", "updated_at", "inserted_at", "ts", "time", "event_time")
-SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "_timescaledb_internal", "_timescaledb_catalog",
-                  "_timescaledb_config", "_timescaledb_cache")
 PRELOAD_COMPONENTS = ("timescaledb",)
 FRESHNESS_MARGIN = 5
 FRESHNESS_FLOOR_S = 86400
 MAX_ANCHORS = 5
-# Tables that tell checks about the snapshot itself.
-TABLES_VIEW, PARTITIONS_VIEW, COMPONENTS_VIEW = "snapshot_tables", "snapshot_partitions", "components"
-OWN_VIEWS = (TABLES_VIEW, PARTITIONS_VIEW, COMPONENTS_VIEW)
 
 CANDIDATE_FIELDS = [*CHECK_FIELDS, "cap_group", "subject", "weight"]
 CANDIDATES = CHECKS + ", cap_group string, subject string, weight bigint"
 
 
-def split_name(table: str) -> tuple[str, str]:
-    schema, _, name = table.rpartition(".")
-    return schema, name
-
-
-def user_tables(snapshot: Snapshot) -> list[str]:
-    """Table names in (schema, name) order, system schemas left out."""
-    return sorted((t for t in snapshot.tables if split_name(t)[0] not in SYSTEM_SCHEMAS and t not in OWN_VIEWS),
-                  key=split_name)
-
-
 def _qualified(table: str) -> str:
     return quote_ident(table)
 
@@ -139,7 +124,7 @@ def _name_of(suffix: str) -> Column:
 
 
 def structural_checks(profile: DataFrame, flavor: str = "postgres") -> DataFrame:
-    """Required presence checks. The profile is registered as ``snapshot_tables`` when they run."""
+    """Required presence checks, over the table in which every snapshot lists its user tables."""
     spark = profile.sparkSession
     made = [("server_reachable", "SELECT 1", "1", None)]
     if flavor == "postgres":
@@ -183,15 +168,6 @@ def freshness_checks(profile: DataFrame, grouped: bool = True) -> DataFrame:
         weight=F.col("rows") if grouped else F.lit(None))
 
 
-def with_own_views(snapshot: Snapshot, profile: DataFrame) -> Snapshot:
-    """The snapshot with the tables that tell about itself: its profile, partitions and components."""
-    spark = profile.sparkSession
-    return Snapshot({**snapshot.tables, TABLES_VIEW: profile,
-                     PARTITIONS_VIEW: spark.createDataFrame(list(snapshot.partitions.items()), "table_name string, time_column string"),
-                     COMPONENTS_VIEW: spark.createDataFrame([(c,) for c in snapshot.components], "component string")},
-                    snapshot.files, snapshot.responses, snapshot.captures, snapshot.name, snapshot.partitions, snapshot.components)
-
-
 def partition_floor_checks(df: DataFrame, table: str, time_col: str, grain: str = "day", as_of=None) -> DataFrame:
     """Checks for a table partitioned by time: still partitioned (by what the snapshot says of itself), at least
     the observed number of chunks (left out when there are none), and fresh."""
@@ -218,8 +194,8 @@ def partition_floor_checks(df: DataFrame, table: str, time_col: str, grain: str
 def component_checks(installed: DataFrame, required: DataFrame) -> DataFrame:
     """A ``<x>_loaded`` check for every known required component that is installed (column ``component``)."""
     hit = installed.select("component").distinct().join(required.select("component").distinct(), "component", "left_semi")
-    sql = F.concat(F.lit("SELECT count(*) > 0 FROM components WHERE component = '"),
-                   F.replace("component", F.lit("'"), F.lit("\\'")), F.lit("'"))
+    escaped = F.replace(F.replace("component", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    sql = F.concat(F.lit(f"SELECT count(*) > 0 FROM {COMPONENTS_VIEW} WHERE component = '"), escaped, F.lit("'"))
     return _candidates(hit, name=F.concat(sanitize("component"), F.lit("_loaded")), sql=sql, bool=F.lit(True),
                        kind=F.lit("sql"), severity=F.lit("advisory"), subject=F.col("component"))
 
@@ -323,7 +299,8 @@ def scaffold(spark: SparkSession, snapshot: Snapshot, flavor: str = "postgres",
     rule = "single" if flavor == "postgres" else "prefer_updated"
     profile = hold(profile_tables(spark, snapshot, rule, as_of, allow_ntz))  # one row per table
     if flavor == "postgres":
-        proposed = [structural_checks(profile), nonempty_checks(profile), freshness_checks(profile, grouped=False)]
+        stored = F.concat_ws(".", F.nullif("schema", F.lit("")), "name").isin(list(snapshot.partitions))  # partitions propose it below
+        proposed = [structural_checks(profile), nonempty_checks(profile), freshness_checks(profile.filter(~stored), grouped=False)]
     else:
         proposed = [structural_checks(profile, "mysql"), row_floor_checks(profile), freshness_checks(profile)]
     if flavor == "postgres":
@@ -336,7 +313,7 @@ def scaffold(spark: SparkSession, snapshot: Snapshot, flavor: str = "postgres",
         proposed.append(discover_files(snapshot.files).withColumn("ord", F.coalesce("ord", F.lit(1_000_000))))
     candidates = hold(_numbered(reduce(DataFrame.unionByName, proposed)))
     capped = cap_candidates(candidates, cap)
-    return verify_candidates(spark, capped, with_own_views(snapshot, profile), as_of).orderBy("ord", "name")
+    return verify_candidates(spark, capped, snapshot, as_of).orderBy("ord", "name")
 
 
 def environment_mismatch(required: DataFrame, provided: DataFrame) -> DataFrame:

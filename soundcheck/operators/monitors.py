@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from soundcheck.functions.scalars import duration_text
 from soundcheck.plans.ordered import lag, last_known, over_groups
 from soundcheck.plans.sizing import broadcast_if_small
+from soundcheck.session import materialise
 from soundcheck.schemas import SCHEMA_VERSION
 
 # Fixed values.
@@ -17,6 +18,8 @@ MIN_GAP_S = 900
 RATE_LIMIT = 60
 RATE_WINDOW_S = 3600
 
+DAMP_BLOCK_S = 86400  # seconds of a destination that one task folds
+
 
 def overdue(monitors: DataFrame, ledger: DataFrame, as_of_epoch: int) -> DataFrame:
     """Monitors with ``freshest``, ``overdue`` and the shown ``status``: ok, overdue, or never (no entry yet).
@@ -75,37 +78,63 @@ def dedupe_deliveries(deliveries: DataFrame, order: str = "at_s") -> DataFrame:
         "destination", "idempotency_key", *[F.col(f"d.{c}").alias(c) for c in rest])
 
 
-def damp_flaps(deliveries: DataFrame, min_gap_s: int = MIN_GAP_S, id_col: str = "id") -> DataFrame:
+def damp_flaps(deliveries: DataFrame, min_gap_s: int = MIN_GAP_S, id_col: str = "id", block_s: int = DAMP_BLOCK_S) -> DataFrame:
     """Add ``sent``: false when closer than ``min_gap_s`` to the last delivery *sent* to the destination.
 
-    ``at_s`` is in whole seconds; of one second, the smallest id is sent. Whether a second is sent depends on
-    those before it, but only until a pause of ``min_gap_s``: after that a delivery is sent in any case.
-    So every second counts once, and each stretch between two pauses is folded on its own. A stretch has
-    at most one row per second, however many deliveries there are.
+    ``at_s`` is in whole seconds; of one second, the smallest id is sent (null only where there is no other), with its copies. A null
+    destination is a destination. A delivery without a time is sent and holds back no other.
+
+    Whether a second is sent depends on those sent before it. Blocks of ``block_s`` seconds are folded side by
+    side all the same: a block is entered with the time from which sending is allowed again, and there are at
+    most ``min_gap_s`` such times that matter, so it is a map from that time to the one it hands on. The maps are
+    applied in order, one row per block; then every block marks what it sends.
     """
     if min_gap_s <= 0:
         return deliveries.withColumn("sent", F.lit(True))
-    seconds = deliveries.groupBy("destination", "at_s").agg(F.min(id_col).alias("_first"))
-    started = over_groups(seconds, ["destination"], [F.col("at_s").asc()], [lag("_prev", F.col("at_s"))])
-    opens = F.when(F.col("_prev").isNull() | (F.col("at_s") - F.col("_prev") >= min_gap_s), F.col("at_s"))
-    starts = started.withColumn("_opens", opens)
-    stretches = over_groups(starts, ["destination"], [F.col("at_s").asc()], [last_known("_stretch", F.col("_opens"))])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    block_s = max(block_s, min_gap_s)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    seconds = materialise(deliveries.where("at_s IS NOT NULL").groupBy("destination", F.col("at_s").cast("long").alias("at_s")).agg(
+        F.min(key)["id"].alias("_first")).withColumn("_block", F.floor(F.col("at_s") / F.lit(block_s)).cast("long")), "seconds")
+
+    def to_map(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(pdf["at_s"].to_numpy())
+        last = np.arange(len(at))
+        after = np.searchsorted(at, at + min_gap_s)
+        step = np.where(after < len(at), after, last)
+        while (step != step[step]).any():
+            step = step[step]  # twice as many sent ones on
+        n = np.searchsorted(at, pdf["_block"].iloc[0] * block_s + min_gap_s) + 1  # sending is allowed again by then
+        return pd.DataFrame({"destination": pdf["destination"].iloc[:1], "_block": pdf["_block"].iloc[:1],
+                             "_at": [at[:n].tolist()], "_out": [(at[step] + min_gap_s)[:n].tolist()]})
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, allowed, entered = pdf.sort_values("_block"), None, []
+        for at, out in zip(pdf["_at"], pdf["_out"]):
+            entered.append(allowed if allowed is not None else int(at[0]))
+            i = int(np.searchsorted(at, entered[-1]))
+            allowed = int(out[i]) if i < len(at) else entered[-1]
+        return pd.DataFrame({"destination": pdf["destination"], "_block": pdf["_block"], "_from": entered})
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at_s")
-        at = pdf["at_s"].to_numpy()
-        sent = np.zeros(len(at), dtype=bool)
-        i = 0
+        at, sent = pdf["at_s"].to_numpy(), []
+        i = int(np.searchsorted(at, pdf["_from"].iloc[0]))
         while i < len(at):
-            sent[i] = True
-            i = int(np.searchsorted(at, at[i] + min_gap_s, side="left"))
-        return pdf[sent][["destination", "at_s", "_first"]]
-
-    kept = stretches.select("destination", "_stretch", "at_s", "_first").groupBy("destination", "_stretch").applyInPandas(
-        fold, deliveries.select("destination", "at_s", F.col(id_col).alias("_first")).schema)
-    hit = kept.select("destination", F.col("_first").alias(id_col), F.lit(True).alias("_sent"))
-    return deliveries.join(hit, ["destination", id_col], "left").withColumn(
-        "sent", F.coalesce("_sent", F.lit(False))).drop("_sent")
+            sent.append(i)
+            i = int(np.searchsorted(at, at[i] + min_gap_s))
+        return pdf.iloc[sent][["destination", "at_s", "_first"]]
+
+    kind = deliveries.schema["destination"].dataType.simpleString()
+    maps = seconds.groupBy("destination", "_block").applyInPandas(to_map, f"destination {kind}, _block long, _at array<long>, _out array<long>")
+    entered = maps.groupBy("destination").applyInPandas(enter, f"destination {kind}, _block long, _from long")
+    known = entered.select(F.col("destination").alias("_d"), F.col("_block").alias("_b"), "_from")
+    met = seconds.join(known, F.col("destination").eqNullSafe(F.col("_d")) & (F.col("_block") == F.col("_b"))).drop("_d", "_b")
+    hit = met.groupBy("destination", "_block").applyInPandas(mark, seconds.drop("_block").schema).select(
+        F.col("destination").alias("_d"), F.col("at_s").alias("_s"), "_first", F.lit(True).alias("_sent"))
+    # ``hit`` has one row per destination and second.
+    same = F.col("destination").eqNullSafe(F.col("_d")) & (F.col("at_s") == F.col("_s")) & F.col(id_col).eqNullSafe(F.col("_first"))
+    return deliveries.join(hit, same, "left").withColumn(
+        "sent", F.col("at_s").isNull() | F.coalesce("_sent", F.lit(False))).drop("_d", "_s", "_first", "_sent")
 
 
 def rate_limit(deliveries: DataFrame, n: int = RATE_LIMIT, window_s: int = RATE_WINDOW_S) -> DataFrame:

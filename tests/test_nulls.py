@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from soundcheck.functions.jsonpath import json_path
 from soundcheck.operators import chains, checks, discovery, ledger, monitors, probes
-from soundcheck.operators.registry import Snapshot
+from soundcheck.operators.registry import Snapshot, check_kinds, register_check_kind
+from soundcheck.operators.views import SnapshotSession
 from soundcheck.session import materialise
 from soundcheck.sources.snapshots import load_chain, load_snapshot
 
@@ -25,10 +26,92 @@ def test_checks_see_their_snapshot_only_and_only_query(spark):
     assert got["rows"]["error"] == "expected one row, one column" and "DIVIDE_BY_ZERO" in got["zero"]["error"] and got["command"]["error"]
     assert spark.catalog.tableExists("orders") and not [t for t in spark.catalog.listTables() if t.name.startswith("check_")]
     bare = {r["name"]: r for r in checks.run_checks(spark, made, Snapshot({"other": spark.range(1)})).collect()}
-    assert not any(r["ok"] for r in bare.values()) and "no table 'orders'" in bare["count"]["error"]
+    assert not any(r["ok"] for r in bare.values()) and "no table `orders`" in bare["count"]["error"]
+    # Whatever way a name is spelled or shadowed, it is this snapshot's table or an error, also next to databases with such tables.
+    spark.sql("CREATE DATABASE IF NOT EXISTS beside")
+    spark.range(777).write.mode("overwrite").saveAsTable("beside.orders")
+    spark.range(777).write.mode("overwrite").saveAsTable("lines")
+    try:
+        made = checks.checks_table(spark, [
+            dict(name="identifier", sql="SELECT count(*) FROM IDENTIFIER('orders')", equals="5"),
+            dict(name="shadowed", sql="SELECT count(*) FROM orders WHERE EXISTS (WITH orders AS (SELECT 1) SELECT * FROM orders)", equals="5"),
+            dict(name="literal", sql="SELECT 'FROM sales.orders SubqueryAlias a.b'", equals="FROM sales.orders SubqueryAlias a.b"),
+            dict(name="database", sql="SELECT count(*) FROM beside.orders", equals="777"), dict(name="default", sql="SELECT count(*) FROM lines", equals="777"),
+            dict(name="nested", sql="SELECT count(*) FROM orders WHERE id IN (SELECT id FROM beside.orders)", equals="5"),
+            dict(name="path", sql="SELECT count(*) FROM parquet.`/root/testdata/sf0.001/region.parquet`", equals="5")])
+        got = {r["name"]: r for r in checks.run_checks(spark, made, full).collect()}
+        assert {n for n, r in got.items() if r["ok"]} == {"identifier", "shadowed", "literal"}, got
+        assert all("no table" in got[n]["error"] for n in ("database", "default", "nested", "path"))
+        assert checks.run_checks(spark, made, Snapshot({"o": spark.table("beside.orders")})).filter("ok").count() == 2  # literal, and what is its own source
+        via = checks.checks_table(spark, [dict(name="via", sql="SELECT count(*) FROM o", equals="777")])
+        assert checks.run_checks(spark, via, Snapshot({"o": spark.table("beside.orders")})).first()["ok"]
+        assert not checks.run_checks(spark, made.filter("name = 'identifier'"), Snapshot({"other": spark.range(1)})).first()["ok"]
+    finally:
+        spark.sql("DROP DATABASE beside CASCADE")
+        spark.sql("DROP TABLE lines")
     spark.catalog.dropTempView("orders")
 
 
+def test_one_failing_check_among_many_costs_two_more_scans(spark):
+    made = [dict(name=f"n{i}", sql=f"SELECT {'1 DIV (count(*) - 5)' if i == 77 else f'count(*) + {i}'} FROM orders", expect_min=i) for i in range(200)]
+    with SnapshotSession(spark, Snapshot({"orders": spark.range(5)})) as own:
+        joint = checks._Joint(own.session)
+        joint.run([(c["name"], *own.analyse(c["sql"])) for c in made])
+        assert joint.runs == 3 and list(joint.errors) == ["n77"] and "DIVIDE_BY_ZERO" in joint.errors["n77"]
+        assert joint.got == {f"n{i}": str(i + 5) for i in range(200) if i != 77}
+        joint = checks._Joint(own.session)
+        joint.settle([("a", "SELECT 1", "int"), ("b", "SELECT 2", "int")], [], ValueError("no place"))
+        assert joint.got == {"a": "1", "b": "2"}
+    calls = []
+
+    def kind(s, mine, snapshot, as_of):
+        rows = mine.collect()
+        calls.append(len(rows))
+        if any(r["name"] == "n5" for r in rows):
+            raise ValueError("bad one")
+        return checks.results(mine.withColumns({"ok": F.lit(True), "got": F.lit("1")}))
+
+    if "fragile" not in check_kinds():
+        register_check_kind("fragile", kind)
+    got = checks.run_checks(spark, checks.checks_table(spark, [dict(name=f"n{i}", kind="fragile") for i in range(32)]), Snapshot()).collect()
+    assert [r["name"] for r in got if not r["ok"]] == ["n5"] and len(got) == 32 and len(calls) == 11
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        t = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-07-01 00:00:00Z' AS zoned, TIMESTAMP_NTZ '2024-03-10 02:30:00.25' AS gap, TIMESTAMP_NTZ '2024-07-01' AS plain")
+        rows = [dict(name=f"{kind}_{c}", max_age_s=60, **({"sql": f"SELECT max({c}) FROM t"} if kind == "sql" else
+                     dict(kind="field", table_name="t", filter="id = 1", field=c, order_by="id"))) for kind in ("sql", "field") for c in ("zoned", "plain", "gap")]
+        got = {r["name"]: r for r in checks.run_checks(spark, checks.checks_table(spark, rows), Snapshot({"t": t}), "2024-07-01 00:01:00").collect()}
+        assert [got[n]["detail"] for n in ("sql_zoned", "sql_plain", "field_zoned", "field_plain")] == ["age 1m0s (max 1m0s)"] * 4
+        assert got["field_gap"]["got"] == "2024-03-10T02:30:00.250Z" and got["sql_gap"]["got"] == "2024-03-10 02:30:00.25"
+        session = checks.sql_checks(spark, checks.checks_table(spark, [dict(name="s", sql="SELECT TIMESTAMP '2024-07-01 00:00:00Z'", max_age_s=60)]), None, "2024-07-01 00:01:00")
+        assert session.first()["detail"] == "age 1m0s (max 1m0s)"
+        ages = [discovery.observed_age(t, c, "2024-07-01 00:01:00").first()[0] for c in ("zoned", "plain")]
+        assert ages == [60, 60] and discovery.observed_age(t, "gap", "2024-03-10 02:31:00").first()[0] == 60
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_checks_of_scaffold_hold_on_the_snapshot_they_come_from(spark):
+    folder = tempfile.mkdtemp(prefix="run-") + "/s"
+    spark.range(6).selectExpr("id", "date_add(DATE '2024-01-01', int(id % 3)) AS ts").write.partitionBy("ts").parquet(f"{folder}/events")
+    spark.range(4).selectExpr("id", "TIMESTAMP '2024-01-03 00:00:00' AS updated_at").write.parquet(f"{folder}/Odd `Name.parquet")
+    snapshot, _, _ = load_snapshot(spark, folder, views=False)
+    snapshot.tables["sales.components"] = spark.range(3)
+    snapshot.components = ("timescaledb",)
+    named = {}
+    for flavor in ("postgres", "mysql"):
+        made = materialise(discovery.scaffold(spark, snapshot, flavor, as_of="2024-01-04 00:00:00").select(*checks.CHECK_FIELDS), "made")
+        again = checks.run_checks(spark, made, snapshot, "2024-01-04 00:00:00").collect()
+        named[flavor] = {r["name"] for r in again}
+        assert all(r["ok"] for r in again) and len(named[flavor]) == len(again) == made.count(), again
+        assert {"server_reachable", "schema_present"} <= named[flavor]
+    assert {"events_is_partitioned", "events_chunks", "events_fresh", "timescaledb_loaded", "sales_components_nonempty"} <= named["postgres"]
+
+
 def test_a_field_that_is_absent_differs_from_a_null(spark):
     docs = Snapshot({"t": spark.sql("SELECT 1 AS id, parse_json('{\"a\": null, \"b\": 2}') AS d")})
     made = checks.checks_table(spark, [dict(name=n, kind="field", table_name="t", filter="id = 1", field=f"d.{n}", order_by="id", equals="null")
@@ -121,6 +204,6 @@ def test_scaffold_notices_partitions_and_components(spark):
     made = discovery.scaffold(spark, snapshot, as_of="2024-01-04 00:00:00")
     rows = {r["name"]: r for r in made.collect()}
     assert {"log_is_partitioned", "log_chunks", "timescaledb_loaded"} <= set(rows) and rows["log_chunks"]["expect_min"] == 3
-    flat = discovery.with_own_views(Snapshot({"log": days}), discovery.profile_tables(spark, Snapshot({"log": days})))
+    flat = Snapshot({"log": days})
     again = {r["name"]: r["ok"] for r in checks.run_checks(spark, made.select(*checks.CHECK_FIELDS), flat, "2024-01-04 00:00:00").collect()}
     assert not again["log_is_partitioned"] and again["log_chunks"] and not again["timescaledb_loaded"]
