@@ -9,6 +9,7 @@ from soundcheck.functions.messages import failure_reason
 from soundcheck.functions.scalars import epoch
 from soundcheck.operators import chains as Ch
 from soundcheck.operators.checks import checks_table
+from soundcheck.operators.registry import Snapshot
 
 CHAIN = "c AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY ts DESC, ord) AS rn FROM backups)"
 
@@ -84,6 +85,25 @@ def _(d):
     return Ch.last_good(backups).select("rn", "label", "is_recovery_point")
 
 
+# Checks of three kinds, for every snapshot by itself.
+EVERY_CHECKS = [
+    dict(name="orders", severity="required", kind="sql", sql="SELECT count(*) FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')", expect_min=5),
+    dict(name="open", severity="required", kind="count", table_name="orders", filter='{"o_orderstatus": "O"}', expect_min=1),
+    dict(name="first", severity="advisory", kind="field", table_name="orders", filter="o_totalprice > 0", field="o_orderstatus", order_by="o_orderkey", equals="F"),
+]
+
+
+@query("F4_run_every", """
+    WITH s AS (SELECT snapshot_id, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM snapshots p WHERE p.snapshot_id = o.snapshot_id AND p.o_custkey = o.o_custkey AND p.o_orderstatus = 'P')) AS n,
+        count(*) FILTER (WHERE o_orderstatus = 'O') AS open, arg_min(o_orderstatus, o_orderkey) FILTER (WHERE o_totalprice > 0) AS first FROM snapshots o GROUP BY 1)
+    SELECT snapshot_id, 'orders' AS name, CAST(n AS VARCHAR) AS got, n >= 5 AS ok FROM s UNION ALL SELECT snapshot_id, 'open', CAST(open AS VARCHAR), open >= 1 FROM s
+    UNION ALL SELECT snapshot_id, 'first', first, first = 'F' FROM s""", "snapshots")
+def _(d):
+    labels = [r[0] for r in d.snapshots.select("snapshot_id").distinct().collect()]  # as many as the chain has members
+    members = {label: lambda label=label: Snapshot({"orders": d.snapshots.filter(F.col("snapshot_id") == label)}) for label in labels}
+    return Ch.run_every(d.spark, checks_table(d.spark, EVERY_CHECKS), members, AS_OF).select("snapshot_id", "name", "got", "ok")
+
+
 @query("F5_recovery_age", f"""WITH {_tested()} SELECT unit, label,
       CAST(round(({AS_OF_EPOCH} - epoch_us(ts) // 1000000) / 60) * 60 AS BIGINT) AS age_s,
       concat((({AS_OF_EPOCH} - epoch_us(ts) // 1000000) // 3600), 'h0m0s') AS age FROM tested WHERE is_recovery_point""", "backups")

@@ -64,14 +64,19 @@ def _(d):
     return M.dedupe_deliveries(d.deliveries).select("destination", "idempotency_key", "at_s", "id")
 
 
-@query("M6_damp_flaps", """
-    WITH s AS MATERIALIZED (SELECT destination, at_s, min(id) AS first_id FROM deliveries GROUP BY 1, 2),
-    w AS (SELECT destination, min(at_s) AS at_s FROM s GROUP BY 1
-      UNION ALL SELECT w.destination, (SELECT min(s.at_s) FROM s WHERE s.destination = w.destination AND s.at_s >= w.at_s + 20000) FROM w WHERE w.at_s IS NOT NULL)
-    SELECT id, d.destination, first_id IS NOT NULL AS sent FROM deliveries d LEFT JOIN
-      (SELECT s.destination, s.at_s, s.first_id FROM s JOIN w ON s.destination = w.destination AND s.at_s = w.at_s) k ON k.destination = d.destination AND k.first_id = d.id""", "deliveries")
+# Some deliveries have no time, and some no destination.
+GAPS = """SELECT id, CASE WHEN CAST(substr(id, 3) AS BIGINT) % 89 > 0 THEN destination END AS destination,
+    CASE WHEN CAST(substr(id, 3) AS BIGINT) % 97 > 0 THEN at_s END AS at_s FROM deliveries"""
+
+
+@query("M6_damp_flaps", f"""
+    WITH g AS MATERIALIZED ({GAPS}), s AS MATERIALIZED (SELECT coalesce(destination, '') AS dest, at_s, min(id) AS first_id FROM g WHERE at_s IS NOT NULL GROUP BY 1, 2),
+    w AS (SELECT dest, min(at_s) AS at_s FROM s GROUP BY 1
+      UNION ALL SELECT w.dest, (SELECT min(s.at_s) FROM s WHERE s.dest = w.dest AND s.at_s >= w.at_s + 20000) FROM w WHERE w.at_s IS NOT NULL)
+    SELECT id, g.destination, g.at_s IS NULL OR first_id IS NOT NULL AS sent FROM g LEFT JOIN
+      (SELECT s.dest, s.at_s, s.first_id FROM s JOIN w ON s.dest = w.dest AND s.at_s = w.at_s) k ON k.dest = coalesce(g.destination, '') AND k.first_id = g.id""", "deliveries")
 def _(d):
-    return M.damp_flaps(d.deliveries, min_gap_s=20000).select("id", "destination", "sent")
+    return M.damp_flaps(d.sql(GAPS), min_gap_s=20000).select("id", "destination", "sent")
 
 
 @query("M7_rate_limit", """

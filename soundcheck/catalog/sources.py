@@ -35,9 +35,23 @@ def _(d):
         F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
-@query("A3_file_inventory")
+@query("A2_damaged_members", """
+    SELECT snapshot_id, snapshot_id <> 's_1995' AS ok, CASE WHEN snapshot_id <> 's_1995' THEN count(*) END AS rows FROM snapshots GROUP BY 1""", "snapshots")
 def _(d):
-    return files.file_inventory(d.spark, d.folder, with_hash=True)
+    root = shared_path(d.spark, "chain")
+    d.snapshots.repartition("snapshot_id").write.partitionBy("snapshot_id").parquet(f"{root}/orders")
+    d.snapshots.filter("snapshot_id = 's_1995'").select("o_orderstatus").limit(1).write.mode("append").text(f"{root}/orders/snapshot_id=s_1995")
+    tables, loads = snapshots.load_chain(d.spark, root)
+    counts = tables["orders"].groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("rows"))
+    return loads.join(counts, "snapshot_id", "left").select("snapshot_id", "ok", "rows")
+
+
+# DuckDB takes no folder as a parameter: its side reads the folder on which both engines are compared.
+@query("A3_file_inventory", """
+    SELECT parse_filename(filename) AS path, '' AS dir, parse_filename(filename) AS name, size, false AS is_dir, sha256(content) AS sha256, NULL AS error
+    FROM read_blob('/root/testdata/sf0.01/*')""")
+def _(d):
+    return files.file_inventory(d.spark, f"file://{d.folder}", with_hash=True).drop("mtime")
 
 
 PGB = """

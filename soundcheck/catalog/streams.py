@@ -14,9 +14,10 @@ from soundcheck.operators.redact import redact_captures
 from soundcheck.session import shared_path
 from soundcheck.streaming.alerts import dedupe_alerts_stream
 from soundcheck.streaming.ledger import newest_links, verify_ledger_stream
-from soundcheck.streaming.overdue import overdue_stream
+from soundcheck.streaming.overdue import overdue_stream, transitions_and_late
 from soundcheck.streaming.run import read_files, run_available
-from soundcheck.streaming.stateless import check_stream, newest_verdicts, redact_stream, scan_stream, verdict_batches
+from soundcheck.streaming.stateless import check_stream, redact_stream, scan_stream
+from soundcheck.streaming.verdicts import newest_verdicts, verdict_stream
 
 
 def stream_of(d, df, label, files=4, files_per_batch=None):
@@ -47,7 +48,22 @@ def _(d):
     rows.repartitionByRange(6, "created_at").sortWithinPartitions("created_at").write.parquet(f"{path}/a")
     _heartbeat(d, NOW + 600).coalesce(1).write.parquet(f"{path}/b")
     stream = read_files(d.spark, f"{path}/*", rows.schema)
-    return run_available(overdue_stream(stream, d.monitors), "overdue").filter(F.col("at_s") <= NOW).select("monitor_id", "event", "at_s")
+    found, _ = transitions_and_late(run_available(overdue_stream(stream, d.monitors), "overdue"))
+    return found.filter(F.col("at_s") <= NOW).select("monitor_id", "event", "at_s")
+
+
+# A second delivery of everything, long after the first: each of its rows is in the side table.
+@query("S1_late_arrivals", "SELECT tenant_id, target, created_at AS at_s, count(*) AS arrivals FROM attestations GROUP BY ALL", "attestations monitors")
+def _(d):
+    path, stored = shared_path(d.spark, "attestations"), (shared_path(d.spark, "late"), shared_path(d.spark, "late-checkpoint"))
+    rows = d.attestations.select("tenant_id", "target", "created_at")
+    rows.unionByName(_heartbeat(d, 4_000_000_000)).write.parquet(f"{path}/a")
+    for again in range(2):
+        stream = read_files(d.spark, f"{path}/*", rows.schema)
+        told = run_available(overdue_stream(stream, d.monitors), "late", *stored)
+        if not again:
+            rows.write.parquet(f"{path}/b")
+    return transitions_and_late(told)[1].groupBy("tenant_id", "target", "at_s").agg(F.count(F.lit(1)).alias("arrivals"))
 
 
 @query("S2_verify_ledger_stream", f"""
@@ -98,8 +114,8 @@ def _(d):
 
 @query("S4_dedupe_alerts_stream", "SELECT DISTINCT destination, idempotency_key FROM deliveries", "deliveries")
 def _(d):
-    return run_available(dedupe_alerts_stream(stream_of(d, d.deliveries, "deliveries"), "60 days"), "alerts").select(
-        "destination", "idempotency_key")
+    told = run_available(dedupe_alerts_stream(stream_of(d, d.deliveries, "deliveries"), 60 * 86400), "alerts")
+    return told.filter("outcome = 'first'").select("destination", "idempotency_key")
 
 
 CAPTURED = f"SELECT *, CASE WHEN id % 2 = 0 THEN 'bounds' ELSE 'text' END AS check_id FROM (SELECT id, got FROM ({SCALARS}) s) t"
@@ -116,15 +132,9 @@ def _(d):
 
 
 @query("S5_verdict_batches", """
-    SELECT run_id, CASE WHEN ok AND NOT EXISTS (SELECT 1 FROM results r WHERE r.run_id = l.run_id AND NOT coalesce(r.ok, false) AND r.severity <> 'advisory')
-      THEN 'pass' ELSE 'fail' END AS verdict FROM loads l WHERE EXISTS (SELECT 1 FROM results r WHERE r.run_id = l.run_id)""", "loads results")
+    SELECT run_id, CASE WHEN l.ok AND coalesce(bool_and(coalesce(r.ok, false) OR r.severity = 'advisory'), true) THEN 'pass' ELSE 'fail' END AS verdict,
+      count(r.run_id) AS checks FROM loads l LEFT JOIN results r USING (run_id) GROUP BY run_id, l.ok""", "loads results")
 def _(d):
-    path = shared_path(d.spark, "verdicts")
     # The results of a run are spread over files, and every file is a batch of its own.
     stream = stream_of(d, d.results, "results", files_per_batch=1)
-    q = verdict_batches(stream, d.loads, lambda v, i: v.write.mode("overwrite").parquet(f"{path}/b{i}"),
-                        shared_path(d.spark, "verdicts-checkpoint"), shared_path(d.spark, "verdicts-results"))
-    if not q.awaitTermination(600):
-        q.stop()
-        raise TimeoutError("verdict stream")
-    return newest_verdicts(d.spark.read.parquet(f"{path}/b*"))
+    return newest_verdicts(run_available(verdict_stream(stream), "verdicts"), d.loads).select("run_id", "verdict", "checks")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from soundcheck.functions.scalars import duration_text, epoch, instant
-from soundcheck.operators.checks import FUSED
+from soundcheck.operators.checks import FUSED, default_checks, results, run_checks
 from soundcheck.operators.expect import evaluate_expectations
+from soundcheck.operators.registry import Snapshot
 from soundcheck.operators.verdict import failing
 from soundcheck.plans.ordered import last_known, over_groups, row_number
-from soundcheck.plans.sizing import batches
-from soundcheck.schemas import CHECK_FIELDS
+from soundcheck.plans.sizing import batches, hold
+from soundcheck.schemas import CHECK_FIELDS, RESULT_FIELDS, RESULTS
 
 TOP_K = 1000  # up to here Spark prunes a row_number filter before the shuffle
 
@@ -116,6 +118,34 @@ def snapshot_verdicts(snapshots: DataFrame, checks: DataFrame, by: Sequence[str]
     return judged.withColumn("verdict", F.when(F.col("failed_required") > 0, F.lit("fail")).otherwise(F.lit("pass")))
 
 
+def run_every(spark: SparkSession, checks: DataFrame, members: Mapping[str, Callable[[], Snapshot]], as_of=None,
+              unit_col: str = "snapshot_id", together: int = 4) -> DataFrame:
+    """``run_checks`` for every member of a chain: ``unit_col`` and the columns of a result, for checks of any kind.
+
+    ``members`` opens each label's snapshot when its turn comes, so a member's own files are all that is read for it;
+    ``together`` members run side by side, each in a session that holds nothing else. A member that cannot be opened
+    fails every check. Without checks or members there are no rows.
+    """
+    checks = hold(checks)
+
+    def one(label: str) -> DataFrame:
+        try:
+            found = run_checks(spark, checks, members[label](), as_of)
+        except Exception as error:  # noqa: BLE001 - a snapshot that cannot be read is a failing one
+            found = results(default_checks(checks).withColumns({"ok": F.lit(False), "got": F.lit(""), "error": F.lit(f"snapshot not readable: {error}".strip())}))
+        return found.select(F.lit(label).alias(unit_col), *RESULT_FIELDS)
+
+    with ThreadPoolExecutor(together) as pool:
+        parts = list(pool.map(one, members))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{unit_col} string, {RESULTS}")
+
+
+def verdict_of_every(found: DataFrame, unit_col: str = "snapshot_id") -> DataFrame:
+    """One verdict per member with results of ``run_every``, as ``snapshot_verdicts`` gives it."""
+    judged = found.groupBy(unit_col).agg(F.count(F.lit(1)).alias("checks"), F.count_if(failing()).alias("failed_required"))
+    return judged.withColumn("verdict", F.when(F.col("failed_required") > 0, F.lit("fail")).otherwise(F.lit("pass")))
+
+
 def recovery_age(last_good_df: DataFrame, as_of=None) -> DataFrame:
     """Age of every unit's recovery point, rounded to the minute."""
     seconds = (F.unix_micros(instant(as_of)) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(1_000_000)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from soundcheck.functions.scalars import duration_text
-from soundcheck.plans.ordered import lag, last_known, over_groups
+from soundcheck.plans.ordered import lag, over_groups
 from soundcheck.plans.sizing import broadcast_if_small
 from soundcheck.session import materialise
 from soundcheck.schemas import SCHEMA_VERSION

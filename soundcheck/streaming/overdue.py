@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from soundcheck.streaming.run import use_rocksdb
+from soundcheck.streaming.run import timed, use_rocksdb
 
 WATERMARK = "10 minutes"
 EVENTS = "tenant_id string, target string, monitor_id string, event string, at_s bigint, freshest bigint"
@@ -41,10 +41,18 @@ class Overdue(StatefulProcessor):
             self.handle.registerTimer((freshest + after + 1) * 1000)  # overdue means strictly later
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrivals = [pdf["created_at"].unique() for pdf in rows]
-        if not self.state.exists():
+        watermark, arrivals = timerValues.getCurrentWatermarkInMs(), []
+        known = self.state.get() if self.state.exists() else None
+        for pdf in rows:  # a part at a time, however many a key has
+            late = pdf["at_ms"] < watermark
+            arrivals.append(pdf.loc[~late, "at_ms"].unique() // 1000)
+            if late.any():
+                at = pdf.loc[late, "at_ms"] // 1000
+                yield pd.DataFrame({"tenant_id": key[0], "target": key[1], "monitor_id": known[0] if known else None, "event": "late",
+                                    "at_s": at, "freshest": None}).astype({"freshest": "Int64"})
+        if not known:
             return
-        monitor_id, freshest, seen, after, alerting = self.state.get()
+        monitor_id, freshest, seen, after, alerting = known
         out = []
         for at in np.unique(np.concatenate(arrivals)).tolist():
             if at <= freshest and seen:
@@ -76,15 +84,21 @@ class Overdue(StatefulProcessor):
 
 
 def overdue_stream(attestations: DataFrame, monitors: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Transitions (``overdue``, ``recovered``) as they happen, with the time of each.
+    """Transitions (``overdue``, ``recovered``) as they happen, with the time of each, and every ``late`` arrival.
 
     ``attestations``: a stream of tenant_id, target, created_at (epoch seconds). ``monitors``: a table;
-    its rows seed the state, so that monitors that never hear anything alert too.
+    its rows seed the state, so that monitors that never hear anything alert too. An arrival older than the
+    watermark changes nothing any more and is told as ``late``, row by row, also where no monitor waits for it
+    (``transitions_and_late`` parts the two). One without a time counts as one of 1970.
     """
     use_rocksdb(monitors.sparkSession)
-    timed = (attestations.select("tenant_id", "target", "created_at", F.timestamp_seconds("created_at").alias("event_time"))
-             .withWatermark("event_time", watermark))
+    placed = timed(attestations.select("tenant_id", "target", (F.coalesce(F.col("created_at"), F.lit(0)) * 1000).cast("long").alias("at_ms")), watermark)
     seeds = monitors.select("tenant_id", "target", "monitor_id", "created_at", "interval_s", "grace_s", "alert_state")
-    return timed.groupBy("tenant_id", "target").transformWithStateInPandas(
+    return placed.groupBy("tenant_id", "target").transformWithStateInPandas(
         statefulProcessor=Overdue(), outputStructType=EVENTS, outputMode="append", timeMode="eventTime",
         initialState=seeds.groupBy("tenant_id", "target"))
+
+
+def transitions_and_late(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The transitions, and the side table of late arrivals (tenant_id, target, monitor_id, at_s)."""
+    return events.filter("event <> 'late'"), events.filter("event = 'late'").select("tenant_id", "target", "monitor_id", "at_s")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from soundcheck.session import shared_path
 
@@ -13,6 +13,16 @@ def use_rocksdb(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def timed(stream: DataFrame, delay: str, at_ms: str = "at_ms") -> DataFrame:
+    """``stream`` (with ``at_ms``) behind a watermark that moves timers but drops no row.
+
+    Spark drops late rows of an operator that sees the watermarked column. That column is left out here, so the
+    operator gets them all and tells the late ones itself.
+    """
+    columns = stream.columns
+    return stream.withColumn("_event_time", F.timestamp_millis(at_ms)).withWatermark("_event_time", delay).select(*columns)
+
+
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """A file stream. ``files_per_batch`` bounds what one micro-batch takes in."""
     reader = spark.readStream.schema(schema)

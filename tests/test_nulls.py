@@ -207,3 +207,59 @@ def test_scaffold_notices_partitions_and_components(spark):
     flat = Snapshot({"log": days})
     again = {r["name"]: r["ok"] for r in checks.run_checks(spark, made.select(*checks.CHECK_FIELDS), flat, "2024-01-04 00:00:00").collect()}
     assert not again["log_is_partitioned"] and again["log_chunks"] and not again["timescaledb_loaded"]
+
+
+def test_a_chain_knows_its_damaged_members(spark, tmp_path):
+    for i, label in enumerate(("s1", "s2", "s3", "s 4", "s5")):
+        spark.range(i + 3).repartition(2).write.parquet(f"{tmp_path}/c/{label}/t.parquet")
+        spark.range(2).write.options(header=True).csv(f"{tmp_path}/c/{label}/u.csv")
+    spark.range(5).withColumn("more", F.lit("x")).write.parquet(f"{tmp_path}/c/s6/t.parquet")  # another column, another table less
+    spark.range(5).limit(0).coalesce(1).write.mode("append").parquet(f"{tmp_path}/c/s1/t.parquet")  # a file without rows is a good one
+    second = sorted((tmp_path / "c/s3/t.parquet").glob("part-*.parquet"))[1]
+    second.write_bytes(second.read_bytes()[:-9])  # cut off
+    next((tmp_path / "c/s5/u.csv").glob("part-*.csv")).write_text("id\n1\n2,3,4\n")  # ragged
+    for sums in (tmp_path / "c/s5/u.csv").glob(".part-*.crc"):
+        sums.unlink()
+    tables, loads = load_chain(spark, f"{tmp_path}/c")
+    told = {r["snapshot_id"]: (r["ok"], r["error"]) for r in loads.collect()}
+    assert [label for label, (ok, _) in sorted(told.items()) if ok] == ["s 4", "s1", "s2", "s6"]
+    assert second.name in told["s3"][1] and told["s5"][1] == "u: 1 damaged record(s)"
+    assert {r["snapshot_id"]: r["count"] for r in tables["t"].groupBy("snapshot_id").count().collect()} == {"s1": 3, "s2": 4, "s 4": 6, "s6": 5}
+    assert {r["snapshot_id"]: r["count"] for r in tables["u"].groupBy("snapshot_id").count().collect()} == {"s1": 2, "s2": 2, "s 4": 2}
+    assert tables["u"].columns == ["id", "snapshot_id"] and tables["t"].filter("more = 'x'").count() == 5
+    members = loads.selectExpr("'u' AS unit", "snapshot_id AS label", "'full' AS type", "timestamp_seconds(ascii(right(snapshot_id, 1))) AS ts",
+                               "cast(ascii(right(snapshot_id, 1)) AS bigint) AS ord", "if(ok, 'pass', 'fail') AS verdict")
+    walked = chains.last_good(members.filter("label < 's6'")).orderBy("rn").collect()
+    assert [(r["label"], r["is_recovery_point"]) for r in walked] == [("s5", False), ("s 4", True)]
+
+
+def test_every_member_is_checked_as_run_checks_does(spark):
+    made = checks.checks_table(spark, [dict(name="s", sql="SELECT sum(id) FROM t", expect_min=3), dict(name="c", kind="count", table_name="t", filter="id > 1", expect_min=1),
+                                       dict(name="f", kind="field", table_name="t", filter="id >= 0", field="id", order_by="id", equals="0", severity="advisory"),
+                                       dict(name="bad", sql="SELECT count(*) FROM gone", expect_min=0, severity="advisory")])
+    members = {f"m{n}": lambda n=n: Snapshot({"t": spark.range(n)}) for n in (1, 3)}
+
+    def broken():
+        raise OSError("cut off")
+
+    got = chains.run_every(spark, made, {**members, "broken": broken}, unit_col="label")
+    rows = {(r["label"], r["name"]): (r["ok"], r["got"], r["error"]) for r in got.collect()}
+    for label, member in members.items():
+        assert {r["name"]: (r["ok"], r["got"], r["error"]) for r in checks.run_checks(spark, made, member()).collect()} == {
+            n: v for (m, n), v in rows.items() if m == label}
+    assert all(not ok and "cut off" in error for (m, _), (ok, _, error) in rows.items() if m == "broken") and len(rows) == 12
+    assert {r["label"]: r["verdict"] for r in chains.verdict_of_every(got, "label").collect()} == {"m1": "fail", "m3": "pass", "broken": "fail"}
+    assert chains.run_every(spark, made, {}).count() == 0
+
+
+def test_a_chain_of_partitions_and_one_without_any_good_file(spark, tmp_path):
+    spark.range(9).selectExpr("id", "concat('d', id % 3) AS snapshot_id").write.partitionBy("snapshot_id").parquet(f"{tmp_path}/c/t")
+    for f in (tmp_path / "c/t/snapshot_id=d1").glob("part-*"):
+        f.write_bytes(b"PAR1 not")
+    tables, loads = load_chain(spark, f"file://{tmp_path}/c")
+    assert {r["snapshot_id"]: r["ok"] for r in loads.collect()} == {"d0": True, "d1": False, "d2": True}
+    assert sorted(r["snapshot_id"] for r in tables["t"].collect()) == ["d0"] * 3 + ["d2"] * 3
+    for f in (tmp_path / "c/t").glob("*/part-*"):
+        f.write_bytes(b"nothing")
+    tables, loads = load_chain(spark, f"{tmp_path}/c")
+    assert loads.filter("ok").count() == 0 and not tables

@@ -273,6 +273,35 @@ def test_inventory_sees_hidden_files(spark):
     import hashlib
     assert inv[".a/_b/x y.txt"]["sha256"] == hashlib.sha256(b".a/_b/x y.txt").hexdigest() and inv[".a"]["is_dir"]
     assert inv[".a/_b/c/deep"]["dir"] == ".a/_b/c" and inv[".top"]["dir"] == "" and inv[".a"]["sha256"] is None
+    assert sorted(files.file_inventory(spark, f"file://{root}", with_hash=True).collect()) == sorted(inv.values())
+
+
+def test_inventory_by_another_scheme_and_with_unreadable_folders(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="run-")
+    os.makedirs(f"{root}/a/b c")
+    for name in ("top", "a/b c/deep", "a/x"):
+        with open(f"{root}/{name}", "w") as f:
+            f.write(name)
+    mount = os.path.basename(root).replace("_", "")
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{mount}.link./data", f"file:{root}")
+    plain = files.file_inventory(spark, root, with_hash=True).drop("mtime").collect()
+    there = files.file_inventory(spark, f"viewfs://{mount}/data", with_hash=True)
+    wanted = [r if not r["is_dir"] else type(r)(**{**r.asDict(), "size": 0}) for r in plain]
+    assert sorted(map(tuple, there.drop("mtime").collect()), key=str) == sorted(map(tuple, wanted), key=str)
+    assert there.filter("mtime IS NULL AND NOT is_dir").count() == 0
+    import pandas as pd
+    told = pd.concat(files._list(iter([pd.DataFrame({"path": [f"{root}/gone", f"{root}/a"]})])))
+    assert told["error"].notna().tolist() == [True, False, False]
+
+    def failing(folder):
+        if folder.endswith("/a"):
+            raise PermissionError(13, "not for you", folder)
+        with os.scandir(folder) as it:
+            return [(e.path, 1, 1, e.is_dir()) for e in it]
+
+    monkeypatch.setattr(files, "_scan", failing)
+    got = {r["path"]: r["error"] for r in files.file_inventory(spark, root).collect()}
+    assert set(got) == {"a", "top"} and "not for you" in got["a"] and got["top"] is None
 
 
 def test_listings(spark):

@@ -66,3 +66,25 @@ def test_damping_follows_the_last_sent(spark):
     d = spark.createDataFrame([(f"d{i}", "x", t) for i, t in enumerate(at)], "id string, destination string, at_s bigint")
     sent = {r["id"] for r in monitors.damp_flaps(d, 900).filter("sent").collect()}
     assert sent == {"d0", "d3", "d6", "d7"}
+
+
+def test_damping_by_blocks_equals_the_plain_fold(spark):
+    import random
+    rnd, made, expected = random.Random(11), [], set()
+    for d in ("a", "b", None, "hot"):
+        at = sorted(rnd.choices(range(-500, 4_000 if d == "hot" else 30_000), k=1500 if d == "hot" else 300))
+        free = None
+        for i, t in enumerate(at):
+            made.append((f"{d}{i:04d}", d, t))
+            if free is None or t >= free:
+                expected.add(f"{d}{i:04d}")
+                free = t + 70
+    made += [("none1", "a", None), ("none2", None, None), (None, "quiet", 5), (None, "quiet", 6), ("a9999", "quiet", 2_000_000_000)]
+    expected |= {"none1", "none2", "a9999"}
+    rows_ = spark.createDataFrame(made, "id string, destination string, at_s bigint").repartition(5)
+    for block in (70, 1000, 86400):
+        got = monitors.damp_flaps(rows_, 70, block_s=block).collect()
+        assert len(got) == len(made)
+        assert {r["id"] for r in got if r["sent"] and r["id"]} == expected
+        assert sorted(r["at_s"] for r in got if r["sent"] and not r["id"]) == [5]
+    assert monitors.damp_flaps(rows_.limit(0), 70).count() == 0 and monitors.damp_flaps(rows_, 0).filter("sent").count() == len(made)
