@@ -201,7 +201,11 @@ GLOB_CHECKS = " UNION ALL ".join(f"""
     WITH c AS ({GLOB_CHECKS}),
     rx AS (SELECT *, CASE WHEN dialect = 'find' THEN replace(replace(path, '.', '\\.'), '*', '.*')
                           ELSE replace(replace(replace(path, '.', '\\.'), '*', '[^/]*'), '?', '[^/]') END AS re FROM c),
-    n AS (SELECT check_id, count(*) AS n FROM rx JOIN files f ON regexp_full_match(f.path, re, 's') GROUP BY 1)
+    -- The folder before a pattern's first wildcard is the files' own, at that depth, so each pattern meets the files of its folder only.
+    ax AS (SELECT *, regexp_extract(split_part(split_part(path, '*', 1), '?', 1), '^(.*)/', 1) AS folder FROM rx),
+    fx AS MATERIALIZED (SELECT path, unnest(range(0, len(string_split(path, '/')))) AS k FROM files),
+    fk AS MATERIALIZED (SELECT path, array_to_string(string_split(path, '/')[1:k], '/') AS folder FROM fx),
+    n AS (SELECT check_id, count(*) AS n FROM ax JOIN fk ON ax.folder = fk.folder WHERE regexp_full_match(fk.path, re, 's') GROUP BY 1)
     SELECT check_id, name, severity, coalesce(n, 0) >= expect_min AND coalesce(coalesce(n, 0) <= expect_max, true) AS ok,
            CAST(coalesce(n, 0) AS VARCHAR) AS got, false AS failed FROM c LEFT JOIN n USING (check_id)""", "files")
 def _(d):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
 
-from soundcheck.functions.globs import glob_regex, literal_segments
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from soundcheck.functions.globs import anchor, glob_regex, split_segments
 from soundcheck.functions.jsonpath import json_path, split_path_value
 from soundcheck.functions.scalars import number_text
 from soundcheck.functions.text import first_line, quoted
@@ -46,36 +48,68 @@ def checksum_checks(checks: DataFrame, files: DataFrame) -> DataFrame:
         "detail": F.when(error.isNull() & ~ok, F.concat(F.lit("want "), F.col("equals")))}))
 
 
-def glob_counts(patterns: DataFrame, files: DataFrame) -> DataFrame:
-    """Files per (check_id, path pattern, dialect): check_id, n; zero matches have no row.
+def _trie(patterns: DataFrame) -> tuple[list[tuple], list[tuple]]:
+    """(edges, ends) of the trie of all patterns' segments; definitions, so they are read on the driver.
 
-    A pattern is looked up by its leading literal directories (and, where ``*`` stops at ``/``, by its
-    depth), so files meet patterns in a hash join; the regular expression only confirms.
+    An edge leads from a node to a node for names that have ``text`` (as ``kind`` says) and match ``rx``. An end is a
+    check whose pattern ends in a node. Patterns with the same first segments share those edges.
     """
-    spark = files.sparkSession
-    rows = []
+    nodes: dict[tuple, int] = {}
+    edges, ends = [], []
     for batch in batches(patterns.select("check_id", "path", "dialect"), GLOB_BATCH):
         for p in batch:
             dialect = p["dialect"] or "path"
-            fixed = literal_segments(p["path"])
-            depth = p["path"].count("/") + 1 if dialect == "path" else -1
-            rows.append((p["check_id"], dialect, depth, len(fixed), "/".join(fixed), glob_regex(p["path"], dialect)))
-    globs = spark.createDataFrame(
-        rows, "check_id string, g_dialect string, depth int, k int, anchor string, rx string")
-    shapes = sorted({(r[1], r[3]) for r in rows})  # few: wildcard-free depth per dialect
-    if not shapes:
+            at, way = -1 if dialect == "path" else -2, (dialect,)
+            for level, segment in enumerate(split_segments(p["path"], dialect)):
+                way = (*way, segment)
+                if way not in nodes:
+                    nodes[way] = len(nodes)
+                    kind, text = anchor(segment)
+                    edges.append((level, at, nodes[way], kind, text, None if kind == "literal" else glob_regex(segment, dialect)))
+                at = nodes[way]
+            ends.append((p["check_id"], at))
+    return edges, ends
+
+
+def _texts(kind: Column, n: Column, name: Column) -> Column:
+    """What a name could have in common with edges of this kind whose text has ``n`` characters."""
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n)))
+    return (F.when(kind == "literal", F.array(name)).when(kind == "any", F.array(F.lit(""))).when(F.length(name) < n, F.array().cast("array<string>"))
+            .when(kind == "prefix", F.array(F.left(name, n))).when(kind == "suffix", F.array(F.right(name, n))).otherwise(windows))
+
+
+def glob_counts(patterns: DataFrame, files: DataFrame) -> DataFrame:
+    """Files per (check_id, path pattern, dialect): check_id, n; zero matches have no row.
+
+    Files go down a trie of the patterns' segments, level by level, in hash joins: on the node and on a text that the
+    edge requires of the name, which is its whole segment or the longest stretch without a wildcard. So a file meets
+    only the patterns that still fit, however many there are below one folder; a regular expression confirms. Only
+    segments of nothing but wildcards meet every name of their folder.
+    """
+    spark = files.sparkSession
+    edges, ends = _trie(patterns)
+    if not ends:
         return spark.createDataFrame([], "check_id string, n bigint")
+    frame = spark.createDataFrame(edges, "level int, node int, child int, kind string, text string, rx string")
+    shapes = frame.select("level", "node", "kind", F.when(F.col("kind") == "literal", F.lit(0)).otherwise(F.length("text")).alias("n")).distinct().groupBy(
+        "level", "node").agg(F.collect_list(F.struct("kind", "n")).alias("shapes"))  # kinds and lengths of a node's edges: few
     is_dir = F.col("is_dir") if "is_dir" in files.columns else F.lit(False)
-    segments = F.split("path", "/")
-    spots = F.filter(F.array(*[
-        F.struct(
-            (F.size(segments) if dialect == "path" else F.lit(-1)).alias("depth"), F.lit(k).alias("k"),
-            F.array_join(F.slice(segments, 1, k), "/").alias("anchor"),
-            ((F.size(segments) > k) & (F.lit(dialect == "find") | ~is_dir)).alias("fits"))
-        for dialect, k in shapes]), lambda s: s["fits"])
-    placed = files.select("path", F.explode_outer(spots).alias("s")).filter("s IS NOT NULL").select("path", "s.depth", "s.k", "s.anchor")
-    return (placed.join(broadcast_if_small(globs), ["depth", "k", "anchor"])
-            .filter(F.expr("path RLIKE rx")).groupBy("check_id").agg(F.count(F.lit(1)).alias("n")))
+    whole = {-1: F.split("path", "/"), -2: F.array("path")}
+    front = files.select(F.explode(F.filter(F.array(*[
+        F.struct(F.lit(root).alias("node"), names.alias("names"), (F.lit(root == -2) | ~is_dir).alias("fits")) for root, names in whole.items()]),
+        lambda s: s["fits"])).alias("s")).select("s.node", "s.names")
+    arrived = []
+    for level in range(1 + max(e[0] for e in edges)):
+        here = frame.filter(F.col("level") == level).select("node", "kind", "text", "child", "rx")
+        probes = front.filter(F.size("names") > level).join(broadcast_if_small(shapes.filter(F.col("level") == level).drop("level")), "node").withColumn(
+            "name", F.element_at("names", level + 1))
+        probes = probes.select("node", "names", "name", F.explode("shapes").alias("shape")).select(
+            "node", "names", "name", F.col("shape.kind").alias("kind"), F.explode(_texts(F.col("shape.kind"), F.col("shape.n"), F.col("name"))).alias("text"))
+        front = probes.join(broadcast_if_small(here), ["node", "kind", "text"]).filter(F.expr("rx IS NULL OR name RLIKE rx")).select(
+            F.col("child").alias("node"), "names")
+        arrived.append(front.filter(F.size("names") == level + 1).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    counts = reduce(DataFrame.unionByName, arrived)
+    return counts.join(broadcast_if_small(spark.createDataFrame(ends, "check_id string, node int")), "node").select("check_id", "n")
 
 
 def file_count_checks(checks: DataFrame, files: DataFrame) -> DataFrame:

@@ -334,3 +334,31 @@ def test_siblings_never_see_each_other(spark):
                                    "t string, org_id string, scope string, expires_at bigint, revoked_at bigint").withColumn("id", F.sha2("t", 256))
     opened = access.token_orgs(spark.createDataFrame([("good",), ("old",), ("off",)], "token string"), tokens, 10)
     assert {r[0] for r in opened.collect()} == {"x"}
+
+
+def test_patterns_meet_only_the_files_that_still_fit(spark):
+    import random
+    import re
+    from soundcheck.functions.globs import glob_regex
+    from soundcheck.operators import probes
+    rnd = random.Random(4)
+    part = lambda: "".join(rnd.choices("abé.", k=rnd.randint(1, 4)))
+    paths = sorted({"/".join(part() for _ in range(rnd.randint(1, 3))) for _ in range(400)}) + ["a]b", "x[y", "a*b"]
+    wild = lambda: "".join(rnd.choice([*"ab.*?", "[ab]", "[!a]", "\\\\*", "é"]) for _ in range(rnd.randint(1, 5)))
+    globs = [("/".join(wild() for _ in range(rnd.randint(1, 3))), rnd.choice([None, "path", "find"])) for _ in range(300)]
+    globs += [("*", None), ("*", "find"), ("a]b", None), ("x[y", None), ("a\\*b", None), ("*/*", None), ("x[a/b]y", None), ("", None)]
+    patterns = spark.createDataFrame([(f"g{i}", g, d) for i, (g, d) in enumerate(globs)], "check_id string, path string, dialect string")
+    files_ = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r["check_id"]: r["n"] for r in probes.glob_counts(patterns, files_).collect()}
+    for i, (g, d) in enumerate(globs):
+        rx = re.compile(glob_regex(g, d or "path").replace("\\z", "\\Z"))
+        assert got.get(f"g{i}", 0) == sum(1 for p in paths if rx.match(p)), (g, d)
+    # Many patterns below one folder: a file meets those that share its longest literal stretch, not all.
+    many = spark.range(3000).selectExpr("concat('c', id) AS check_id", "concat('d/', CASE id % 3 WHEN 0 THEN concat('f', id, '*') WHEN 1 THEN concat('*_', id, '.x') ELSE concat('*k', id, 'k*') END) AS path",
+                                        "CAST(NULL AS STRING) AS dialect")
+    names = spark.range(3000).selectExpr("concat('d/f', id, 'k', id, 'k_', id, '.x') AS path")
+    edges, _ = probes._trie(many)
+    shapes = {(e[3], len(e[4])) for e in edges if e[0] == 1}
+    assert len(shapes) <= 15
+    found = probes.glob_counts(many, names)
+    assert found.agg(F.count("n"), F.min("n")).first()[0] == 3000
