@@ -235,7 +235,7 @@ def _response_sql(text="k"):
            CASE event_id % 50 % 4 WHEN 0 THEN coalesce(json_extract_string(body, '$.k') = '7', false) WHEN 3 THEN true ELSE false END AS ok,
            CASE WHEN status <> 200 THEN 'status 500, want 200'
                 WHEN event_id % 50 % 4 = 0 AND json_extract_string(body, '$.k') <> '7' THEN concat('k = "', json_extract_string(body, '$.k'), '", want "7"')
-                WHEN event_id % 50 % 4 = 1 THEN 'json path "k.x": "x" is not traversable'
+                WHEN event_id % 50 % 4 = 1 THEN 'at "k.x": a scalar has no "x"'
                 WHEN event_id % 50 % 4 = 2 THEN 'json path "z": key "z" not found' END AS detail FROM responses"""
 
 
@@ -463,9 +463,9 @@ BODIES = """
 
 
 @query("J2_json_path_text", f"""
-    WITH b AS ({BODIES}) SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'response body is not valid JSON' WHEN event_id % 10 = 5
-        THEN 'json path "items.9": index 9 out of range' WHEN event_id % 10 = 6 THEN 'json path "items.a": "a" is not an array index'
-        WHEN event_id % 10 = 7 THEN 'json path "name.x": "x" is not traversable' END AS error,
+    WITH b AS ({BODIES}) SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'the body cannot be parsed as JSON' WHEN event_id % 10 = 5
+        THEN 'at "items.9": the array ends before 9' WHEN event_id % 10 = 6 THEN 'at "items.a": an array has no "a"'
+        WHEN event_id % 10 = 7 THEN 'at "name.x": a scalar has no "x"' END AS error,
       CASE WHEN event_id % 23 = 0 THEN NULL ELSE CASE event_id % 10 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'null'
         WHEN 2 THEN concat(event_id % 10, '.5') WHEN 3 THEN json_extract_string(body, '$.n').replace('.0', '')
         WHEN 4 THEN json_extract_string(body, '$.k.k') WHEN 8 THEN 'zero' WHEN 9 THEN 'true' END END AS value FROM b""")

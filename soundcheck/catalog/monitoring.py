@@ -128,9 +128,9 @@ SPECS = """
 
 
 @query("M10_validate_hooks", """
-    SELECT event_id, CASE event_id % 8 WHEN 2 THEN 'hook URL parameter token_ref must be an env reference'
-      WHEN 3 THEN 'hook URL must not embed credentials; pass the token by reference' WHEN 4 THEN 'invalid hook URL'
-      WHEN 5 THEN 'hook URL parameter b_ref must be an env reference' WHEN 6 THEN 'invalid hook URL query' END AS violation FROM events""")
+    SELECT event_id, CASE event_id % 8 WHEN 2 THEN 'token_ref names no environment variable'
+      WHEN 3 THEN 'the URL holds a user or password' WHEN 4 THEN 'the URL cannot be parsed'
+      WHEN 5 THEN 'b_ref names no environment variable' WHEN 6 THEN 'the query cannot be decoded' END AS violation FROM events""")
 def _(d):
     return M.validate_hooks(d.sql(SPECS)).select("event_id", "violation")
 

@@ -228,7 +228,7 @@ def count_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_
     parts = []
     for batch in batches(checks.select(*CHECK_FIELDS), FUSED):
         grouped, errors = _by_table(batch, snapshot, lambda c: None if c["table_name"] else
-                                    "count check requires a table")
+                                    "there is no table to count")
         measured = [
             _stacked(snapshot.tables[t], [F.count_if(filter_expr(c["filter"])) for c in cs],
                      [c["check_id"] for c in cs])
@@ -236,7 +236,7 @@ def count_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_
         ]
         subjects = _subjects(spark, batch, errors, measured, F.col("v").cast("string"), F.lit(None).cast("string"))
         parts.append(results(evaluate_expectations(
-            subjects, as_of, "count check needs an expectation (expect_min/expect_max or equals)")))
+            subjects, as_of, "the count is compared with nothing")))
     return _union(parts, spark, RESULTS)
 
 
@@ -275,7 +275,7 @@ def field_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_
     parts = []
     for batch in batches(checks.select(*CHECK_FIELDS), FUSED):
         grouped, errors = _by_table(batch, snapshot, lambda c: None if c["table_name"] and c["filter"] and c["field"]
-                                    and c["order_by"] else "field check requires table, filter, field and order_by")
+                                    and c["order_by"] else "table, filter, field and order_by must all be given")
         measured = []
         for t, cs in grouped.items():
             df = snapshot.tables[t]
@@ -290,12 +290,11 @@ def field_checks(spark: SparkSession, checks: DataFrame, snapshot: Snapshot, as_
                 aggs.append(F.min_by(hit, F.when(keep, order)))
             measured.append(_stacked(df, aggs, [c["check_id"] for c in cs]))
         got = F.coalesce(F.col("v.t"), F.when(F.col("v.p"), F.lit("null")))
-        error = (F.when(F.col("v").isNull(), F.concat(F.lit("no document matched filter "), F.col("filter")))
-                 .when(~F.col("v.p"), F.concat(F.lit("field "), F.col("field"),
-                                               F.lit(" not present on matched document"))))
+        error = (F.when(F.col("v").isNull(), F.concat(F.lit("none of the rows fits "), F.col("filter")))
+                 .when(~F.col("v.p"), F.concat(F.lit("the row has no "), F.col("field"))))
         subjects = _subjects(spark, batch, errors, measured, got, error)
         parts.append(results(evaluate_expectations(
-            subjects, as_of, "field check needs an expectation (equals, expect_min, expect_max, or max_age)")))
+            subjects, as_of, "the field is compared with nothing")))
     return _union(parts, spark, RESULTS)
 
 
@@ -365,28 +364,28 @@ def validate_checks(checks: DataFrame, target_type: Column | str, capabilities:
                     + has("bool").cast("int"))
     needed = F.create_map(*[F.lit(x) for k, v in KIND_CAPABILITY.items() if v for x in (k, v)])
     rules = [
-        (blank("name"), F.lit("name is required")),
+        (blank("name"), F.lit("a check without a name")),
         (~blank("severity") & ~F.col("severity").isin("required", "advisory"),
-         F.concat(F.lit('severity "'), F.col("severity"), F.lit('" unsupported (required|advisory)'))),
+         F.concat(F.lit("no such severity: "), F.col("severity"))),
         (F.coalesce(F.col("keep_literal"), F.lit(False)) & ~has("equals"),
-         F.lit("keep_literal requires an equals expectation")),
-        (~kind.isin(list(kinds)), F.concat(F.lit('kind "'), kind, F.lit('" unsupported'))),
+         F.lit("keep_literal is set, but there is no equals whose text could be kept")),
+        (~kind.isin(list(kinds)), F.concat(F.lit("nobody evaluates the kind "), kind)),
         (F.col("_capability").isNotNull() & F.col("_have").isNull(),
-         F.concat(F.lit('kind "'), kind, F.lit('" needs a target with capability '), F.col("_capability"))),
-        ((kind == "sql") & blank("sql"), F.lit("sql is required")),
-        ((kind == "sql") & (expectations == 0), F.lit("needs one expectation")),
-        ((kind == "sql") & (expectations > 1), F.lit("exactly one expectation allowed")),
-        (kind.isin("file_exists", "file_count", "checksum") & blank("path"), F.lit("path is required")),
-        ((kind == "checksum") & ~has("equals"), F.lit("equals (expected sha256) is required")),
-        ((kind == "file_count") & ~bounds, F.lit("expect_min and/or expect_max is required")),
-        ((kind == "exit") & blank("capture"), F.lit("capture is required")),
-        ((kind == "response") & blank("url"), F.lit("url is required")),
-        (kind.isin("count", "field") & blank("table_name"), F.lit("table is required")),
-        ((kind == "field") & blank("filter"), F.lit("filter is required")),
-        ((kind == "field") & blank("field"), F.lit("field is required")),
-        ((kind == "count") & ~bounds & ~has("equals"), F.lit("needs an expectation (expect_min/expect_max or equals)")),
+         F.concat(F.lit("the target type offers no "), F.col("_capability"), F.lit(", which "), kind, F.lit(" uses"))),
+        ((kind == "sql") & blank("sql"), F.lit("there is no sql to run")),
+        ((kind == "sql") & (expectations == 0), F.lit("the value is compared with nothing")),
+        ((kind == "sql") & (expectations > 1), F.lit("the value is compared with several things")),
+        (kind.isin("file_exists", "file_count", "checksum") & blank("path"), F.lit("there is no path to look at")),
+        ((kind == "checksum") & ~has("equals"), F.lit("there is no digest to compare with")),
+        ((kind == "file_count") & ~bounds, F.lit("the count has no bound")),
+        ((kind == "exit") & blank("capture"), F.lit("there is no capture to read")),
+        ((kind == "response") & blank("url"), F.lit("there is no url to look up")),
+        (kind.isin("count", "field") & blank("table_name"), F.lit("there is no table to read")),
+        ((kind == "field") & blank("filter"), F.lit("nothing says which row counts")),
+        ((kind == "field") & blank("field"), F.lit("nothing says which field counts")),
+        ((kind == "count") & ~bounds & ~has("equals"), F.lit("the count is compared with nothing")),
         ((kind == "field") & ~bounds & ~has("equals") & ~has("max_age_s"),
-         F.lit("needs an expectation (equals, expect_min, expect_max, or max_age)")),
+         F.lit("the field is compared with nothing")),
     ]
     caps = broadcast_if_small(capabilities.select(
         F.col("target_type").alias("_t"), F.col("capability").alias("_have")).distinct())

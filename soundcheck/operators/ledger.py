@@ -141,8 +141,8 @@ def verify_entries(ledger: DataFrame, keys: DataFrame | None = None) -> DataFram
         signed = signed.withColumn("_sig", F.when(F.col("public_key").isNotNull(), _verify_signature(
             "public_key", "entry_hash", "signature")))
         sig_ok = F.coalesce(F.col("_sig"), F.lit(False))
-        sig_detail = F.when(F.col("public_key").isNull(), F.concat(F.lit("unknown key_id "), F.coalesce(
-            "key_id", F.lit("")))).when(sig_ok, F.lit("signature valid")).otherwise(F.lit("signature INVALID"))
+        sig_detail = F.when(F.col("public_key").isNull(), F.concat(F.lit("no trusted key named "), F.coalesce(
+            "key_id", F.lit("(none)")))).when(sig_ok, F.lit("signed by that key")).otherwise(F.lit("not signed by that key"))
     has_body = F.coalesce(text("report_raw"), F.lit("")) != ""
     body_ok = F.sha2(text("report_raw").cast("binary"), 256) == F.col("report_sha256")
     has_tenant = F.coalesce(text("tenant_pubkey"), F.lit("")) != ""
@@ -151,10 +151,10 @@ def verify_entries(ledger: DataFrame, keys: DataFrame | None = None) -> DataFram
         taken.alias("taken"), F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail"))
     always = F.lit(True)
     taken = F.filter(F.array(
-        step(always, "chain hash", chain_ok, F.lit("entry_hash matches the signed fields")),
+        step(always, "chain hash", chain_ok, F.lit("entry_hash against the hash of the fields")),
         step(always, "signature", sig_ok, sig_detail),
-        step(has_body, "report hash", body_ok, F.lit("report body matches report_sha256")),
-        step(has_tenant, "tenant signature", tenant_ok, F.lit("verified by the ledger at submit time"))),
+        step(has_body, "report hash", body_ok, F.lit("report_sha256 against the body")),
+        step(has_tenant, "tenant signature", tenant_ok, F.lit("as recorded when the entry came in"))),
         lambda s: s["taken"])
     steps = F.transform(taken, lambda s: F.struct(s["name"].alias("name"), s["ok"].alias("ok"), s["detail"].alias("detail")))
     valid = F.coalesce(chain_ok, F.lit(False)) & sig_ok & (~has_body | F.coalesce(body_ok, F.lit(False)))

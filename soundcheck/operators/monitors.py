@@ -205,10 +205,10 @@ def validate_hooks(hooks: DataFrame, col: str = "hook") -> DataFrame:
     violation = (
         F.when(~is_url, F.lit(None))
         .when((authority == "") | c.rlike(r"[\x00-\x1f\x7f]") | F.regexp_replace(authority, r".*@", "").rlike(r"[ <>\"]"),
-              F.lit("invalid hook URL"))
-        .when(F.contains(authority, F.lit("@")), F.lit("hook URL must not embed credentials; pass the token by reference"))
-        .when(bad_query, F.lit("invalid hook URL query"))
-        .when(F.size(literal) > 0, F.concat(F.lit("hook URL parameter "), first, F.lit(" must be an env reference"))))
+              F.lit("the URL cannot be parsed"))
+        .when(F.contains(authority, F.lit("@")), F.lit("the URL holds a user or password"))
+        .when(bad_query, F.lit("the query cannot be decoded"))
+        .when(F.size(literal) > 0, F.concat(first, F.lit(" names no environment variable"))))
     return hooks.withColumn("violation", violation)
 
 

@@ -146,7 +146,7 @@ def judge_responses(checks: DataFrame, responses: DataFrame) -> DataFrame:
     fail = (
         F.when(status_bad, F.concat(F.lit("status "), F.col("status").cast("string"), F.lit(", want "),
                                     want.cast("string")))
-        .when(text_bad, F.concat(F.lit("body does not contain "), quoted("expect_body_contains")))
+        .when(text_bad, F.concat(F.lit("nowhere in the body: "), quoted("expect_body_contains")))
         .when(asks_json & found["error"].isNotNull(), found["error"])
         .when(asks_json & value_bad, F.concat(spec["path"], F.lit(" = "), quoted(found["value"]), F.lit(", want "),
                                               quoted(spec["value"])))

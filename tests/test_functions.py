@@ -109,11 +109,11 @@ def test_json_path(spark):
     cases = {"a.b.0": "1", "a.b.1.c": "x", "a.b.2": "null", "a.b.3": "true", "a.b.4": "2.5", "a.b.5": "1e+300", "n": "12345678901",
              "o": '{"y":"q","z":1}', "0": "k"}
     assert ask(spark, list(cases), lambda p: jsonpath.json_path_text(F.lit(doc), p)) == list(cases.values())
-    errors = {"a.x": "key", "a.b.9": "out of range", "a.b.-1": "out of range", "a.b.q": "not an array index", "n.x": "not traversable",
-              "a.b.2.x": "not traversable", "s.b": "not traversable"}
+    errors = {"a.x": "no key", "a.b.9": "array ends", "a.b.-1": "array ends", "a.b.q": "an array has no", "n.x": "a scalar has no",
+              "a.b.2.x": "a scalar has no", "s.b": "a scalar has no"}
     got = ask(spark, list(errors), lambda p: jsonpath.json_path(F.lit(doc), p)["error"])
     assert all(part in said for part, said in zip(errors.values(), got)), got
-    assert ask(spark, ["a"], lambda p: jsonpath.json_path(F.lit("oops"), p)["error"]) == ["response body is not valid JSON"]
+    assert ask(spark, ["a"], lambda p: jsonpath.json_path(F.lit("oops"), p)["error"]) == ["the body cannot be parsed as JSON"]
 
 
 def test_credential_shapes(spark):
