@@ -236,7 +236,7 @@ def _response_sql(text="k"):
            CASE WHEN status <> 200 THEN 'status 500, want 200'
                 WHEN event_id % 50 % 4 = 0 AND json_extract_string(body, '$.k') <> '7' THEN concat('k = "', json_extract_string(body, '$.k'), '", want "7"')
                 WHEN event_id % 50 % 4 = 1 THEN 'at "k.x": a scalar has no "x"'
-                WHEN event_id % 50 % 4 = 2 THEN 'json path "z": key "z" not found' END AS detail FROM responses"""
+                WHEN event_id % 50 % 4 = 2 THEN 'at "z": no key "z"' END AS detail FROM responses"""
 
 
 @query("B8_responses", _response_sql(), "responses")
