@@ -25,6 +25,7 @@ from soundcheck.llm.components import components, forest  # noqa: E402
 from soundcheck.llm.queries import QUERIES  # noqa: E402
 
 RANKS, FILE, WORDS = (vocabularies.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
+ENCODERS = {p: packing.file_encoder(p)() for p in (FILE, WORDS)}
 LONG = " ".join(f"w{i % 700}x{i % 31}" for i in range(20_000))
 AWKWARD = [
     (1, "The quick brown fox jumps over the lazy dog, twice as high as before.", "en", "a"), (2, None, None, None), (3, "", "en", "a"),
@@ -113,6 +114,26 @@ def test_a_trie_begun_anew_counts_the_same():
         assert b.count(w) == n
 
 
+# Tokenizer files
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("abcdeionst TH'éÀßſŁđžǅ\n\t.,-<|>_`~ĳ0123µª日"), st.characters(exclude_categories=["Cs"])), max_size=60), st.sampled_from([FILE, WORDS]))
+def test_merging_by_ranks_equals_the_library(text, path):
+    want = ids_of(path, text)
+    encode = ENCODERS[path]
+    assert [i for c in cutting.chunks(text) for i in np.frombuffer(encode([c])[0], "<u4").tolist()] == want
+
+
+def test_other_tokenizer_files_are_left_to_the_library():
+    import json
+    with open(FILE) as file:
+        own = json.load(file)
+    for change in ({"normalizer": {"type": "NFD"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": own["model"] | {"byte_fallback": True}},
+                   {"model": own["model"] | {"merges": own["model"]["merges"][::-1]}}, {"model": own["model"] | {"end_of_word_suffix": "</w>"}}):
+        assert packing.by_ranks(own | change) is None
+    assert packing.by_ranks(own)
+
+
 # Packing
 
 @settings(max_examples=100, deadline=None)
