@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from soundcheck.llm.text import chunks, remember
 
 MAX_NODES = 600_000  # the trie is begun anew beyond that
+LONG_WORD = 4096  # bytes; longer pre-tokens share no prefix with others
 TEXTS_AT_ONCE = 128
 ZIPF_OFFSET = 2.7
 
@@ -28,33 +29,66 @@ class UnigramTrie:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.scores = {base64.b64decode(a): -math.log(int(b) + ZIPF_OFFSET) for a, b in map(bytes.split, lines)}
+        # Every end of a token, with its score if it is one itself: a stretch that is none ends the search for longer ones.
+        self.tails = {token[i:]: None for token in self.scores for i in range(len(token))} | self.scores
         self.longest = max(map(len, self.scores))
         self.pattern = regex.compile(pattern)
         self.clear()
 
     def clear(self) -> None:
-        # A node: children by byte, best score, tokens of the best spelling (fewest on a tie).
-        self.root, self.nodes = ({}, 0.0, 0), 1
+        # A node is a number; (node, byte) leads to the next one. Of each: best score, tokens of the best spelling (fewest on a tie).
+        self.edges, self.best, self.tokens = {}, [0.0], [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.best)
 
     def count(self, word: bytes) -> int:
         """Tokens of the best spelling of ``word``."""
+        if len(word) > LONG_WORD:
+            return self.count_long(word)
         if self.nodes > MAX_NODES:
             self.clear()
-        node, path, scores = self.root, [self.root], self.scores
-        for end in range(1, len(word) + 1):
-            below = node[0].get(word[end - 1])
-            if below is None:
-                best, tokens = -math.inf, 0
-                for start in range(max(0, end - self.longest), end):
-                    if (score := scores.get(word[start:end])) is not None:
-                        _, so_far, n = path[start]
-                        if (so_far + score, -n - 1) > (best, -tokens):
-                            best, tokens = so_far + score, n + 1
-                below = node[0][word[end - 1]] = ({}, best, tokens)
-                self.nodes += 1
-            node = below
+        edges, best, tokens, tails = self.edges, self.best, self.tokens, self.tails
+        node, path = 0, [0]
+        for end, byte in enumerate(word, 1):
+            at = node << 8 | byte
+            node = edges.get(at)
+            if node is None:
+                top, fewest = -math.inf, 0
+                for start in range(end - 1, -1, -1):
+                    score = tails.get(word[start:end], 0)
+                    if not score:
+                        if score is None:
+                            continue
+                        break  # scores are below 0, so this is no end of any token
+                    before = path[start]
+                    score += best[before]
+                    if score > top or score == top and tokens[before] + 1 < fewest:
+                        top, fewest = score, tokens[before] + 1
+                node = edges[at] = len(best)
+                best.append(top)
+                tokens.append(fewest)
             path.append(node)
-        return node[2]
+        return tokens[node]
+
+    def count_long(self, word: bytes) -> int:
+        """The same without the trie, which such words would fill: only the last ``longest`` scores are held."""
+        held, tails = [(0.0, 0)] * (self.longest + 1), self.tails
+        size = len(held)
+        for end in range(1, len(word) + 1):
+            best, tokens = -math.inf, 0
+            for start in range(end - 1, max(-1, end - size), -1):
+                score = tails.get(word[start:end], 0)
+                if score is None:
+                    continue
+                if not score:
+                    break
+                so_far, n = held[start % size]
+                if so_far + score > best or so_far + score == best and n + 1 < tokens:
+                    best, tokens = so_far + score, n + 1
+            held[end % size] = best, tokens
+        return held[len(word) % size][1]
 
     def count_text(self, text: str) -> tuple[int, int]:
         """(pre-tokens, tokens) of a text."""

@@ -105,13 +105,28 @@ def test_token_counts(docs):
     assert token_counts.count_tokens(none_left(docs), RANKS, vocabularies.PATTERN).count() == 0
 
 
+def test_long_pretokens_take_no_trie():
+    import resource
+    import time
+    trie = token_counts.UnigramTrie(RANKS, vocabularies.PATTERN)
+    rnd = random.Random(8)
+    for word in (b"a" * 700, "日本語".encode() * 80, bytes(rnd.choices(b"thesandio", k=900)), rnd.randbytes(300)):
+        assert trie.count_long(word) == trie.count(word) == best_spelling(word, trie.scores)
+    nodes, before, start = trie.nodes, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    word = "".join(rnd.choices("abcdefghijklmnop", k=10_000_000)).encode()
+    assert 0 < trie.count(word) <= len(word) and trie.nodes == nodes
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000 and time.time() - start < 240
+
+
 def test_a_trie_begun_anew_counts_the_same():
     a, b = (token_counts.UnigramTrie(RANKS, vocabularies.PATTERN) for _ in range(2))
     words = [random.Random(i).randbytes(12) for i in range(50)]
     expected = [a.count(w) for w in words]
-    for w, n in zip(words, expected):
-        b.nodes = token_counts.MAX_NODES + 1
-        assert b.count(w) == n
+    before, token_counts.MAX_NODES = token_counts.MAX_NODES, 20
+    try:
+        assert [b.count(w) for w in words] == expected and b.nodes < 40
+    finally:
+        token_counts.MAX_NODES = before
 
 
 # Tokenizer files
