@@ -32,7 +32,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hash of the text stays, and a null id only if the group has no other. Texts without a word are in no group:
     of those that repeat an id and a text one stays, and all whose id is null.
     """
-    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.unhex(F.sha2(F.col("text"), 256)))
+    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.unhex(F.md5(F.col("text"))))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
     near = near_text.near_duplicates(keyed, size=5, percent=80, id_col="_key", text_col="_text")
     kept = near.where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(
