@@ -13,6 +13,13 @@ from soundcheck.session import materialise
 EDGES_AT_ONCE = 1_000_000
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``materialise``, and free the shuffles of the step: Spark does so once the driver sees that nothing refers to them."""
+    held = materialise(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return held
+
+
 def forest(nodes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Root (smallest index) of each of ``nodes`` under ``pairs`` of indexes."""
     root = np.arange(len(nodes))
@@ -69,13 +76,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = materialise(edges.mapInArrow(contract, "u long, v long").distinct(), "edges")
+    now = written(edges.mapInArrow(contract, "u long, v long").distinct(), "edges")
     while not pointed(now):
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        now = materialise(small.distinct(), "small-star")
+        now = written(small.distinct(), "small-star")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
