@@ -1,12 +1,12 @@
 """Token ids in compressed binary files.
 
-A file row is a segment: whole documents in order of their id, an index of them, and blocks of ids.
-Every block starts a fresh model and range coder and carries a checksum, so any block is read without
-the others. The model mixes three orders. The last two ids and the last id each predict an id from what
-followed them before; the symbol coded first says which prediction holds or else in which class of ids
-(order 0) the next one lies, with adaptive frequencies that depend on how often the predictions have
-held. The place inside a class is coded with equal frequencies. Blocks of a segment are coded side by
-side: one numpy operation makes the same step in all of them.
+A file row is a segment: whole documents in order of their id, an index of them, a table of the ids that occur, and blocks
+of ids. Every block starts a fresh model and range coder and carries a checksum, as does the table, so any block is read
+without the others. The model mixes distributions of three orders: what followed the last two ids and what followed the
+last one predict two ids each, and order 0 is how often each id occurs in the segment. Their shares are weights that
+adapt to which of them was right, apart for each state of how sure the predictions are. The sum of the shares is one interval
+of the range for each id. All of it is arithmetic of integers. Blocks of a segment are coded side by side: one numpy operation makes
+the same step in all of them.
 """
 
 from __future__ import annotations
@@ -24,73 +24,117 @@ from soundcheck.llm.packing import file_encoder
 from soundcheck.llm.text import chunks, remember
 from soundcheck.session import materialise
 
-BLOCK_IDS = 4096  # at most; a small segment has shorter blocks, so that many are coded side by side
+BLOCK_IDS = 8192  # at most; a small segment has shorter blocks, so that many are coded side by side
 LEAST_BLOCK_IDS, BLOCKS = 1024, 512
 SEGMENT_IDS = 8_000_000  # a segment ends with the document that reaches this
 TEXTS_AT_ONCE = 128
 END_ID = 1
-MAGIC = b"IDS1"
+MAGIC = b"IDS2"
+COUNTED = 1 << 22  # ids below are counted in an array, others by sorting
 
-# The model. Classes: two for each power of two of id + 2.
-HIT2, HIT1, CLASSES = 0, 1, 2
-MAX_ID = (1 << 17) - 3  # 13 bits of frequencies and 16 of a place fit between two renewals of the range
-SLOTS_LOG = 11  # predictions kept for each order and block: two to this
+# The model. An id is its place among the sorted distinct ids of the segment.
+GUESSES = 4  # two of order 2, two of order 1
+SLOTS_LOG = 12  # predictions kept for each order and block: two to this
 LEVELS = 4  # how sure a prediction is
-STEP, LIMIT = 24, 1 << 13
-SETTLED, LEAST, WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+SHARE_BITS = 10  # the shares of an id's step sum to two to this
+WEIGHT_ONE, GUESSED = 1 << 16, (1 << SHARE_BITS) - 24  # at most this share is for predictions
+RATE = 5
+SETTLED, LEAST, WORD = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16)
 
 
-def classes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, place in it, bits of the place) of each id."""
-    shifted = ids.astype(np.uint32) + np.uint32(2)
-    bits = np.frexp(shifted.astype(np.float64))[1].astype(np.uint32) - np.uint32(2)  # floor(log2) - 1
-    return 2 * bits + ((shifted >> bits) & np.uint32(1)), shifted & ((np.uint32(1) << bits) - np.uint32(1)), bits
+class Table:
+    """Order 0: distinct ids in order, and frequencies, at least one each, that sum to 2 ** ``bits``."""
 
+    def __init__(self, distinct: np.ndarray, freq: np.ndarray):
+        self.distinct, self.freq = distinct, freq.astype(np.int64)
+        ends = np.cumsum(self.freq)
+        self.start, self.bits = ends - self.freq, int(ends[-1]).bit_length() - 1
+        self.find = np.repeat(np.arange(len(distinct), dtype=np.uint32), self.freq)  # which id has each place
+
+    @classmethod
+    def count(cls, distinct: np.ndarray, counts: np.ndarray) -> Table:
+        total = 1 << max(16, (4 * len(distinct)).bit_length())
+        freq = 1 + counts * (total - len(distinct)) // counts.sum()
+        freq[counts.argmax()] += total - freq.sum()
+        return cls(distinct, freq)
+
+    def pack(self) -> bytes:
+        return zlib.compress(np.diff(self.distinct, prepend=0).astype("<u4").tobytes() + self.freq.astype("<u4").tobytes())
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Table:
+        both = np.frombuffer(zlib.decompress(data), "<u4")
+        half = len(both) // 2
+        return cls(np.cumsum(both[:half], dtype=np.uint64).astype(np.uint32), both[half:])
 
-class Model:
-    """The state of ``n`` blocks at one step: what is predicted, with which frequencies."""
 
-    def __init__(self, n: int, symbols: int):
-        self.rows, self.symbols = np.arange(n), symbols
-        self.entries = [np.zeros(n << SLOTS_LOG, np.uint32) for _ in range(2)]  # predicted id * LEVELS + how sure
-        self.freq = np.ones((n * LEVELS * LEVELS, symbols), np.uint16)
-        self.total = np.full(n * LEVELS * LEVELS, symbols, np.uint16)
-        self.last = np.zeros(n, np.uint32)
-        self.before = np.zeros(n, np.uint32)
+class Model:
+    """The state of ``n`` blocks at one step: what is predicted, with which shares. Guesses: two of order 2, then two of order 1."""
+
+    def __init__(self, n: int, table: Table):
+        self.n, self.table = n, table
+        self.lead = np.zeros(2 * n << SLOTS_LOG, np.uint32)  # order 2, then order 1, of each block: predicted id * LEVELS + how sure
+        self.other = np.zeros(2 * n << SLOTS_LOG, np.uint32)  # the runner-up
+        self.slots = np.arange(2 * n).reshape(2, n) << SLOTS_LOG
+        self.states = np.arange(n) * LEVELS ** 2 + np.arange(GUESSES)[:, None] * (n * LEVELS ** 2)
+        two, one = np.divmod(np.arange(LEVELS ** 2), LEVELS)  # the surer a prediction is, the more it begins with
+        begin = np.stack([1 + 2 * two, np.ones_like(two), 1 + one, np.ones_like(two)]) * (WEIGHT_ONE // 16)
+        self.weights = np.repeat(begin[:, None], n, axis=1).astype(np.int32).reshape(-1)
+        self.seen = np.zeros((2, n), np.uint32)  # hash of the last two ids, and the last id
 
     def predict(self, n: int) -> None:
         """For the first ``n`` blocks, which are those that have ids left."""
-        slots, drop = self.rows[:n] << SLOTS_LOG, np.uint32(32 - SLOTS_LOG)
-        one = self.last[:n] * np.uint32(0x9E3779B1)
-        self.at1 = slots + (one >> drop)
-        self.at2 = slots + ((one ^ (self.before[:n] * np.uint32(0x85EBCA6B))) >> drop)
-        self.entry1, self.entry2 = self.entries[0].take(self.at1), self.entries[1].take(self.at2)
-        self.guess1, self.guess2 = self.entry1 >> 2, self.entry2 >> 2
-        self.at = (self.rows[:n] << 4) + ((self.entry2 & 3) << 2) + (self.entry1 & 3)
-        self.counts = self.freq.take(self.at, axis=0)
-        self.ends = np.cumsum(self.counts, axis=1, dtype=np.uint16)
-        self.sum = self.total.take(self.at)
-
-    def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.rows[:len(symbol)] * self.symbols + symbol
-        size = self.counts.reshape(-1).take(at)
-        return (self.ends.reshape(-1).take(at) - size).astype(np.uint64), size.astype(np.uint64)
-
-    def update(self, symbol: np.ndarray, ids: np.ndarray) -> None:
+        self.at = self.slots[:, :n] + ((self.seen[:, :n] * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS_LOG))
+        self.leads, self.others = self.lead.take(self.at), self.other.take(self.at)
+        sure = self.leads & np.uint32(LEVELS - 1)
+        self.guesses = np.empty((GUESSES, n), np.uint32)
+        self.guesses[::2], self.guesses[1::2] = self.leads >> np.uint32(2), self.others
+        self.state = self.states[:, :n] + (sure[0] * np.uint32(LEVELS) + sure[1])
+        self.held = self.weights.take(self.state)
+        self.shares = (self.held.astype(np.int64) * (GUESSED - GUESSES) >> 16) + 1
+        self.plain = (1 << SHARE_BITS) - self.shares.sum(axis=0)
+
+    def interval(self, ids: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of each id in the sum of all shares; ``equal``: which guesses are the id."""
+        bits = self.table.bits
+        below = (self.shares * (self.guesses < ids)).sum(axis=0)
+        same = (self.shares * equal).sum(axis=0)
+        return self.plain * self.table.start.take(ids) + (below << bits), self.plain * self.table.freq.take(ids) + (same << bits)
+
+    def lookup(self, place: np.ndarray) -> np.ndarray:
+        """The id whose interval holds each place: a guess, or what order 0 has there without the guesses that end before."""
+        bits, g = self.table.bits, self.guesses
+        below, same = self.shares.copy(), self.shares.copy()
+        below[:] = 0
+        for k in range(1, GUESSES):  # guess j against guess j + k
+            less, equal = g[:-k] < g[k:], g[:-k] == g[k:]
+            below[k:] += self.shares[:-k] * less
+            below[:-k] += self.shares[k:] * ~(less | equal)
+            same[k:] += self.shares[:-k] * equal
+            same[:-k] += self.shares[k:] * equal
+        start = self.plain * self.table.start.take(g) + (below << bits)
+        end = start + self.plain * self.table.freq.take(g) + (same << bits)
+        past = end <= place
+        ahead = (self.shares * past).sum(axis=0)
+        holds = (start <= place) & ~past
+        at = np.minimum((place - (ahead << bits)) // self.plain, len(self.table.find) - 1)
+        found = self.table.find.take(np.maximum(at, 0))
+        for k in range(GUESSES):
+            np.copyto(found, g[k], where=holds[k])
+        return found
+
+    def update(self, ids: np.ndarray, size: np.ndarray, equal: np.ndarray) -> None:
         n = len(ids)
-        self.freq.reshape(-1)[self.at * self.symbols + symbol] += np.uint16(STEP)
-        self.total[self.at] = self.sum + np.uint16(STEP)
-        full = self.at[self.sum > LIMIT - STEP]
-        if len(full):
-            self.freq[full] = (self.freq[full] + 1) >> 1
-            self.total[full] = self.freq[full].sum(axis=1)
-        new = ids << 2
-        for table, at, entry, guess in ((self.entries[0], self.at1, self.entry1, self.guess1),
-                                        (self.entries[1], self.at2, self.entry2, self.guess2)):
-            sure = entry & 3
-            table[at] = np.where(guess == ids, entry + (sure < LEVELS - 1), np.where(sure > 1, entry - 1, new))
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        right = np.zeros((GUESSES, n), np.int64)
+        guess, block = np.nonzero(equal)
+        right[guess, block] = (self.shares[guess, block] << (self.table.bits + 16)) // size[block]  # its part in what happened
+        self.weights[self.state] = self.held + ((np.minimum(right, WEIGHT_ONE - 1) - self.held) >> RATE)
+        hit, sure, four = equal[::2], self.leads & np.uint32(LEVELS - 1), np.uint32(LEVELS)
+        keep = sure > 1
+        self.lead[self.at] = np.where(hit, self.leads + (sure < LEVELS - 1), np.where(keep, self.leads - np.uint32(1), ids * four))
+        self.other[self.at] = np.where(hit, self.others, np.where(keep, ids, self.guesses[::2]))
+        self.seen[0, :n] = (self.seen[1, :n] * np.uint32(0x85EBCA6B)) ^ (ids + np.uint32(0x27D4EB2F))
+        self.seen[1, :n] = ids
 
 
 class Coder:
@@ -99,12 +143,11 @@ class Coder:
     def __init__(self, n: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def narrow(self, n, start, size, total, place, bits) -> None:
-        """To the interval of a symbol, and in it to one of 2 ** bits equal places."""
-        width = self.range[:n] // total
-        low = self.low[:n] + width * start
-        width = (width * size) >> bits
-        self.low[:n], self.range[:n] = low + width * place, width
+    def narrow(self, n: int, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        """To an interval of a sum of 2 ** bits."""
+        width = self.range[:n] >> np.uint64(bits)
+        self.low[:n] += width * start.astype(np.uint64)
+        self.range[:n] = width * size.astype(np.uint64)
 
     def renew(self, n: int) -> None:
         """Words that can't change any more go out or come in until the ranges are wide again."""
@@ -153,72 +196,78 @@ class Decoder(Coder):
         self.code[rows] = (self.code.take(rows) << WORD) | self.data.take(rows * self.room + self.used.take(rows))
         self.used[rows] += 1
 
+    def place(self, n: int, bits: int) -> np.ndarray:
+        at = (self.code[:n] - self.low[:n]) // (self.range[:n] >> np.uint64(bits))
+        return np.minimum(at, np.uint64((1 << bits) - 1)).astype(np.int64)
+
 
 def encode_blocks(ids: np.ndarray, block_ids: int | None = None) -> bytes:
-    """One segment: MAGIC, counts, then for each block its ids, bytes, checksum; then the coded bytes."""
+    """One segment: MAGIC, counts and the table with its checksum, for each block its ids, bytes and checksum, then the coded bytes.
+
+    Any unsigned 32-bit ids; none give a segment without blocks.
+    """
     block_ids = block_ids or max(LEAST_BLOCK_IDS, min(BLOCK_IDS, len(ids) // BLOCKS))
     n = -(-len(ids) // block_ids)
     if not n:
-        return MAGIC + struct.pack("<III", 0, block_ids, 0)
-    if ids.max() > MAX_ID:
-        raise ValueError(f"ids beyond {MAX_ID} are not supported")
-    grid = np.zeros((n, block_ids), np.uint32)
-    grid.reshape(-1)[:len(ids)] = ids
+        return MAGIC + struct.pack("<IIII", 0, block_ids, 0, 0)
+    if ids.max() < COUNTED:
+        counts = np.bincount(ids)
+        places, distinct = (np.cumsum(counts > 0) - 1).astype(np.uint32).take(ids), np.flatnonzero(counts)
+        table = Table.count(distinct, counts[distinct])
+    else:
+        distinct, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        table = Table.count(distinct, counts)
+    packed, bits = table.pack(), table.bits + SHARE_BITS
+    grid = np.zeros(n * block_ids, np.uint32)
+    grid[:len(ids)] = places
+    steps = np.ascontiguousarray(grid.reshape(n, block_ids).T)
     short = len(ids) - (n - 1) * block_ids  # ids of the last block
-    symbols = 2 * (int(ids.max() + 2).bit_length() - 2) + 2 + CLASSES
-    model, coder = Model(n, symbols), Encoder(n, block_ids)
+    model, coder = Model(n, table), Encoder(n, block_ids)
     for t in range(block_ids if n > 1 else short):
         live = n if t < short else n - 1
-        now = np.ascontiguousarray(grid[:live, t])
-        kind, place, bits = classes(now)
+        now = steps[t, :live]
         model.predict(live)
-        literal = (now != model.guess2) & (now != model.guess1)
-        symbol = np.where(literal, kind + np.uint32(CLASSES), np.where(now == model.guess2, HIT2, HIT1)).astype(np.int64)
-        start, size = model.interval(symbol)
-        coder.narrow(live, start, size, model.sum, place * literal, bits * literal)
+        equal = model.guesses == now
+        start, size = model.interval(now, equal)
+        coder.narrow(live, start, size, bits)
         coder.renew(live)
-        model.update(symbol, now)
+        model.update(now, size, equal)
     coded = coder.finish()
     index = b"".join(struct.pack("<III", block_ids if i < n - 1 else short, len(c), zlib.crc32(c)) for i, c in enumerate(coded))
-    return MAGIC + struct.pack("<III", n, block_ids, symbols) + index + b"".join(coded)
+    return MAGIC + struct.pack("<IIII", n, block_ids, len(packed), zlib.crc32(packed)) + packed + index + b"".join(coded)
 
 
 def decode_blocks(data: bytes) -> np.ndarray:
     """The ids of a segment; a damaged one is a ValueError."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment of ids")
-    n, block_ids, symbols = struct.unpack_from("<III", data, 4)
+    n, block_ids, size, crc = struct.unpack_from("<IIII", data, 4)
     if not n:
         return np.zeros(0, np.uint32)
-    index = [struct.unpack_from("<III", data, 16 + 12 * i) for i in range(n)]
-    coded, at = [], 16 + 12 * n
+    packed, at = data[20:20 + size], 20 + size
+    if zlib.crc32(packed) != crc:
+        raise ValueError("the table of ids is damaged")
+    index = [struct.unpack_from("<III", data, at + 12 * i) for i in range(n)]
+    coded, at = [], at + 12 * n
     for i, (_, size, crc) in enumerate(index):
         coded.append(data[at:at + size])
         at += size
         if zlib.crc32(coded[-1]) != crc:
             raise ValueError(f"block {i} is damaged")
-    short = index[-1][0]
-    model, coder = Model(n, symbols), Decoder(coded)
+    short, table = index[-1][0], Table.unpack(packed)
+    bits = table.bits + SHARE_BITS
+    model, coder = Model(n, table), Decoder(coded)
     out = np.zeros((block_ids, n), np.uint32)
-    zero = np.uint64(0)
     for t in range(block_ids if n > 1 else short):
         live = n if t < short else n - 1
         model.predict(live)
-        width = coder.range[:live] // model.sum
-        target = np.minimum((coder.code[:live] - coder.low[:live]) // width, model.sum - np.uint16(1))
-        symbol = (model.ends <= target.astype(np.uint16)[:, None]).sum(axis=1)
-        start, size = model.interval(symbol)
-        kind = np.maximum(symbol - CLASSES, 0).astype(np.uint32)
-        bits = np.where(symbol >= CLASSES, kind >> 1, np.uint32(0))
-        coder.narrow(live, start, size, model.sum, zero, bits)
-        place = (coder.code[:live] - coder.low[:live]) // coder.range[:live]
-        place = np.minimum(place, (np.uint64(1) << bits) - np.uint64(1))
-        coder.low[:live] += coder.range[:live] * place
-        now = ((np.uint32(2) + (kind & 1)) << bits) + place.astype(np.uint32) - np.uint32(2)
-        now = np.where(symbol >= CLASSES, now, np.where(symbol == HIT2, model.guess2, model.guess1))
+        now = model.lookup(coder.place(live, bits))
+        equal = model.guesses == now
+        start, size = model.interval(now, equal)
+        coder.narrow(live, start, size, bits)
         coder.renew(live)
-        model.update(symbol, now)
-        out[t, :live] = now
+        model.update(now, size, equal)
+        out[t, :live] = table.distinct.take(now)
     return out.T.reshape(-1)[:(n - 1) * block_ids + short]
 
 
