@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from soundcheck.llm.packing import file_encoder
-from soundcheck.llm.text import chunks, remember
+from soundcheck.llm.text import remember
 from soundcheck.session import materialise
 
 BLOCK_IDS = 8192  # at most; a small segment has shorter blocks, so that many are coded side by side
@@ -287,7 +287,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
     load = file_encoder(tokenizer)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, part, segment = load(), {}, TaskContext.get().partitionId(), 0
+        (cut_text, encode), known, part, segment = load(), {}, TaskContext.get().partitionId(), 0
         end, held, owners = np.array([end_id], "<u4").tobytes(), [], []
 
         def flush():
@@ -301,7 +301,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 rows = batch.slice(i, TEXTS_AT_ONCE)
-                texts = [chunks(t or "") for t in rows.column(1).to_pylist()]
+                texts = [cut_text(t or "") for t in rows.column(1).to_pylist()]
                 remember(texts, encode, known)
                 for doc, parts in zip(rows.column(0).to_pylist(), texts):
                     held.append(b"".join(map(known.__getitem__, parts)) + end)

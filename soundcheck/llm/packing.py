@@ -69,8 +69,11 @@ def cut(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
         start, first = start + first, capacity
 
 
-def file_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
-    """Makes, on an executor, the function that encodes chunks with a tokenizer file: little-endian unsigned 32-bit ids.
+def file_encoder(path: str) -> Callable[[], tuple[Callable[[str], list[str]], Callable[[list[str]], list[bytes]]]]:
+    """Makes, on an executor, two functions for a tokenizer file: one cuts a text into chunks, one encodes them to little-endian unsigned 32-bit ids.
+
+    Joined, the ids are those of the library for the whole text without special tokens added. Strings of added tokens that
+    stand in a text are those tokens, as in the library, and chunks of their own.
 
     The library takes some microseconds for every byte. Where the file is a byte-level BPE whose merges are in the order of
     their ids, a chunk of plain Latin characters is merged by those ranks instead (``by_ranks``), with the same ids;
@@ -83,17 +86,24 @@ def file_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
-            fast = by_ranks(json.load(file))
+            content = json.load(file)
+        fast, added = by_ranks(content), content.get("added_tokens") or []
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added):
+            raise ValueError("added tokens that depend on what stands around them are not supported")
+        names = {a["content"] for a in added}
+        between = re.compile("(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + ")").split if names else lambda text: [text]
+
+        def cut_text(text: str) -> list[str]:
+            return [c for part in between(text) for c in ([part] if part in names else chunks(part))]
 
         def encode(parts: list[str]) -> list[bytes]:
-            found = {p: fast(p) for p in parts if LATIN(p)} if fast else {}
+            found = {p: fast(p) for p in parts if LATIN(p) and p not in names} if fast else {}
             rest = [p for p in parts if p not in found]
             found.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(rest, add_special_tokens=False))))
             return [found[p] for p in parts]
 
-        return encode
+        return cut_text, encode
 
     return load
 
@@ -154,11 +164,11 @@ def pieces(docs: DataFrame, load, end_id: int, capacity: int, id_col: str, text_
              "block int, nth long" + ", ids binary" * with_ids
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, seen, block = load(), {}, Counter(), TaskContext.get().partitionId()
+        (cut_text, encode), known, seen, block = load(), {}, Counter(), TaskContext.get().partitionId()
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(i, TEXTS_AT_ONCE)
-                texts = [chunks(t or "") for t in part.column(1).to_pylist()]
+                texts = [cut_text(t or "") for t in part.column(1).to_pylist()]
                 remember(texts, encode, known)
                 rows = []
                 for doc, found in zip(part.column(0).to_pylist(), texts):

@@ -26,6 +26,7 @@ from soundcheck.llm.queries import QUERIES  # noqa: E402
 
 RANKS, FILE, WORDS = (vocabularies.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 ENCODERS = {p: packing.file_encoder(p)() for p in (FILE, WORDS)}
+LIBRARIES = {p: Tokenizer.from_file(p) for p in (FILE, WORDS)}
 LONG = " ".join(f"w{i % 700}x{i % 31}" for i in range(20_000))
 AWKWARD = [
     (1, "The quick brown fox jumps over the lazy dog, twice as high as before.", "en", "a"), (2, None, None, None), (3, "", "en", "a"),
@@ -47,9 +48,7 @@ def none_left(df):
 
 
 def ids_of(tokenizer, text):
-    t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return LIBRARIES[tokenizer].encode(text or "", add_special_tokens=False).ids
 
 
 # Byte-level BPE
@@ -135,8 +134,17 @@ def test_a_trie_begun_anew_counts_the_same():
 @given(st.text(st.one_of(st.sampled_from("abcdeionst TH'éÀßſŁđžǅ\n\t.,-<|>_`~ĳ0123µª日"), st.characters(exclude_categories=["Cs"])), max_size=60), st.sampled_from([FILE, WORDS]))
 def test_merging_by_ranks_equals_the_library(text, path):
     want = ids_of(path, text)
-    encode = ENCODERS[path]
-    assert [i for c in cutting.chunks(text) for i in np.frombuffer(encode([c])[0], "<u4").tolist()] == want
+    cut_text, encode = ENCODERS[path]
+    assert [i for c in cut_text(text) for i in np.frombuffer(encode([c])[0], "<u4").tolist()] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\n", "word", "É", "日本", " x"]), max_size=12).map("".join),
+       st.sampled_from([FILE, WORDS]))
+def test_strings_of_special_tokens_are_those_tokens(text, path):
+    want = LIBRARIES[path].encode(text, add_special_tokens=False).ids
+    cut_text, encode = ENCODERS[path]
+    assert [i for c in cut_text(text) for i in np.frombuffer(encode([c])[0], "<u4").tolist()] == want
 
 
 def test_other_tokenizer_files_are_left_to_the_library():
@@ -245,7 +253,7 @@ def test_shares_of_a_step_cover_the_range_once():
 def test_mixing_is_shorter_than_order_0_alone(folder):
     import pyarrow.parquet as pq
     texts = [t for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
-    ids = np.concatenate([np.frombuffer(b, "<u4") for t in texts for b in ENCODERS[WORDS](cutting.chunks(t))])
+    ids = np.concatenate([np.frombuffer(b, "<u4") for t in texts for b in ENCODERS[WORDS][1](cutting.chunks(t))])
     counts = np.unique(ids, return_counts=True)[1] / len(ids)
     assert 8 * len(id_files.encode_blocks(ids)) < len(ids) * -(counts * np.log2(counts)).sum()
 
