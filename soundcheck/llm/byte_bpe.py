@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from soundcheck.llm.text import chunks, remember
 
-LEAF = 24  # bytes that are merged directly
+LEAF = 8  # bytes that are merged directly
+MERGED = 300_000  # merges of few bytes that a task remembers
 TEXTS_AT_ONCE = 128
+NO_RANK = 1 << 40
 
 
 class ByteBpe:
@@ -32,35 +34,48 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.merged: dict[bytes, list[int]] = {}  # of leaves and of windows of two tokens
 
     def merge(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost on a tie: the direct form, for few bytes."""
-        ranks = self.ranks
+        ranks, none = self.ranks, NO_RANK
         if (whole := ranks.get(data)) is not None:
             return [whole]
         parts = [data[i:i + 1] for i in range(len(data))]
-        pairs = [ranks.get(data[i:i + 2], 1 << 40) for i in range(len(data) - 1)]
-        while pairs and (low := min(pairs)) < 1 << 40:
+        pairs = [ranks.get(data[i:i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (low := min(pairs)) < none:
             i = pairs.index(low)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
             del pairs[i]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 40)
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 40)
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
         return [ranks[p] for p in parts]
 
     def encode_piece(self, data: bytes) -> list[int]:
+        if (whole := self.ranks.get(data)) is not None:
+            return [whole]
         if len(data) <= LEAF:
-            return self.merge(data)
+            return self.remembered(data)
         half = len(data) // 2
         return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
 
+    def remembered(self, data: bytes) -> list[int]:
+        if (found := self.merged.get(data)) is None:
+            if len(self.merged) >= MERGED:
+                self.merged.clear()
+            found = self.merged[data] = self.merge(data)
+        return found
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         i = j = 1
+        window = self.remembered(self.tokens[left[-1]] + self.tokens[right[0]])
+        if window[0] == left[-1] and window[-1] == right[0]:
+            return left[:-1] + window + right[1:]
         while True:
             i, j = min(i, len(left)), min(j, len(right))
-            window = self.merge(self.decode(left[-i:] + right[:j]))
+            window = self.merge(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
             left_holds = i == len(left) or window[0] == left[-i]
             right_holds = j == len(right) or window[-1] == right[j - 1]
             if left_holds and right_holds:

@@ -70,6 +70,23 @@ def test_tree_of_any_leaf_size_equals_the_library(text, leaf):
         byte_bpe.LEAF = before
 
 
+def test_the_tree_joins_on_the_given_table(folder, monkeypatch):
+    import pyarrow.parquet as pq
+    texts = [t for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist()[:40] if t]
+    joins, join = [], BPE.join
+    monkeypatch.setattr(BPE, "join", lambda a, b: joins.append(1) or join(a, b))
+    for text in texts:
+        assert BPE.encode(text) == LIBRARY.encode_ordinary(text)
+    assert len(joins) > len(texts)
+
+
+def test_remembered_merges_stay_few(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MERGED", 3)
+    own = byte_bpe.ByteBpe(RANKS, vocabularies.PATTERN)
+    for text in ("qzxjvkwpyyhh" * 20, "unlikelyhoodnesses aàéb" * 9):
+        assert own.encode(text) == LIBRARY.encode_ordinary(text) and len(own.merged) <= 3
+
+
 def test_encode_texts(spark, docs):
     rows = byte_bpe.encode_texts(docs, RANKS, vocabularies.PATTERN).select("row.text", "row.ids", "ids").collect()
     assert len(rows) == len(AWKWARD)
