@@ -34,7 +34,7 @@ COUNTED = 1 << 22  # ids below are counted in an array, others by sorting
 
 # The model. An id is its place among the sorted distinct ids of the segment.
 GUESSES = 4  # two of order 2, two of order 1
-SLOTS_LOG = 12  # predictions kept for each order and block: two to this
+SLOTS_LOG = 10  # predictions kept for each order and block: two to this
 LEVELS = 4  # how sure a prediction is
 SHARE_BITS = 10  # the shares of an id's step sum to two to this
 WEIGHT_ONE, GUESSED = 1 << 16, (1 << SHARE_BITS) - 24  # at most this share is for predictions
