@@ -40,7 +40,7 @@ def _(d):
 
 @query("H2_scrub_many", f"WITH {FOLD} SELECT doc_id, {scrubbed('text')} AS text FROM documents, f", "secrets")
 def _(d):
-    # The way of long secret lists: several passes with a broadcast automaton each.
+    # The way of long secret lists: streamed to the driver in several passes, one broadcast index over them.
     return R.scrub(d.documents.select("doc_id", "text"), ["text"], d.secrets, per_pass=4)
 
 
