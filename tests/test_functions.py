@@ -163,3 +163,36 @@ def test_as_of_forms(spark):
     want = dt.datetime(2024, 1, 31)
     for as_of in (want, "2024-01-31 00:00:00", want.replace(tzinfo=dt.timezone.utc)):
         assert spark.range(1).select(F.unix_seconds(scalars.instant(as_of))).first()[0] == 1706659200
+
+
+def test_ed25519_tables_agree_with_plain_multiples():
+    seed = bytes(range(32))
+    public = ed25519.public_key(seed)
+    assert public == ed25519._pack(ed25519._times(ed25519._secret(seed)[0], ed25519.BASE))
+    numbers = [0, 1, 255, 256, ed25519.ORDER - 1, 2**252 + 12345, int.from_bytes(seed, "big") % ed25519.ORDER]
+    assert [ed25519._pack(ed25519._base().times(n)) for n in numbers] == [ed25519._pack(ed25519._times(n, ed25519.BASE)) for n in numbers]
+    for i in range(3 * ed25519.OFTEN):  # before and after the key has a table
+        message = i.to_bytes(4, "little")
+        signed = ed25519.sign(seed, message, public)
+        assert ed25519._verify_plain(public, message, signed)
+        assert not ed25519._verify_plain(public, message + b"x", signed)
+        assert not ed25519._verify_plain(public, message, signed[:31] + bytes([signed[31] ^ 128]) + signed[32:])
+        assert not ed25519._verify_plain(public, message, signed[:32] + (int.from_bytes(signed[32:], "little") + ed25519.ORDER).to_bytes(32, "little"))
+    assert public in ed25519._tables
+    identity = (1).to_bytes(32, "little")
+    assert ed25519._verify_plain(identity, b"", identity + bytes(32))
+    assert not ed25519._verify_plain(identity, b"", (ed25519.P + 1).to_bytes(32, "little") + bytes(32))  # not the canonical encoding
+
+
+def test_ed25519_is_fast_enough_for_millions():
+    import time
+    seed = bytes(32)
+    public = ed25519.public_key(seed)
+    signed = ed25519.sign(seed, b"m", public)
+    for _ in range(ed25519.OFTEN):
+        ed25519._verify_plain(public, b"m", signed)
+    began = time.process_time()
+    for _ in range(50):
+        ed25519.sign(seed, b"m", public)
+        assert ed25519._verify_plain(public, b"m", signed)
+    assert time.process_time() - began < 50 * 0.003  # 6 ms and more without tables
