@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,33 +13,44 @@ from soundcheck.operators.verdict import failing
 from soundcheck.streaming.run import use_rocksdb
 
 COUNTS = "run_id string, checks long, failed_required long, revision long"
+BUCKETS = 16_384
 
 
 class Counts(StatefulProcessor):
-    """Keyed by run. State is how many results there were, how many of them fail the run, and how often it was told."""
+    """Keyed by bucket of runs. State is, for each run, how many results there were, how many of them fail the run, and how often it was told."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "checks long, failed_required long, revision long")
+        self.counts = handle.getValueState("runs", "runs string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        checks, failed, revision = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        runs = dict(json.loads(self.counts.get()[0])) if self.counts.exists() else {}
+        found: dict[str | None, list[int]] = {}
         for pdf in rows:
-            checks, failed = checks + len(pdf), failed + int(pdf["fails"].sum())
-        self.counts.update((checks, failed, revision + 1))
-        yield pd.DataFrame({"run_id": [key[0]], "checks": [checks], "failed_required": [failed], "revision": [revision + 1]})
+            for run, fails in zip(pdf["run_id"].tolist(), pdf["fails"].tolist()):
+                now = found.setdefault(run if isinstance(run, str) else None, [0, 0])
+                now[0], now[1] = now[0] + 1, now[1] + int(fails)
+        for run, (checks, failed) in found.items():
+            before = runs.get(run, (0, 0, 0))
+            runs[run] = (before[0] + checks, before[1] + failed, before[2] + 1)
+        self.counts.update((json.dumps(list(runs.items())),))
+        told = [runs[run] for run in found]
+        yield pd.DataFrame({"run_id": pd.Series(list(found), dtype="object"), "checks": [t[0] for t in told],
+                            "failed_required": [t[1] for t in told], "revision": [t[2] for t in told]})
 
     def close(self) -> None:
         pass
 
 
-def verdict_stream(results: DataFrame) -> DataFrame:
+def verdict_stream(results: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """run_id, checks, failed_required and revision whenever results of a run arrive; a later revision replaces an earlier one.
 
-    A micro-batch reads its own results only; what came before is two counts per run in the state. Replayed batches count
-    once, as state and output are committed together.
+    A micro-batch reads its own results only; what came before is two counts per run in the state, one state row for each
+    of ``buckets`` buckets of runs, so that a batch makes at most that many calls, however many runs it has. Replayed
+    batches count once, as state and output are committed together. ``buckets`` stays as it is for a checkpoint.
     """
     use_rocksdb(results.sparkSession)
-    return results.select("run_id", failing().alias("fails")).groupBy("run_id").transformWithStateInPandas(
+    return results.select("run_id", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket"), failing().alias("fails")).groupBy(
+        "bucket").transformWithStateInPandas(
         statefulProcessor=Counts(), outputStructType=COUNTS, outputMode="append", timeMode="none")
 
 
