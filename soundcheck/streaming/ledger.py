@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,6 +16,14 @@ from soundcheck.streaming.run import use_rocksdb
 SEQS_PER_KEY = 4096
 LINKS = "tenant_id string, seq bigint, reason string, revision int"
 WAITING, JUDGED, REPEATED = range(3)
+FIELDS = ("seq", "placed", "prev_hash", "entry_hash", "created_at", "timed", "tail")
+
+
+def _plain(values: pd.Series) -> list:
+    """The values of a column, missing texts as None."""
+    if values.dtype != object:
+        return values.tolist()
+    return [v if isinstance(v, (str, bool)) else None for v in values.tolist()]
 
 
 class Links(StatefulProcessor):
@@ -26,7 +35,8 @@ class Links(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         runs = json.loads(self.state.get()[0]) if self.state.exists() else []
         ends, starts = {r["hi"]: r for r in runs}, {r["lo"]: r for r in runs}
-        found = pd.concat(list(rows)).astype(object).where(lambda x: x.notna(), None).to_dict("records")
+        # Lists, since there may be millions of small blocks, and a frame's own conversions cost milliseconds each.
+        found = [dict(zip(FIELDS, e)) for pdf in rows for e in zip(*(_plain(pdf[c]) for c in FIELDS))]
         found.sort(key=lambda e: (e["seq"], e["entry_hash"] is not None, e["entry_hash"] or "", e["created_at"]))
         out = []
         for e in found:
@@ -52,7 +62,9 @@ class Links(StatefulProcessor):
             ends[one["hi"]] = starts[one["lo"]] = one
         self.state.update((json.dumps(list(ends.values())),))
         if out:
-            yield pd.DataFrame(out, columns=["tenant_id", "seq", "reason", "revision"]).astype({"seq": "Int64", "revision": "int32"})
+            tenants, seqs, reasons, revisions = zip(*out)
+            yield pd.DataFrame({"tenant_id": pd.Series(tenants, dtype="object"), "seq": pd.array(seqs, "Int64"),
+                                "reason": pd.Series(reasons, dtype="object"), "revision": np.array(revisions, "int32")})
 
     def close(self) -> None:
         pass
