@@ -446,6 +446,14 @@ def test_near_duplicates_of_chained_families(spark, monkeypatch, size, percent,
     assert 20 < len(set(expected.values())) < len(rows)
 
 
+def test_wide_columns_of_lists_join_when_blocks_are_known(spark, monkeypatch):
+    numbered, plain = [], near_text.over_groups
+    monkeypatch.setattr(near_text, "over_groups", lambda df, *rest: numbered.append(df.columns) or plain(df, *rest))
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(40))) for i in range(40)]
+    near_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).count()
+    assert len(numbered) == 1 and not {"sig", "rare", "posted"} & set(numbered[0])
+
+
 def test_near_duplicates_of_awkward_texts(docs):
     rows = near_text.near_duplicates(docs, 3, 85).collect()
     by = {r.doc_id: r for r in rows}
@@ -559,6 +567,15 @@ def test_pipeline_of_awkward_rows(spark, docs):
         assert stage(spark, none_left(docs), "").count() == 0
 
 
+def test_most_rows_of_the_pipeline_meet_no_verdict_in_a_shuffle(spark):
+    import corpus_pipeline
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(50)] + [(99, " ".join(f"w3x{k}" for k in range(30)))]
+    one = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    stay, *_ = one._jdf.queryExecution().optimizedPlan().toString().split("\n+- ")[0].split("\n:- ")[1:]
+    assert stay.count("Join ") == 1 and "broadcast" in stay
+    assert sorted(r.doc_id for r in one.collect()) == list(range(50))
+
+
 def test_pipeline_keeps_one_row_per_group_of_repeated_and_null_ids(spark):
     import corpus_pipeline
     words = [[f"{t}{i}" for i in range(60)] for t in "abcd"]

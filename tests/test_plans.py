@@ -4,6 +4,7 @@ import soundcheck.catalog  # noqa: F401 - registers the queries
 from soundcheck.catalog.base import QUERIES, Data
 from soundcheck.operators import checks as B
 from soundcheck.operators.registry import Snapshot
+from soundcheck.plans.sizing import may_be_among
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -42,3 +43,14 @@ def test_functions_travel_without_the_package():
     code = "import pickle, sys; fs = pickle.loads(sys.stdin.buffer.read()); assert 'soundcheck' not in sys.modules; print(len(fs))"
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps([_fold, _list]), capture_output=True, cwd="/")
     assert done.stdout.strip() == b"2", done.stderr
+
+
+def test_map_of_keys_holds_every_key_and_few_others(spark):
+    rows = spark.range(4000).selectExpr("if(id = 7, null, struct(id)) AS k", "id", "repeat('x', 50) AS wide")
+    keys = rows.where("id % 10 = 7").select("k")
+    marked = may_be_among(rows, "k", keys)
+    assert marked.columns == ["k", "id", "wide", "_maybe"] and marked.count() == 4000
+    found = {r.id for r in marked.where("_maybe").collect()}
+    assert {i for i in range(4000) if i % 10 == 7} <= found and len(found) < 410
+    assert may_be_among(rows, "k", keys.limit(0)).where("_maybe").count() == 0
+    assert "Exchange hashpartitioning(k" not in marked._jdf.queryExecution().executedPlan().toString()
