@@ -454,6 +454,12 @@ def test_wide_columns_of_lists_join_when_blocks_are_known(spark, monkeypatch):
     assert len(numbered) == 1 and not {"sig", "rare", "posted"} & set(numbered[0])
 
 
+def test_signatures_before_texts_without_words_keep_their_length(spark):
+    rows = [(1, "a b c d"), (2, None), (3, " "), (4, "e f g"), (5, "")]
+    signed = near_text.signatures(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 32).collect()
+    assert {r.doc_id: r.sig and len(r.sig) for r in signed} == {1: 32, 2: None, 3: None, 4: 32, 5: None}
+
+
 def test_near_duplicates_of_awkward_texts(docs):
     rows = near_text.near_duplicates(docs, 3, 85).collect()
     by = {r.doc_id: r for r in rows}
