@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from soundcheck.llm.text import chunks, remember
-from soundcheck.session import materialise
+from soundcheck.session import in_small_batches, materialise
 
 CAPACITY = 1024
 TEXTS_AT_ONCE = 128
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
     several equally long pieces takes which slot follows the order of tasks. An empty table gives no
     rows. Only the two named columns are read.
     """
-    made = materialise(pieces(docs, file_encoder(tokenizer), end_id, capacity, id_col, text_col, with_ids), "pieces")
+    made = materialise(pieces(in_small_batches(docs), file_encoder(tokenizer), end_id, capacity, id_col, text_col, with_ids), "pieces")
     counts = made.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

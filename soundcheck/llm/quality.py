@@ -13,7 +13,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from soundcheck.session import materialise
+from soundcheck.session import in_small_batches, materialise
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "#*$%&|<>"
@@ -99,7 +99,7 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", kee
     Rows without a host are judged on their own text alone. Repeated rows count as often as they
     occur. The columns of ``docs`` stay inside ``row``, so their names never clash.
     """
-    measured = materialise(docs.select(
+    measured = materialise(in_small_batches(docs).select(
         F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(host_col).cast("string").alias("host"),
         measures(F.col(text_col)).alias("m")).select("row", "host", "m.*"), "quality")
     judged = measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as vocabularies
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -23,6 +24,7 @@ from soundcheck.llm import (byte_bpe, chat, id_files, katz, language, near_text,
                             text as cutting, token_counts)
 from soundcheck.llm.components import components, forest  # noqa: E402
 from soundcheck.llm.queries import QUERIES  # noqa: E402
+from soundcheck.session import BATCH_BYTES, BATCH_LIMIT, READ_LIMIT, READ_ROWS  # noqa: E402
 
 RANKS, FILE, WORDS = (vocabularies.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 ENCODERS = {p: packing.file_encoder(p)() for p in (FILE, WORDS)}
@@ -532,6 +534,28 @@ def test_chats_run_no_python(spark, folder):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("operate", [
+    quality.judge, lambda docs: language.identify(docs, language.Model({"en": b"some words of it"}, 0.1)),
+    near_text.near_duplicates, lambda docs: packing.pack(docs, FILE)], ids=["judge", "identify", "near_duplicates", "pack"])
+def test_whole_texts_reach_python_in_small_batches(spark, operate):
+    for limit in (BATCH_LIMIT, READ_LIMIT):
+        spark.conf.unset(limit)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"), F.lit("a").alias("source"))
+    operate(docs)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    found = docs.mapInArrow(held, "n long, bytes long").collect()
+    assert sum(r["n"] for r in found) == 3000 and max(r["bytes"] for r in found) < 1.1 * BATCH_BYTES
+    assert spark.conf.get(READ_LIMIT) == str(READ_ROWS)
+    spark.conf.set(BATCH_LIMIT, "1m")
+    operate(docs)
+    assert spark.conf.get(BATCH_LIMIT) == "1m"  # who uses the session decides
+    spark.conf.unset(BATCH_LIMIT)
+
+
 # Pipeline
 
 def test_pipeline_equals_its_plain_form(spark):
