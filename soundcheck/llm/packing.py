@@ -35,9 +35,12 @@ LOWER_WORDS = {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Slots (length, first rank, past the last rank, sequence of the first rank, offset).
+    """Slots (length, first rank, past the last rank, sequence of the first rank, offset): by best fit, or by first fit where that needs fewer sequences."""
+    return min(best_fit(histogram, capacity), first_fit(histogram, capacity), key=lambda slots: max((s + b - a for _, a, b, s, _ in slots), default=0))
 
-    Longest pieces first; each goes to the fullest sequence that still holds it. Sequences with equal
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Longest pieces first; each goes to the fullest sequence that still holds it. Sequences with equal
     free space are one group, so the work depends on the lengths that occur, not on the pieces.
     """
     free: dict[int, list[tuple[int, int]]] = {r: [] for r in range(capacity + 1)}  # free space -> (first sequence, how many)
@@ -61,6 +64,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return slots
 
 
+def first_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Longest pieces first; each goes to the first sequence that still holds it. Neighbours with equal free space are one run."""
+    runs: list[tuple[int, int, int]] = []  # first sequence, how many, free space
+    slots, sequences = [], 0
+    for length in sorted(histogram, reverse=True):
+        rank, left, after = 0, histogram[length], []
+        runs.append((sequences, -(-left // (capacity // length)), capacity))
+        for first, n, space in runs:
+            each = space // length
+            while n and each and left:
+                used, each = (min(n, left // each), each) if left >= each else (1, left)
+                for k in range(each):
+                    slots.append((length, rank, rank + used, first, capacity - space + k * length))
+                    rank += used
+                after.append((first, used, space - each * length))
+                first, n, left = first + used, n - used, left - used * each
+            if n and space < capacity:
+                after.append((first, n, space))
+        runs = after
+        sequences = max((first + n for first, n, _ in runs), default=0)
+    return slots
+
+
 def cut(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens: full ones, but for the first."""
     start, first = 0, n % capacity or min(n, capacity)

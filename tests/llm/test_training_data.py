@@ -206,6 +206,12 @@ def test_plan_places_every_piece_once_and_needs_no_more_than_first_fit(histogram
     assert len(held) <= len(free)
 
 
+def test_plan_takes_first_fit_where_best_fit_needs_more():
+    histogram = {1: 1, 5: 1, 25: 2, 40: 2, 2: 1, 7: 19, 8: 6}
+    used = [len({s + k for _, a, b, s, _ in how(histogram, 64) for k in range(b - a)}) for how in (packing.best_fit, packing.first_fit, packing.plan)]
+    assert used == [6, 5, 5]
+
+
 def test_pack(docs):
     rows = packing.pack(docs, FILE, with_ids=True).collect()
     expected = Counter(tuple(ids_of(FILE, t) + [2]) for _, t, *_ in AWKWARD)
