@@ -18,16 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from soundcheck.llm.text import MIX, word_hashes
+from soundcheck.llm.text import MIX
 from soundcheck.session import materialise
 
 TOKENS_PER_CHUNK = 2_000_000
-TEXTS_AT_ONCE = 64
+TEXTS_AT_ONCE = 512
 DISCOUNTED = 5  # counts up to this are discounted
 RESERVE = 0.5  # of a count, kept by every history for words that never followed it
 HOT = 4  # a history with more than 1 / (HOT * parts) of all tokens is divided
@@ -56,6 +57,28 @@ def mixed(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
     return a
 
 
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of some texts and of the end, which of them each token is, and where each text's tokens end."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    at = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+    pieces = parts.flatten().dictionary_encode()
+    words = pieces.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    codes = np.insert(pieces.indices.to_numpy().astype(np.int64), at[1:], len(words))
+    at = at + np.arange(len(at))
+    empty = [i for i, w in enumerate(words) if not w]  # before and after blanks at the ends of a text
+    if empty:
+        left = codes != empty[0]
+        codes, at = codes[left], np.concatenate([[0], np.cumsum(left)])[at]
+    return np.append(hashes, np.uint64(END)), codes, at[1:]
+
+
+def by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their part, and where each part begins among them."""
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))])
+
+
 def cut_into_chunks(docs: DataFrame, tokens_per_chunk: int) -> DataFrame:
     """chunk, doc_ids, learned, lengths, words (distinct hashes, sorted), tokens (places in words)."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -63,24 +86,33 @@ def cut_into_chunks(docs: DataFrame, tokens_per_chunk: int) -> DataFrame:
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, n, held, hashes, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
-            words, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+            every, codes = np.concatenate(hashes), np.concatenate([h[2] for h in held])
+            used = np.zeros(len(every), bool)
+            used[codes] = True
+            words, place = np.unique(every[used], return_inverse=True)
+            at = np.zeros(len(every), np.uint32)
+            at[used] = place
             columns = [[(task << 32) + n], [[h[0] for h in held]], [[h[1] for h in held]], [[len(h[2]) for h in held]],
-                       [squeeze(words)], [squeeze(tokens.astype(np.uint32))]]
+                       [squeeze(words)], [squeeze(at[codes])]]
             types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
                                               names=["chunk", "doc_ids", "learned", "lengths", "words", "tokens"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                for doc, learned, text in zip(*(c.to_pylist() for c in batch.slice(i, TEXTS_AT_ONCE).columns)):
-                    held.append((doc, learned, np.append(word_hashes(text), np.uint64(END))))
-                    size += len(held[-1][2])
+                part = batch.slice(i, TEXTS_AT_ONCE)
+                own, codes, ends = hashed_words(part.column(2))
+                hashes.append(own)
+                base, start = sum(map(len, hashes[:-1])), 0
+                for doc, learned, end in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ends.tolist()):
+                    held.append((doc, learned, codes[start:end] + base))
+                    size, start = size + end - start, end
                     if size >= tokens_per_chunk:
                         yield flush()
-                        held, size, n = [], 0, n + 1
+                        held, hashes, base, size, n = [], [own], 0, 0, n + 1
         if held:
             yield flush()
 
@@ -98,8 +130,9 @@ def ask_words(parts: int):
             for row in batch.to_pylist():
                 words, tokens = expand(row["words"], np.uint64), expand(row["tokens"], np.uint32)
                 counts = np.bincount(tokens[in_training(row)], minlength=len(words)).astype(np.int64)
-                part = words % np.uint64(parts)
-                out = [(int(p), row["chunk"], squeeze(words[part == p]), squeeze(counts[part == p])) for p in np.unique(part)]
+                order, begin = by_part(words % np.uint64(parts), parts)
+                out = [(p, row["chunk"], squeeze(words[order[a:b]]), squeeze(counts[order[a:b]]))
+                       for p, (a, b) in enumerate(zip(begin.tolist(), begin[1:].tolist())) if a < b]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                                                  names=["part", "chunk", "words", "counts"])
     return ask
@@ -129,36 +162,52 @@ def answer_words(parts: int, total: int):
 def chunk_pairs(row: dict, words: list[dict], parts: int, hot: np.ndarray):
     """The distinct pairs of a chunk and who answers them.
 
-    Returns the tokens' word places, word counts, tokens' pair places, and for each pair: history
-    (number, count), word place, word number, count in training, part.
+    Returns the tokens' word places, word counts, the tokens in order of their pairs, where each pair begins among them, and
+    for each pair: history (number, count), word place, word number, part.
     """
     hashes, tokens = expand(row["words"], np.uint64), expand(row["tokens"], np.uint32).astype(np.int64)
-    numbers, counts, part = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64), hashes % np.uint64(parts)
+    numbers, counts = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+    order, begin = by_part(hashes % np.uint64(parts), parts)
     for w in words:
-        numbers[part == w["part"]], counts[part == w["part"]] = expand(w["numbers"], np.int64), expand(w["counts"], np.int64)
-    width = np.int64(len(hashes) + 1)
-    history = np.concatenate([[0], tokens[:-1] + 1])
-    history[np.cumsum([0, *row["lengths"][:-1]])] = 0  # 0: the start
-    keys = history * width + tokens
-    order = np.sort(keys * 2 + in_training(row))
-    pairs, first = np.unique(order >> 1, return_index=True)
-    trained = np.add.reduceat(order & 1, first)
-    h, w = pairs // width - 1, pairs % width
+        own = order[begin[w["part"]]:begin[w["part"] + 1]]
+        numbers[own], counts[own] = expand(w["numbers"], np.int64), expand(w["counts"], np.int64)
+    width = len(hashes) + 1
+    keys = np.empty(len(tokens), np.int64)
+    keys[0], keys[1:] = 0, tokens[:-1] + 1
+    keys[np.cumsum([0, *row["lengths"][:-1]])] = 0  # 0: the start
+    keys *= width
+    keys += tokens
+    bits = len(tokens).bit_length()
+    if width * width < 1 << (63 - bits):  # values sort faster than places
+        keys <<= bits
+        keys |= np.arange(len(tokens))
+        keys.sort()
+        order = keys & ((1 << bits) - 1)
+        keys >>= bits
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    h, w = np.divmod(keys[first], width)
+    h -= 1
     h_number = np.where(h < 0, START, numbers[h])
     spread = np.isin(h_number, hot)
     to = np.where(spread, mixed(h_number, numbers[w]), mixed(h_number)) % np.uint64(parts)
-    return tokens, counts, np.searchsorted(pairs, keys), h_number, np.where(h < 0, -1, counts[h]), w, numbers[w], trained, to
+    return tokens, counts, order, first, h_number, np.where(h < 0, -1, counts[h]), w, numbers[w], to
 
 
 def ask_pairs(parts: int, hot: np.ndarray):
     def ask(chunk: pa.Table, words: pa.Table) -> pa.Table:
         out = []
         for row in chunk.to_pylist():
-            _, counts, _, h, _, w, number, trained, to = chunk_pairs(row, words.to_pylist(), parts, hot)
-            order = np.argsort(to, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                out.append((int(to[own[0]]), row["chunk"], squeeze(h[own]), squeeze(number[own]), squeeze(trained[own].astype(np.uint32)),
-                            squeeze(counts[w[own]])))
+            _, counts, order, first, h, _, w, number, to = chunk_pairs(row, words.to_pylist(), parts, hot)
+            trained = np.add.reduceat(in_training(row)[order].astype(np.uint32), first)
+            order, begin = by_part(to, parts)
+            for p, (a, b) in enumerate(zip(begin.tolist(), begin[1:].tolist())):
+                if a < b:
+                    own = order[a:b]
+                    out.append((p, row["chunk"], squeeze(h[own]), squeeze(number[own]), squeeze(trained[own].astype(np.uint32)),
+                                squeeze(counts[w[own]])))
         names = ["part", "chunk", "h", "w", "trained", "count"]
         types = [pa.int32(), pa.int64()] + [pa.binary()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names) if out else pa.table(
@@ -177,7 +226,8 @@ def answer_pairs(hot: np.ndarray, total: int, distinct: int):
         rows = table.to_pylist()
         h, w, trained, count = (np.concatenate([expand(r[c], t) for r in rows]) for c, t in
                                 (("h", np.int64), ("w", np.int64), ("trained", np.uint32), ("count", np.int64)))
-        order = np.lexsort((w, h))
+        width = int(w.max()) + 1
+        order = np.argsort((h + 1) * width + w) if (int(h.max()) + 2) * width < 1 << 63 else np.lexsort((w, h))
         starts = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)]))
         sums = np.add.reduceat(trained[order].astype(np.int64), starts)
         each = np.empty(len(h), np.int64)
@@ -233,25 +283,30 @@ def score_chunks(parts: int, hot: np.ndarray, hot_low: np.ndarray, hot_share: np
         words, pairs = [r for r in rows if r["numbers"] is not None], [r for r in rows if r["numbers"] is None]
         out = []
         for row in chunk.to_pylist():
-            tokens, counts, place, h, h_count, w, _, _, to = chunk_pairs(row, words, parts, hot)
+            tokens, counts, order, first, h, h_count, w, _, to = chunk_pairs(row, words, parts, hot)
             h_count = np.where(h == START, texts, h_count)
-            times, low, share = np.zeros(len(h), np.int64), np.zeros((len(h), DISCOUNTED), np.int64), np.zeros(len(h))
+            times = np.zeros(len(h), np.int64)
+            asked, begin = by_part(to, parts)
             for a in pairs:
-                own = to == a["part"]
-                times[own] = expand(a["pair_counts"], np.int64)
-                wanted = expand(a["h"], np.int64)
-                if len(wanted):
-                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    fill = own & (wanted[at] == h) & (times == 0)
-                    low[fill], share[fill] = expand(a["low"], np.int64).reshape(-1, DISCOUNTED)[at[fill]], expand(a["share"], np.float64)[at[fill]]
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                fill = hot[at] == h
-                low[fill], share[fill] = hot_low[at[fill]], hot_share[at[fill]]
+                times[asked[begin[a["part"]]:begin[a["part"] + 1]]] = expand(a["pair_counts"], np.int64)
+            unseen = np.flatnonzero(times == 0)
+            low, share, own = np.zeros((len(unseen), DISCOUNTED), np.int64), np.zeros(len(unseen)), h[unseen]
+            # A history that is not divided has one part; the sums of the others replace what several parts sent.
+            wanted = np.concatenate([expand(a["h"], np.int64) for a in pairs])
+            for known, known_low, known_share in (
+                    (wanted, np.concatenate([expand(a["low"], np.int64).reshape(-1, DISCOUNTED) for a in pairs]),
+                     np.concatenate([expand(a["share"], np.float64) for a in pairs])), (hot, hot_low, hot_share)):
+                if len(known) and len(own):
+                    sort = np.argsort(known)
+                    at = np.minimum(np.searchsorted(known, own, sorter=sort), len(known) - 1)
+                    fill = known[sort[at]] == own
+                    low[fill], share[fill] = known_low[sort[at[fill]]], known_share[sort[at[fill]]]
             word = np.log10(smoothed(counts, total, distinct))
-            followed = np.log10(d[np.minimum(times, DISCOUNTED + 1)] * np.maximum(times, 1) / (h_count + RESERVE))
-            weight = np.log10((RESERVE + low @ left_off) / (h_count + RESERVE) / (1 - share))
-            logs = np.where(times > 0, followed, np.where(h_count > 0, weight, 0.0) + word[w])
+            logs = np.log10(d[np.minimum(times, DISCOUNTED + 1)] * np.maximum(times, 1) / (h_count + RESERVE))
+            weight = np.log10((RESERVE + low @ left_off) / (h_count[unseen] + RESERVE) / (1 - share))
+            logs[unseen] = np.where(h_count[unseen] > 0, weight, 0.0) + word[w[unseen]]
+            each = np.empty(len(tokens))
+            each[order] = np.repeat(logs, np.diff(first, append=len(tokens)))
             starts = np.cumsum([0, *row["lengths"][:-1]])
             out.append(pa.table({
                 "doc_id": pa.array(row["doc_ids"], id_type), "held_out": pa.array(~np.array(row["learned"], bool)),
@@ -259,7 +314,7 @@ def score_chunks(parts: int, hot: np.ndarray, hot_low: np.ndarray, hot_share: np
                 "n_known": pa.array(np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts)),
                 "train_tokens": pa.array([total] * len(starts), pa.int64()),
                 "base_score": pa.array(np.add.reduceat(word[tokens], starts)),
-                "score": pa.array(np.add.reduceat(logs[place], starts))}))
+                "score": pa.array(np.add.reduceat(each, starts))}))
         return pa.concat_tables(out)
     return score
 

@@ -399,6 +399,39 @@ def test_scores_equal_the_plain_model_for_any_chunks(spark, folder):
         assert sum(given_(w, h) for w in vocabulary + [b"never seen"]) == pytest.approx(1, abs=1e-9)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aAbÀé日 \t\n\x0b\x0c\r\x1c\x85\xa0"), max_size=15)), min_size=1, max_size=6), st.integers(0, 2))
+def test_words_hashed_together_are_those_of_each_text(texts, skip):
+    hashes, codes, ends = katz.hashed_words(pa.array([None] * skip + texts, pa.string()).slice(skip))
+    got = [hashes[x].tolist() for x in np.split(codes, ends)]
+    assert got == [cutting.word_hashes(t).tolist() + [katz.END] for t in texts] + [[]]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 70_000])
+def test_pairs_of_a_chunk_are_found_by_one_sort(parts, monkeypatch):
+    """No token is searched for among the pairs, and no part takes a pass over all words: both were most of the work."""
+    rnd = np.random.default_rng(4)
+    hashes, lengths = np.unique(rnd.integers(0, 2**63, 400, dtype=np.uint64)), [3000, 1, 999]
+    tokens = rnd.integers(0, len(hashes), sum(lengths)).astype(np.uint32)
+    part, words = hashes % np.uint64(parts), []
+    for p in np.unique(part):
+        own = np.flatnonzero(part == p)
+        words.append({"part": int(p), "numbers": katz.squeeze(own * parts), "counts": katz.squeeze(own + 5)})
+    row = {"words": katz.squeeze(hashes), "tokens": katz.squeeze(tokens), "lengths": lengths, "learned": [True, False, True], "chunk": 0}
+    with monkeypatch.context() as m:
+        m.setattr(np, "searchsorted", None)
+        got, counts, order, first, h, h_count, w, number, to = katz.chunk_pairs(row, words, parts, np.array([katz.START, 3 * parts]))
+    starts = {0, 3000, 3001}
+    want = [(katz.START if i in starts else int(tokens[i - 1]) * parts, int(tokens[i]) * parts) for i in range(len(tokens))]
+    pairs = list(zip(h.tolist(), number.tolist()))
+    assert got.tolist() == tokens.tolist() and len(pairs) == len(set(pairs))
+    each = np.empty(len(tokens), np.int64)
+    each[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(tokens)))
+    assert [pairs[i] for i in each] == want
+    assert counts.tolist() == list(range(5, len(hashes) + 5)) and (number == w * parts).all() and ((h < 0) == (h_count == -1)).all()
+    assert all(len(set(to[h == x].tolist())) == 1 for x in set(h.tolist()) - {katz.START, 3 * parts}) and to.max() < parts
+
+
 def test_scores_of_awkward_texts(docs):
     rows = katz.score_texts(docs, F.lit(True)).collect()
     assert len(rows) == len(AWKWARD) and sum(r.n_tokens for r in rows) == rows[0].train_tokens
