@@ -16,18 +16,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from soundcheck.llm.text import chunks, remember
+from soundcheck.llm.text import AT_ONCE, REMEMBERED, chunks
 from soundcheck.session import in_small_batches, materialise
 
 CAPACITY = 1024
-TEXTS_AT_ONCE = 128
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 128, 6 << 20  # texts are encoded some MB at a time, so that most of their words are looked up once
 END_ID = 2
+WORD_END, CHUNK_END = "\x01", "\x02"  # not among the characters of LATIN
 # Characters on which all libraries agree: no two forms of a letter, no special case of lower-casing.
 LATIN = re.compile(r"[\t\n\r -~\u00c0-\u012f\u0131-\u017e\u0180-\u01c3\u01cd-\u024f]*").fullmatch
-ONE_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u0180-\u01c3\u01cd-\u024f]+").fullmatch
+# Words of them, each after one blank.
+BLANK_WORDS = re.compile(r"(?: [!-~\u00c0-\u012f\u0131-\u017e\u0180-\u01c3\u01cd-\u024f]+)*").fullmatch
 # How the two kinds of files cut words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOWER_WORDS = {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -124,11 +127,15 @@ def file_encoder(path: str) -> Callable[[], tuple[Callable[[str], list[str]], Ca
             return [c for part in between(text) for c in ([part] if part in names else chunks(part))]
 
         def encode(parts: list[str]) -> list[bytes]:
-            found = {p: fast(p) for p in parts if LATIN(p) and p not in names} if fast else {}
+            plain = [] if not fast else parts if LATIN("".join(parts)) and names.isdisjoint(parts) else [p for p in parts if LATIN(p) and p not in names]
+            found = dict(zip(plain, fast(plain)))
+            if len(plain) == len(parts):
+                return [found[p] for p in parts]
             rest = [p for p in parts if p not in found]
             found.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(rest, add_special_tokens=False))))
             return [found[p] for p in parts]
 
+        cut_text.names = names
         return cut_text, encode
 
     return load
@@ -141,12 +148,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-def by_ranks(file: dict) -> Callable[[str], bytes] | None:
-    """The encoder of plain Latin chunks for the two kinds of files it is sure of, else None.
+def by_ranks(file: dict) -> Callable[[list[str]], list[bytes]] | None:
+    """The encoder of lists of plain Latin chunks for the two kinds of files it is sure of, else None.
 
     A token's id is its rank: merging the pair with the smallest id of the joined token, again and again, is what the
-    list of merges says. A word's end is a byte that no text has; it joins the last byte first, as those tokens
-    come before all other merges.
+    list of merges says. A word's end is a byte that no such chunk has; it joins the last byte first, as those tokens
+    come before all other merges. Chunks are merged in one call for all of them: where each is a word after a blank, its first
+    token is the one that begins with a blank; where words have an end, another such byte stands between chunks.
     """
     import regex
     import tiktoken
@@ -158,53 +166,168 @@ def by_ranks(file: dict) -> Callable[[str], bytes] | None:
     ids = [model["vocab"].get(a + b, -1) for a, b in merged]
     if not plain or ids != list(range(len(model["vocab"]) - len(merged), len(model["vocab"]))) or len(model["vocab"]) - len(merged) != (512 if suffix else 256):
         return None
-    end = b"\xff" if suffix else b""
     ranks = {}
     for token, i in model["vocab"].items():
         ended = bool(suffix) and token.endswith(suffix)
-        ranks[bytes(letters[c] for c in (token[:-len(suffix)] if ended else token)) + (end if ended else b"")] = i
+        spelt = bytes(letters[c] for c in (token[:-len(suffix)] if ended else token))
+        if not (suffix and (WORD_END.encode() in spelt or CHUNK_END.encode() in spelt)):
+            ranks[spelt + (WORD_END.encode() if ended else b"")] = i
     if not suffix and before is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-        pattern, normal = WORDS, lambda s: s
+        words = WORDS.removesuffix(r"|\s+(?!\S)|\s+")
     elif suffix and before == LOWER_WORDS["normalizer"] and [p | {"behavior": 0} if p["type"] == "Split" else p["type"] for p in pre.get("pretokenizers", ())] == [
             LOWER_WORDS["split"] | {"behavior": 0}, "ByteLevel"]:
-        pattern, normal = LOWER_WORDS["split"]["pattern"]["Regex"], str.lower
+        words = f"[^{WORD_END}]*{WORD_END}"
+        between = len(model["vocab"])
+        ranks |= {WORD_END.encode(): between + 1, (CHUNK_END + WORD_END).encode(): between}  # a byte by itself must have a rank; it never stays alone
     else:
         return None
-    if suffix:
-        ranks |= {b"\xff": len(ranks)}  # a byte by itself must have a rank; it never stays alone
-    merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-    cut = regex.compile(pattern).findall
-
-    def encode(chunk: str) -> bytes:
-        if ONE_WORD(chunk):
-            return array("I", merge((normal(chunk).lstrip() if suffix else chunk).encode() + end)).tobytes()
-        return array("I", [i for word in cut(normal(chunk)) for i in merge(word.encode() + end)]).tobytes()
+    merge = tiktoken.Encoding("ranks", pat_str=words, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    cut = regex.compile(f"{CHUNK_END}|" + LOWER_WORDS["split"]["pattern"]["Regex"].replace(r"[^\s", rf"[^\s{CHUNK_END}") if suffix else WORDS).findall
+    blank = np.zeros(len(model["vocab"]), bool)
+    blank[[i for token, i in ranks.items() if token.startswith(b" ") and not suffix]] = True
+
+    def after_blanks(chunks: list[str]) -> list[bytes]:
+        text = "".join(chunks)
+        if text.count(" ") == len(chunks) and BLANK_WORDS(text):
+            ids = merge(text)
+            return divided(ids, np.append(np.flatnonzero(blank[ids])[1:], len(ids)))
+        plain = [c for c in chunks if BLANK_WORDS(c) and c.count(" ") == 1]
+        found = dict(zip(plain, after_blanks(plain))) if plain else {}
+        return [found[c] if c in found else array("I", [i for word in cut(c) for i in piece(word.encode())]).tobytes() for c in chunks]
+
+    def lowered(chunks: list[str]) -> list[bytes]:
+        text = WORD_END.join(cut("".join([c + CHUNK_END for c in chunks]).lower()))
+        ids = merge(text + WORD_END)
+        ends = np.flatnonzero(ids == between)
+        return divided(ids[ids != between], ends - np.arange(len(ends)))
+
+    def divided(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        return (lowered if suffix else after_blanks)(chunks) if chunks else []
 
     return encode
 
 
+class Spelling:
+    """What a task remembers of encoded chunks: the ids of all of them, end to end, and a number for each that tells where they are."""
+
+    def __init__(self, load, end_id: int):
+        self.cut_text, self.encode = load()
+        self.spanning = [n for n in self.cut_text.names if " " in n]
+        self.end_id = end_id
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks: dict[str, int] = {}
+        self.after_blank: dict[str, int] = {}  # words after one blank; -1: the text must be cut as a whole
+        self.ids, self.used = np.array([self.end_id] * AT_ONCE, np.uint32), 1  # number 0 is the end of a text
+        self.starts, self.sizes, self.known = np.zeros(AT_ONCE, np.int64), np.ones(AT_ONCE, np.int64), 1
+
+    def add(self, known: dict[str, int], keys: list[str], chunks: list[str]) -> None:
+        for i in range(0, len(chunks), AT_ONCE):
+            found = self.encode(chunks[i:i + AT_ONCE])
+            ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            known.update(zip(keys[i:i + AT_ONCE], range(self.known, self.known + len(found))))
+            self.ids = self.longer(self.ids, self.used + len(ids))
+            self.starts, self.sizes = (self.longer(x, self.known + len(found)) for x in (self.starts, self.sizes))
+            self.ids[self.used:self.used + len(ids)] = ids
+            self.sizes[self.known:self.known + len(found)] = sizes
+            self.starts[self.known:self.known + len(found)] = self.used + np.cumsum(sizes) - sizes
+            self.used, self.known = self.used + len(ids), self.known + len(found)
+
+    @staticmethod
+    def longer(values: np.ndarray, n: int) -> np.ndarray:
+        return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
+
+    def of_chunks(self, chunks: list[str]) -> list[int]:
+        new = list({c for c in chunks if c not in self.chunks})
+        self.add(self.chunks, new, new)
+        return list(map(self.chunks.__getitem__, chunks))
+
+    def of_words(self, words: list[str]) -> list[int]:
+        """Of distinct words after one blank each."""
+        numbers = list(map(self.after_blank.get, words))
+        new = [w for w, n in zip(words, numbers) if n is None]
+        if not new:
+            return numbers
+        whole = [" " + w for w in new]
+        if self.cut_text("x" + "".join(whole)) != ["x", *whole]:
+            good = [w for w, c in zip(new, whole) if self.cut_text("x" + c) == ["x", c]]
+            self.after_blank.update(dict.fromkeys(new, -1))
+            new, whole = good, [" " + w for w in good]
+        self.add(self.after_blank, new, whole)
+        return list(map(self.after_blank.__getitem__, words))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none) and their ends, end to end, and how many each text has."""
+        if len(self.chunks) + len(self.after_blank) > REMEMBERED:
+            self.forget()
+        texts = texts.fill_null("")
+        parts = pc.split_pattern(texts, " ")
+        at = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        words = parts.flatten().dictionary_encode()
+        codes, words = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+        first = np.zeros(len(codes), bool)
+        first[at[:-1]] = True
+        after = np.zeros(len(words), bool)
+        after[codes[~first]] = True
+        of_word = np.zeros(len(words), np.int64)
+        of_word[after] = self.of_words(words[after].tolist())
+        numbers, begin = of_word[codes], words[codes[first]].tolist()
+        numbers[first] = self.of_chunks(begin)
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(at, np.flatnonzero(numbers < 0), "right") - 1] = True
+        for name in self.cut_text.names:
+            if name in self.spanning or any(name in b for b in begin):
+                whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        if whole.any():
+            rows = [numbers[a:b] for a, b in zip(at[:-1], at[1:])]
+            for i in np.flatnonzero(whole).tolist():
+                rows[i] = np.array(self.of_chunks(self.cut_text(texts[i].as_py())), np.int64)
+            numbers, at = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        numbers = np.insert(numbers, at[1:], 0)
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[at[1:] + np.arange(len(texts))], prepend=0)
+
+
+def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BYTES_AT_ONCE, or of TEXTS_AT_ONCE longer ones."""
+    held, size = [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            held.append(batch.slice(i, TEXTS_AT_ONCE))
+            size += held[-1].nbytes
+            if size >= BYTES_AT_ONCE:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pieces(docs: DataFrame, load, end_id: int, capacity: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids] and where it was made: block (task) and nth of its length there."""
-    end = np.array([end_id], "<u4").tobytes()
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, " \
              "block int, nth long" + ", ids binary" * with_ids
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (cut_text, encode), known, seen, block = load(), {}, Counter(), TaskContext.get().partitionId()
-        for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(i, TEXTS_AT_ONCE)
-                texts = [cut_text(t or "") for t in part.column(1).to_pylist()]
-                remember(texts, encode, known)
-                rows = []
-                for doc, found in zip(part.column(0).to_pylist(), texts):
-                    ids = b"".join(map(known.__getitem__, found)) + end
-                    for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        own = ids[4 * start:4 * (start + length)]
-                        rows.append((doc, k, start, length, zlib.crc32(own), block, seen[length]) + ((own,) if with_ids else ()))
-                        seen[length] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        spelling, seen, block = Spelling(load, end_id), Counter(), TaskContext.get().partitionId()
+        for part in in_groups(batches):
+            ids, lengths = spelling.texts(part.column(1))
+            ids, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
+            for doc, n in zip(part.column(0).to_pylist(), lengths.tolist()):
+                for k, (start, length) in enumerate(cut(n, capacity)):
+                    own = ids[4 * (at + start):4 * (at + start + length)]
+                    rows.append((doc, k, start, length, zlib.crc32(own), block, seen[length]) + ((bytes(own),) if with_ids else ()))
+                    seen[length] += 1
+                at += n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "nth"] + ["ids"] * with_ids

@@ -166,6 +166,51 @@ def test_strings_of_special_tokens_are_those_tokens(text, path):
     assert [i for c in cut_text(text) for i in np.frombuffer(encode([c])[0], "<u4").tolist()] == want
 
 
+ODD = st.text(st.one_of(st.sampled_from("abcdeionst TH'éÀßſŁđžǅ\n\t.,-<|>_`~ĳ0123µª日\x01\x02\x1c\xa0"), st.characters(exclude_categories=["Cs"])), max_size=60)
+SPELLINGS = {p: packing.Spelling(packing.file_encoder(p), 7) for p in (FILE, WORDS)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), ODD, st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "word", "Word.", "it's", "日本", " x", "x "]), max_size=12).map("".join)),
+                min_size=1, max_size=6), st.sampled_from([FILE, WORDS]), st.integers(0, 2))
+def test_texts_spelt_together_equal_the_library(texts, path, skip):
+    for spelling in (SPELLINGS[path], packing.Spelling(lambda: ENCODERS[path], 7)):
+        ids, sizes = spelling.texts(pa.array([None] * skip + texts, pa.string()).slice(skip))
+        assert np.split(ids, np.cumsum(sizes))[-1].size == 0 and [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [ids_of(path, t) + [7] for t in texts]
+
+
+@pytest.mark.parametrize("path", [FILE, WORDS])
+def test_a_word_is_looked_up_and_encoded_once_for_many_texts(path):
+    cut_text, encode = ENCODERS[path]
+    asked, cuts = [], []
+
+    def own_cut(text):
+        cuts.append(len(text))
+        return cut_text(text)
+
+    own_cut.names = cut_text.names
+    spelling = packing.Spelling(lambda: (own_cut, lambda parts: asked.extend(parts) or encode(parts)), 7)
+    texts = ["Some words " * 50 + f"and number {i}." for i in range(300)]
+    for _ in range(2):
+        ids, _ = spelling.texts(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in ids_of(path, t) + [7]]
+    assert len(asked) == len(set(asked)) < 310 and sum(cuts) < sum(map(len, texts)) // 20
+    before = packing.REMEMBERED
+    try:
+        packing.REMEMBERED = 100
+        assert spelling.texts(pa.array(texts))[0].tolist() == ids.tolist() and spelling.texts(pa.array(["a b"]))[0].tolist() == ids_of(path, "a b") + [7]
+        assert len(spelling.after_blank) == 1
+    finally:
+        packing.REMEMBERED = before
+
+
+def test_texts_are_encoded_some_megabytes_at_a_time():
+    rows = pa.record_batch([pa.array(range(9000)), pa.array(["x" * 2000] * 9000)], names=["doc_id", "text"])
+    groups = list(packing.in_groups(iter([rows.slice(0, 700), rows.slice(700)])))
+    assert [i for g in groups for i in g.column(0).to_pylist()] == list(range(9000)) and len(groups) < 6
+    assert max(g.nbytes for g in groups) < 1.2 * packing.BYTES_AT_ONCE and list(packing.in_groups(iter([]))) == []
+
+
 def test_other_tokenizer_files_are_left_to_the_library():
     import json
     with open(FILE) as file:
