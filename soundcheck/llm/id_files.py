@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from soundcheck.llm.packing import file_encoder
-from soundcheck.llm.text import remember
+from soundcheck.llm.packing import Spelling, file_encoder, in_groups
 from soundcheck.session import materialise
 
 BLOCK_IDS = 8192  # at most; a small segment has shorter blocks, so that many are coded side by side
 LEAST_BLOCK_IDS, BLOCKS = 1024, 512
 SEGMENT_IDS = 8_000_000  # a segment ends with the document that reaches this
-TEXTS_AT_ONCE = 128
 END_ID = 1
 MAGIC = b"IDS2"
 COUNTED = 1 << 22  # ids below are counted in an array, others by sorting
@@ -46,9 +44,10 @@ class Table:
     """Order 0: distinct ids in order, and frequencies, at least one each, that sum to 2 ** ``bits``."""
 
     def __init__(self, distinct: np.ndarray, freq: np.ndarray):
-        self.distinct, self.freq = distinct, freq.astype(np.int64)
-        ends = np.cumsum(self.freq)
-        self.start, self.bits = ends - self.freq, int(ends[-1]).bit_length() - 1
+        ends = np.cumsum(freq, dtype=np.int64)
+        self.bits = int(ends[-1]).bit_length() - 1
+        self.kind = np.int32 if self.bits + SHARE_BITS < 31 else np.int64  # holds every place of a step
+        self.distinct, self.freq, self.start = distinct, freq.astype(self.kind), (ends - freq).astype(self.kind)
         self.find = np.repeat(np.arange(len(distinct), dtype=np.uint32), self.freq)  # which id has each place
 
     @classmethod
@@ -68,6 +67,14 @@ class Table:
         return cls(np.cumsum(both[:half], dtype=np.uint64).astype(np.uint32), both[half:])
 
 
+def added(shares: np.ndarray) -> np.ndarray:
+    """The sum for each block; sums along the first axis would be made 64 bits wide."""
+    total = shares[0] + shares[1]
+    for more in shares[2:]:
+        total += more
+    return total
+
+
 class Model:
     """The state of ``n`` blocks at one step: what is predicted, with which shares. Guesses: two of order 2, then two of order 1."""
 
@@ -91,14 +98,13 @@ class Model:
         self.guesses[::2], self.guesses[1::2] = self.leads >> np.uint32(2), self.others
         self.state = self.states[:, :n] + (sure[0] * np.uint32(LEVELS) + sure[1])
         self.held = self.weights.take(self.state)
-        self.shares = (self.held.astype(np.int64) * (GUESSED - GUESSES) >> 16) + 1
-        self.plain = (1 << SHARE_BITS) - self.shares.sum(axis=0)
+        self.shares = ((self.held * np.int32(GUESSED - GUESSES) >> 16) + 1).astype(self.table.kind, copy=False)
+        self.plain = (1 << SHARE_BITS) - added(self.shares)
 
     def interval(self, ids: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of each id in the sum of all shares; ``equal``: which guesses are the id."""
         bits = self.table.bits
-        below = (self.shares * (self.guesses < ids)).sum(axis=0)
-        same = (self.shares * equal).sum(axis=0)
+        below, same = added(self.shares * (self.guesses < ids)), added(self.shares * equal)
         return self.plain * self.table.start.take(ids) + (below << bits), self.plain * self.table.freq.take(ids) + (same << bits)
 
     def lookup(self, place: np.ndarray) -> np.ndarray:
@@ -115,7 +121,7 @@ class Model:
         start = self.plain * self.table.start.take(g) + (below << bits)
         end = start + self.plain * self.table.freq.take(g) + (same << bits)
         past = end <= place
-        ahead = (self.shares * past).sum(axis=0)
+        ahead = added(self.shares * past)
         holds = (start <= place) & ~past
         at = np.minimum((place - (ahead << bits)) // self.plain, len(self.table.find) - 1)
         found = self.table.find.take(np.maximum(at, 0))
@@ -125,10 +131,14 @@ class Model:
 
     def update(self, ids: np.ndarray, size: np.ndarray, equal: np.ndarray) -> None:
         n = len(ids)
-        right = np.zeros((GUESSES, n), np.int64)
-        guess, block = np.nonzero(equal)
-        right[guess, block] = (self.shares[guess, block] << (self.table.bits + 16)) // size[block]  # its part in what happened
-        self.weights[self.state] = self.held + ((np.minimum(right, WEIGHT_ONE - 1) - self.held) >> RATE)
+        right = np.zeros((GUESSES, n), np.int32)
+        hits = np.flatnonzero(equal)  # the part of each in what happened
+        part = (self.shares.reshape(-1).take(hits).astype(np.int64) << (self.table.bits + 16)) // size.take(hits % n)
+        right.reshape(-1)[hits] = np.minimum(part, WEIGHT_ONE - 1)
+        right -= self.held
+        right >>= RATE
+        right += self.held
+        self.weights[self.state] = right
         hit, sure, four = equal[::2], self.leads & np.uint32(LEVELS - 1), np.uint32(LEVELS)
         keep = sure > 1
         self.lead[self.at] = np.where(hit, self.leads + (sure < LEVELS - 1), np.where(keep, self.leads - np.uint32(1), ids * four))
@@ -211,7 +221,7 @@ def encode_blocks(ids: np.ndarray, block_ids: int | None = None) -> bytes:
     if not n:
         return MAGIC + struct.pack("<IIII", 0, block_ids, 0, 0)
     if ids.max() < COUNTED:
-        counts = np.bincount(ids)
+        counts = np.bincount(ids).astype(np.int64, copy=False)
         places, distinct = (np.cumsum(counts > 0) - 1).astype(np.uint32).take(ids), np.flatnonzero(counts)
         table = Table.count(distinct, counts[distinct])
     else:
@@ -261,7 +271,7 @@ def decode_blocks(data: bytes) -> np.ndarray:
     for t in range(block_ids if n > 1 else short):
         live = n if t < short else n - 1
         model.predict(live)
-        now = model.lookup(coder.place(live, bits))
+        now = model.lookup(coder.place(live, bits).astype(table.kind, copy=False))
         equal = model.guesses == now
         start, size = model.interval(now, equal)
         coder.narrow(live, start, size, bits)
@@ -287,29 +297,28 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
     load = file_encoder(tokenizer)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (cut_text, encode), known, part, segment = load(), {}, TaskContext.get().partitionId(), 0
-        end, held, owners = np.array([end_id], "<u4").tobytes(), [], []
+        spelling, part, segment = Spelling(load, end_id), TaskContext.get().partitionId(), 0
+        held, lengths, owners = [], [], []
 
         def flush():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([owners], pa.list_(id_type)),
-                pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()),
+                pa.array([lengths], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()),
                 pa.array([encode_blocks(ids)], pa.binary())], names=["part", "segment", "doc_ids", "lengths", "n_ids", "payload"])
 
         size = 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                rows = batch.slice(i, TEXTS_AT_ONCE)
-                texts = [cut_text(t or "") for t in rows.column(1).to_pylist()]
-                remember(texts, encode, known)
-                for doc, parts in zip(rows.column(0).to_pylist(), texts):
-                    held.append(b"".join(map(known.__getitem__, parts)) + end)
-                    owners.append(doc)
-                    size += len(held[-1]) // 4
-                    if size >= SEGMENT_IDS:
-                        yield flush()
-                        held, owners, size, segment = [], [], 0, segment + 1
+        for rows in in_groups(batches):
+            ids, sizes = spelling.texts(rows.column(1))
+            at = 0
+            for doc, n in zip(rows.column(0).to_pylist(), sizes.tolist()):
+                held.append(ids[at:at + n])
+                lengths.append(n)
+                owners.append(doc)
+                at, size = at + n, size + n
+                if size >= SEGMENT_IDS:
+                    yield flush()
+                    held, lengths, owners, size, segment = [], [], [], 0, segment + 1
         if owners:
             yield flush()
 

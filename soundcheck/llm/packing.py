@@ -24,7 +24,7 @@ from soundcheck.llm.text import AT_ONCE, REMEMBERED, chunks
 from soundcheck.session import in_small_batches, materialise
 
 CAPACITY = 1024
-TEXTS_AT_ONCE, BYTES_AT_ONCE = 128, 6 << 20  # texts are encoded some MB at a time, so that most of their words are looked up once
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 128, 2 << 20  # texts are encoded some MB at a time, so that most of their words are looked up once
 END_ID = 2
 WORD_END, CHUNK_END = "\x01", "\x02"  # not among the characters of LATIN
 # Characters on which all libraries agree: no two forms of a letter, no special case of lower-casing.
@@ -181,8 +181,8 @@ def by_ranks(file: dict) -> Callable[[list[str]], list[bytes]] | None:
         ranks |= {WORD_END.encode(): between + 1, (CHUNK_END + WORD_END).encode(): between}  # a byte by itself must have a rank; it never stays alone
     else:
         return None
-    merge = tiktoken.Encoding("ranks", pat_str=words, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-    piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    encoding = tiktoken.Encoding("ranks", pat_str=words, mergeable_ranks=ranks, special_tokens={})
+    merge, piece = encoding.encode_to_numpy, encoding._encode_single_piece
     cut = regex.compile(f"{CHUNK_END}|" + LOWER_WORDS["split"]["pattern"]["Regex"].replace(r"[^\s", rf"[^\s{CHUNK_END}") if suffix else WORDS).findall
     blank = np.zeros(len(model["vocab"]), bool)
     blank[[i for token, i in ranks.items() if token.startswith(b" ") and not suffix]] = True
@@ -225,7 +225,7 @@ class Spelling:
         self.chunks: dict[str, int] = {}
         self.after_blank: dict[str, int] = {}  # words after one blank; -1: the text must be cut as a whole
         self.ids, self.used = np.array([self.end_id] * AT_ONCE, np.uint32), 1  # number 0 is the end of a text
-        self.starts, self.sizes, self.known = np.zeros(AT_ONCE, np.int64), np.ones(AT_ONCE, np.int64), 1
+        self.starts, self.sizes, self.known = np.zeros(AT_ONCE, np.int64), np.ones(AT_ONCE, np.int32), 1
 
     def add(self, known: dict[str, int], keys: list[str], chunks: list[str]) -> None:
         for i in range(0, len(chunks), AT_ONCE):
@@ -275,7 +275,7 @@ class Spelling:
         first[at[:-1]] = True
         after = np.zeros(len(words), bool)
         after[codes[~first]] = True
-        of_word = np.zeros(len(words), np.int64)
+        of_word = np.zeros(len(words), np.int32)
         of_word[after] = self.of_words(words[after].tolist())
         numbers, begin = of_word[codes], words[codes[first]].tolist()
         numbers[first] = self.of_chunks(begin)
@@ -291,9 +291,11 @@ class Spelling:
             numbers, at = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
         numbers = np.insert(numbers, at[1:], 0)
         sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[at[1:] + np.arange(len(texts))], prepend=0)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        narrow = np.int32 if self.used + ends[-1] < 1 << 31 else np.int64
+        place = np.repeat((self.starts[numbers] - (ends - sizes)).astype(narrow), sizes)
+        place += np.arange(ends[-1], dtype=narrow)
+        return self.ids[place], np.diff(ends[at[1:] + np.arange(len(texts))], prepend=0)
 
 
 def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +321,7 @@ def pieces(docs: DataFrame, load, end_id: int, capacity: int, id_col: str, text_
         spelling, seen, block = Spelling(load, end_id), Counter(), TaskContext.get().partitionId()
         for part in in_groups(batches):
             ids, lengths = spelling.texts(part.column(1))
-            ids, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
+            ids, at, rows = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0, []
             for doc, n in zip(part.column(0).to_pylist(), lengths.tolist()):
                 for k, (start, length) in enumerate(cut(n, capacity)):
                     own = ids[4 * (at + start):4 * (at + start + length)]

@@ -320,6 +320,19 @@ def test_shares_of_a_step_cover_the_range_once():
         model.update(now, sizes[x:x + 1], model.guesses == now)
 
 
+@pytest.mark.parametrize("distinct, kind", [(3000, np.int32), (200_000, np.int32), (400_000, np.int64)])
+def test_a_step_is_as_narrow_as_its_places_allow(distinct, kind):
+    ids = np.random.default_rng(6).permutation(np.repeat(np.arange(distinct, dtype=np.uint32) * 9, 2))
+    places, counts = np.unique(ids, return_counts=True)
+    model = id_files.Model(40, id_files.Table.count(places, counts))
+    model.predict(40)
+    start, size = model.interval(np.arange(40, dtype=np.uint32), model.guesses == np.arange(40, dtype=np.uint32))
+    assert model.shares.dtype == start.dtype == size.dtype == kind
+    assert (model.table.start + model.table.freq).max() << id_files.SHARE_BITS == 1 << model.table.bits + id_files.SHARE_BITS
+    few = ids[:6000]
+    assert (id_files.decode_blocks(id_files.encode_blocks(ids, 9000)) == ids).all() and (id_files.decode_blocks(id_files.encode_blocks(few, 70)) == few).all()
+
+
 def test_mixing_is_shorter_than_order_0_alone(folder):
     import pyarrow.parquet as pq
     texts = [t for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
