@@ -189,7 +189,7 @@ def by_ranks(file: dict) -> Callable[[list[str]], list[bytes]] | None:
 
     def after_blanks(chunks: list[str]) -> list[bytes]:
         text = "".join(chunks)
-        if text.count(" ") == len(chunks) and BLANK_WORDS(text):
+        if text.count(" ") == [c[:1] for c in chunks].count(" ") == len(chunks) and BLANK_WORDS(text):
             ids = merge(text)
             return divided(ids, np.append(np.flatnonzero(blank[ids])[1:], len(ids)))
         plain = [c for c in chunks if BLANK_WORDS(c) and c.count(" ") == 1]
