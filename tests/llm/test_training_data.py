@@ -565,6 +565,18 @@ def test_signatures_before_texts_without_words_keep_their_length(spark):
     assert {r.doc_id: r.sig and len(r.sig) for r in signed} == {1: 32, 2: None, 3: None, 4: 32, 5: None}
 
 
+def test_signatures_and_their_exploded_keys_are_never_broadcast(spark, tmp_path):
+    # Spark takes an array for one element, and a row for as many rows as an explode makes of it.
+    rows = [(i, 9, [(i + c) % 50 if c % 2 else i for c in range(32)]) for i in range(300)]
+    spark.createDataFrame(rows, "class long, n_shingles long, sig array<int>").write.parquet(str(tmp_path / "classes"))
+    classes = spark.read.parquet(str(tmp_path / "classes"))
+    pairs = spark.createDataFrame([(0, 50), (0, 1)], "a long, b long")
+    for joined, some in ((near_text.postings(classes, 32, 9), 300), (near_text.agreeing(pairs, classes, 9), 1)):
+        assert joined.select(joined.columns[0]).distinct().count() >= some
+        joined.collect()
+        assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_of_awkward_texts(docs):
     rows = near_text.near_duplicates(docs, 3, 85).collect()
     by = {r.doc_id: r for r in rows}
