@@ -6,32 +6,49 @@ them are also compared with the whole shard: while the beam misses any of their
 until it would hold the shard and the comparison is made in full. Around every link found, the graph is
 followed through all further links, so a beam need not be as wide as a group of copies. Cosines are
 confirmed in double precision. A task returns counts and a spanning forest, never all pairs.
+
+A graph is written as one narrow row for each node. A task reads the rows of one shard, then queries block by block,
+so it holds one graph and one block, and a graph is sent once for many blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from soundcheck.llm.components import components, forest
 from soundcheck.session import materialise
 
 ROWS_PER_SHARD = 100_000
 LEAST_SHARDS = 8
-QUERIES_PER_TASK = 8_192
+QUERIES_PER_TASK = 8_192  # of a block, which is audited by itself
+BLOCKS_PER_TASK = 16
+LEAST_TASKS = 32
+MOST_PARTS = 10_000  # of the shuffle; a part may hold several tasks' rows, one after the other
 LAYER = 16  # a layer has this many times fewer nodes than the one below
 NEIGHBOURS = 24
 BUILD_BEAM = 48
 FIRST_BEAM = 16
-AUDITED = 256  # queries of a task that are compared with the whole shard
+AUDITED = 256  # queries of a block that are compared with the whole shard
 AT_ONCE = 256
+EXHAUSTIVE_AT_ONCE = 64  # queries that are compared with the whole shard
+NODES_AT_ONCE = 1_024  # that choose their neighbours
 WIDTH = 4  # nodes that a step expands for each query
 SLACK = 1e-4  # for cosines in single precision
 
 
+def layer_sizes(n: int) -> list[int]:
+    """Nodes in each layer, from the bottom up."""
+    sizes = [n]
+    while sizes[-1] > 4 * LAYER:
+        sizes.append(sizes[-1] // LAYER)
+    return sizes
+
+
 class Graph:
     """Unit vectors in order of their layer: layer k holds the first ``sizes[k]``; ``links[k]`` are its neighbours, -1 for none."""
 
@@ -41,9 +58,7 @@ class Graph:
 
     @classmethod
     def build(cls, units: np.ndarray) -> Graph:
-        sizes = [len(units)]
-        while sizes[-1] > 4 * LAYER:
-            sizes.append(sizes[-1] // LAYER)
+        sizes = layer_sizes(len(units))
         graph = cls(units, sizes, [np.full((n, NEIGHBOURS), -1, np.int32) for n in sizes])
         for layer in reversed(range(len(sizes))):
             graph.fill(layer)
@@ -116,8 +131,10 @@ class Graph:
         old = links[nodes].astype(np.int64)
         extra[(extra[:, :, None] == old[:, None, :]).any(axis=2)] = -1
         both = np.concatenate([old, extra], axis=1)
-        near = np.einsum("ijk,ik->ij", self.units[np.maximum(both, 0)], self.units[nodes])
-        links[nodes] = self.choose(both, near)
+        for i in range(0, len(nodes), NODES_AT_ONCE):
+            own, some = nodes[i:i + NODES_AT_ONCE], both[i:i + NODES_AT_ONCE]
+            near = np.einsum("ijk,ik->ij", self.units[np.maximum(some, 0)], self.units[own])
+            links[own] = self.choose(some, near)
 
     def descend(self, queries: np.ndarray, layer: int) -> np.ndarray:
         """Entry nodes for ``layer``, found in the layers above."""
@@ -191,39 +208,46 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(wide, -np.frexp(np.abs(wide).max(axis=1, keepdims=True))[1])
 
 
-def units(vectors: np.ndarray) -> np.ndarray:
-    wide = scaled(vectors)
-    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+def units(wide: np.ndarray) -> np.ndarray:
+    """Of ``scaled`` vectors."""
+    made = np.empty(wide.shape, np.float32)
+    for i in range(0, len(wide), NODES_AT_ONCE):
+        rows = wide[i:i + NODES_AT_ONCE]
+        made[i:i + NODES_AT_ONCE] = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    return made
 
 
-def linked(graph: Graph, shard: np.ndarray, queries: np.ndarray, least: float):
-    """Yields (first query, list of linked shard nodes for each query), with an audited beam."""
-    asked = units(queries)
-    wide, exact = scaled(shard), scaled(queries)
-    norms = np.linalg.norm(wide, axis=1)
+def linked(graph: Graph, wide: np.ndarray, norms: np.ndarray, exact: np.ndarray, least: float):
+    """Yields (first query, list of linked shard nodes for each query), with an audited beam. ``wide``: the shard's
+    vectors and ``exact``: the queries, both as ``scaled`` gives them; ``norms``: of ``wide``."""
+    asked = units(exact)
 
     def confirm(i: int, nodes: np.ndarray) -> np.ndarray:
         q = exact[i]
         return nodes[wide[nodes] @ q >= least * (norms[nodes] * np.linalg.norm(q))]
 
     def exhaustive(rows: np.ndarray) -> list[np.ndarray]:
-        sims = asked[rows] @ graph.units.T >= least - SLACK
-        return [confirm(i, np.flatnonzero(s)) for i, s in zip(rows, sims)]
+        found = []
+        for k in range(0, len(rows), EXHAUSTIVE_AT_ONCE):
+            some = rows[k:k + EXHAUSTIVE_AT_ONCE]
+            sims = asked[some] @ graph.units.T >= least - SLACK
+            found += [confirm(i, np.flatnonzero(s)) for i, s in zip(some, sims)]
+        return found
 
     def search(rows: np.ndarray, width: int) -> list[np.ndarray]:
-        if width >= len(shard):
+        if width >= len(wide):
             return exhaustive(rows)
-        ids, sims = graph.beam(0, asked[rows], graph.descend(asked[rows], 0), width, len(shard))
+        ids, sims = graph.beam(0, asked[rows], graph.descend(asked[rows], 0), width, len(wide))
         near = (sims >= least - SLACK) & (ids >= 0)
         return [confirm(i, graph.around(asked[i], ids[k][near[k]], least - SLACK)) if near[k].any() else np.zeros(0, np.int64)
                 for k, i in enumerate(rows)]
 
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(np.int64))
+    sample = np.unique(np.linspace(0, len(exact) - 1, min(AUDITED, len(exact))).astype(np.int64))
     truth, width = exhaustive(sample), FIRST_BEAM
-    while width < len(shard) and any(len(a) < len(b) for a, b in zip(search(sample, width), truth)):
+    while width < len(wide) and any(len(a) < len(b) for a, b in zip(search(sample, width), truth)):
         width *= 2
-    for i in range(0, len(queries), AT_ONCE):
-        rows = np.arange(i, min(i + AT_ONCE, len(queries)))
+    for i in range(0, len(exact), AT_ONCE):
+        rows = np.arange(i, min(i + AT_ONCE, len(exact)))
         yield i, search(rows, width)
 
 
@@ -231,44 +255,81 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def build_index(table: pa.Table) -> pa.Table:
-    dim = table["dim"][0].as_py()
-    order = np.argsort(table["class"].to_numpy())  # classes are hashes, so layers are random
-    table = table.take(pa.array(order))
-    vectors = matrix(table["vector"], dim)
-    graph = Graph.build(units(vectors))
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
-                     "classes": pa.array([table["class"].to_numpy()], pa.list_(pa.int64())),
-                     "copies": pa.array([table["copies"].to_numpy()], pa.list_(pa.int64())),
-                     "vectors": pa.array([np.ascontiguousarray(vectors, "<f8").tobytes()], pa.binary()),
-                     "sizes": pa.array([graph.sizes], pa.list_(pa.int32())),
-                     "links": pa.array([b"".join(x.tobytes() for x in graph.links)], pa.binary())})
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(key, rows) of every key in turn; the first ``keys`` columns are whole numbers, by which the rows come sorted."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = np.stack([batch.column(c).to_numpy() for c in range(keys)], axis=1)
+        ends = [0, *(np.flatnonzero((found[1:] != found[:-1]).any(axis=1)) + 1).tolist(), len(found)]
+        for start, end in zip(ends, ends[1:]):
+            key = tuple(found[start].tolist())
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def build_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each (dim, shard) by class, with their node and its links in all layers, from the bottom up. Classes
+    are hashes, so layers are random."""
+    for (dim, _), table in runs(batches, 2):
+        graph = Graph.build(units(scaled(matrix(table["vector"], dim))))
+        layers = np.add.reduce([np.arange(len(table)) < n for n in graph.sizes], dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(layers)])
+        links = np.empty((ends[-1], NEIGHBOURS), np.int32)
+        for k, n in enumerate(graph.sizes):
+            links[ends[:n] + k] = graph.links[k]
+        made = table.append_column("node", pa.array(np.arange(len(table), dtype=np.int32))).append_column(
+            "links", pa.ListArray.from_arrays(pa.array((ends * NEIGHBOURS).astype(np.int32)), pa.array(links.reshape(-1))))
+        yield from made.to_batches(max_chunksize=QUERIES_PER_TASK)
+
+
+def load_index(table: pa.Table, dim: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Graph, vectors (``scaled``), their norms, classes and copies, from the rows of all nodes in turn."""
+    wide = scaled(matrix(table["vector"], dim))
+    sizes = layer_sizes(len(wide))
+    column = table["links"].combine_chunks()
+    flat = column.flatten().to_numpy().reshape(-1, NEIGHBOURS)
+    starts = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy() // NEIGHBOURS)])
+    links = [flat[starts[:n] + k] for k, n in enumerate(sizes)]
+    return Graph(units(wide), sizes, links), wide, np.linalg.norm(wide, axis=1), table["class"].to_numpy(), table["copies"].to_numpy()
 
 
 def search_index(least: float):
-    def search(index: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
-        if index.num_rows and asked.num_rows:
-            row = index.to_pylist()[0]
-            dim, sizes = row["dim"], row["sizes"]
-            shard = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
-            flat, links, at = np.frombuffer(row["links"], np.int32), [], 0
-            for n in sizes:
-                links.append(flat[at:at + n * NEIGHBOURS].reshape(n, NEIGHBOURS))
-                at += n * NEIGHBOURS
-            classes, copies = np.array(row["classes"], np.int64), np.array(row["copies"], np.int64)
-            ids, queries = asked["class"].to_numpy(), matrix(asked["vector"], dim)
-            root = np.arange(len(shard))
-            for start, found in linked(Graph(units(shard), sizes, links), shard, queries, least):
-                pairs = [np.stack([np.arange(len(root)), root], axis=1)]
-                for k, nodes in enumerate(found):
-                    if len(nodes):
-                        out.append((ids[start + k], classes[nodes[0]], int(copies[nodes].sum())))
-                        pairs.append(np.stack([nodes, np.full(len(nodes), nodes[0])], axis=1))
-                root = forest(root, np.concatenate(pairs))
-            out += [(classes[i], classes[r], 0) for i, r in enumerate(root) if i != r]
-        return pa.table({"u": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.int64()),
-                         "links": pa.array([o[2] for o in out], pa.int64())})
+    """Over rows by dim, shard, slice and block: those of block -1 are the shard's graph, the others queries."""
+    def told(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["u", "v", "links"])
+
+    def tree(classes: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        other = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(classes[other]), pa.array(classes[root[other]]),
+                                           pa.array(np.zeros(len(other), np.int64))], names=["u", "v", "links"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = classes = root = None
+        for (*at, block), table in runs(batches, 4):
+            if block < 0:
+                if loaded:
+                    yield tree(classes, root)
+                graph, wide, norms, classes, copies = load_index(table, at[0])
+                loaded, root = at, np.arange(len(wide))
+            elif loaded == at:  # else the shard has no vector of this length
+                out, ids = [], table["class"].to_numpy()
+                for start, found in linked(graph, wide, norms, scaled(matrix(table["vector"], at[0])), least):
+                    pairs = [np.stack([np.arange(len(root)), root], axis=1)]
+                    for k, nodes in enumerate(found):
+                        if len(nodes):
+                            out.append((int(ids[start + k]), int(classes[nodes[0]]), int(copies[nodes].sum())))
+                            pairs.append(np.stack([nodes, np.full(len(nodes), nodes[0])], axis=1))
+                    root = forest(root, np.concatenate(pairs))
+                yield told(out)
+        if loaded:
+            yield tree(classes, root)
 
     return search
 
@@ -289,22 +350,25 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     vectors of their own. A null id gives a null component_id and is kept. An empty table gives no
     rows. Only the two named columns are read.
     """
+    given = vectors.schema[vector_col].dataType
+    kept = "array<float>" if isinstance(getattr(given, "elementType", None), T.FloatType) else "array<double>"
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.withColumn("class", F.when(usable(F.col("vector")) & F.col("vec_id").isNotNull(), F.xxhash64("vector")))
     nodes = materialise(rows.where("class IS NOT NULL").groupBy("class").agg(
-        F.first("vector").alias("vector"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")).withColumn(
+        F.first(F.col("vector").cast(kept)).alias("vector"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")).withColumn(
         "dim", F.size("vector").cast("int")), "vectors")
     n = nodes.count()
-    shards, groups = max(LEAST_SHARDS, math.ceil(n / rows_per_shard)), max(1, math.ceil(n / QUERIES_PER_TASK))
-    members = nodes.withColumn("shard", F.pmod(F.xxhash64("class", F.lit("shard")), F.lit(shards)).cast("int"))
-    index = materialise(members.select("dim", "shard", "class", "copies", "vector").groupBy("dim", "shard").applyInArrow(
-        build_index, "dim int, shard int, classes array<long>, copies array<long>, vectors binary, sizes array<int>, links binary"), "index")
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    asked = nodes.select("dim", "class", "vector", F.pmod(F.xxhash64("class", F.lit("query")), F.lit(groups)).cast("int").alias("part"),
-                         every_shard.alias("shard"))
-    keys = ["dim", "shard", "part"]
-    found = materialise(index.select("*", every_group.alias("part")).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
+    shards, blocks = max(LEAST_SHARDS, math.ceil(n / rows_per_shard)), max(1, math.ceil(n / QUERIES_PER_TASK))
+    slices = min(blocks, max(math.ceil(blocks / BLOCKS_PER_TASK), math.ceil(LEAST_TASKS / shards)))
+    members = nodes.select("dim", F.pmod(F.xxhash64("class", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), "class", "copies", "vector")
+    index = materialise(members.repartition(2 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", "class").mapInArrow(
+        build_index, f"dim int, shard int, class long, copies long, vector {kept}, node int, links array<int>"), "index")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    asked = nodes.select("dim", "class", "vector", F.pmod(F.xxhash64("class", F.lit("query")), F.lit(blocks)).cast("int").alias("block")).withColumn(
+        "slice", F.pmod("block", F.lit(slices)).cast("int")).withColumn("shard", every(shards))
+    both = index.withColumn("slice", every(slices)).withColumn("block", F.lit(-1)).unionByName(asked, allowMissingColumns=True)
+    found = materialise(both.select("dim", "shard", "slice", "block", "class", "copies", "vector", "node", "links").repartition(
+        min(MOST_PARTS, 2 * shards * slices), "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", "block", "node", "class").mapInArrow(
         search_index(least), "u long, v long, links long"), "found")
 
     counts = found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "class")  # each vector finds its own copies too

@@ -623,6 +623,45 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near_vectors(none_left(frame)).count() == 0
 
 
+def test_graphs_travel_as_narrow_rows_once_for_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "LEAST_SHARDS", 2)
+    monkeypatch.setattr(near_vectors, "QUERIES_PER_TASK", 50)
+    monkeypatch.setattr(near_vectors, "LEAST_TASKS", 2)
+    written, plain = {}, near_vectors.materialise
+    monkeypatch.setattr(near_vectors, "materialise", lambda df, label: written.setdefault(label, plain(df, label)))
+    g = np.random.default_rng(4)
+    x = g.normal(size=(300, 8)).astype(np.float32)
+    x[200:] = x[:100] * 2 + 1e-4
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.component_id for r in near_vectors.near_vectors(frame).collect()}
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    assert got == brute.components(range(300), list(zip(*np.nonzero(unit @ unit.T >= 0.95))))
+    # A row for each node, of one vector in its own precision and a few links: never a shard in one value.
+    assert written["index"].count() == 300 and written["index"].schema["vector"].dataType.simpleString() == "array<float>"
+    assert written["index"].selectExpr("max(size(links))", "max(size(vector))").first()[0] <= 3 * near_vectors.NEIGHBOURS
+
+
+def test_blocks_of_queries_stream_past_a_graph_however_batches_are_cut(spark):
+    g = np.random.default_rng(5)
+    x = g.normal(size=(40, 6))
+    nodes = pa.table({"dim": pa.array([6] * 40, pa.int32()), "shard": pa.array([0] * 20 + [1] * 20, pa.int32()), "class": pa.array(range(40), pa.int64()),
+                      "copies": pa.array([2] * 40, pa.int64()), "vector": pa.array(list(x))})
+    told = []
+    for cut in (1, 7, 100):
+        index = pa.Table.from_batches(list(near_vectors.build_index(iter(nodes.to_batches(max_chunksize=cut)))))
+        assert index.column_names[-2:] == ["node", "links"] and index["node"].to_pylist() == [*range(20)] * 2
+        rows = []
+        for shard, part in ((0, index.slice(0, 20)), (1, index.slice(20, 20)), (2, index.slice(0, 0))):  # no graph for shard 2
+            for block, some in ((-1, part), (0, nodes.slice(0, 25)), (3, nodes.slice(25, 15))):
+                rows += [dict(r, shard=shard, slice=0, block=block) for r in some.to_pylist()]
+        names = ["dim", "shard", "slice", "block", "class", "copies", "vector", "node", "links"]
+        sorted_rows = pa.Table.from_pylist([{k: r.get(k) for k in names} for r in rows], pa.schema(
+            [(n, index.schema.field(n).type if n in index.column_names else pa.int32()) for n in names]))
+        out = pa.Table.from_batches(list(near_vectors.search_index(0.999)(iter(sorted_rows.to_batches(max_chunksize=cut)))))
+        told.append(sorted(r for r in zip(*(c.to_pylist() for c in out.columns)) if r[2]))
+    assert told[0] == told[1] == told[2] == [(i, i, 2) for i in range(40)]
+
+
 # Chat formatting
 
 def test_chats(spark):
