@@ -35,3 +35,20 @@ def test_links_over_batches_and_long_silence(spark, tmp_path, size):
     found = {(r.tenant_id, r.seq): r.reason for r in newest_links(links).collect()}
     assert set(found) == {(r[0], r[1]) for r in FIRST + SECOND + THIRD}
     assert {k: v for k, v in found.items() if v} == WRONG
+
+
+def test_small_blocks_share_calls_and_state_rows(spark, tmp_path):
+    chain = [entry(t, i, i) for t in ("a", "b") for i in range(1, 601)]
+    order = sorted(chain, key=lambda e: (e[1] * 7919 + ord(e[0])) % 1009)
+    wrong = {("a", 300): "prev_hash does not match", ("b", 9): "missing seq before"}
+    order = [(t, i, "00", h, at) if (t, i) == ("a", 300) else (t, i, p, h, at) for t, i, p, h, at in order if (t, i) != ("b", 8)]
+    for i in range(3):
+        spark.createDataFrame(order[i::3], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = verify_ledger_stream(read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], SCHEMA).schema, 1), 2)
+    query = stream.writeStream.format("memory").queryName("small_blocks").option(
+        "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    assert query.awaitTermination(300)
+    found = {(r.tenant_id, r.seq): r.reason for r in newest_links(spark.table("small_blocks")).collect()}
+    assert set(found) == {(r[0], r[1]) for r in order} and {k: v for k, v in found.items() if v} == wrong
+    # Each tenant has 300 blocks, in one stretch.
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]] == [2, 2, 2]
